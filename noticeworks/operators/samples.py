@@ -174,33 +174,29 @@ def stratified_split(
     The exact cut is found without sorting a class: counts per leading digits of
     the order give the group in which the cut lies, and only that group is ranked.
     """
-    keyed = samples.withColumns(
-        {"_order": split_order(seed, key), "_group": F.left(split_order(seed, key), F.lit(SPLIT_DIGITS))}
-    )
-    groups = keyed.groupBy("label", "_group").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy("label").orderBy("_group")
+    order = split_order(seed, key)
+    slim = samples.select("label", order.alias("_order"), F.left(order, F.lit(SPLIT_DIGITS)).alias("_group"))
+    groups = slim.groupBy("label", "_group").agg(F.count(F.lit(1)).alias("n"))
     sizes = (
-        groups.withColumn("upto", F.sum("n").over(running))
+        groups.withColumn("upto", F.sum("n").over(Window.partitionBy("label").orderBy("_group")))
         .withColumn("total", F.sum("n").over(Window.partitionBy("label")))
         .withColumn("cut", F.greatest(F.lit(1), F.floor(F.col("total") * share)))
     )
     edge = sizes.where((F.col("upto") >= F.col("cut")) & (F.col("upto") - F.col("n") < F.col("cut"))).select(
-        "label", F.col("_group").alias("edge"), (F.col("cut") - F.col("upto") + F.col("n")).alias("room")
+        F.col("label").alias("_label"), F.col("_group").alias("_edge"),
+        (F.col("cut") - F.col("upto") + F.col("n")).alias("room"),
     )
-    same = keyed["label"].eqNullSafe(edge["label"])
-    placed = keyed.join(edge, same, "left").drop(edge["label"])
-    ranked = (
-        placed.where(F.col("_group") == F.col("edge"))
-        .select(
-            F.col(key).alias("_key"), "room",
-            F.row_number().over(Window.partitionBy("label").orderBy("_order", key)).alias("rn"),
-        )
+    inside = F.col("label").eqNullSafe(F.col("_label")) & (F.col("_group") == F.col("_edge"))
+    cuts = (
+        slim.join(edge, inside)
+        .withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("_order")))
         .where("rn <= room")
-        .select("_key", F.lit(True).alias("_in"))
+        .groupBy(F.col("label").alias("_label")).agg(F.max("_order").alias("_cut"))
     )
-    out = placed.join(ranked, placed[key] == ranked["_key"], "left")
-    val = (F.col("_group") < F.col("edge")) | F.col("_in").isNotNull()
-    return out.select(*samples.columns, F.when(val, F.lit("val")).otherwise(F.lit("train")).alias("split"))
+    # one row per label comes back to the samples
+    out = samples.join(cuts, samples["label"].eqNullSafe(cuts["_label"]))
+    split = F.when(order <= F.col("_cut"), F.lit("val")).otherwise(F.lit("train"))
+    return out.select(*samples.columns, split.alias("split"))
 
 
 def class_weights(samples: DataFrame) -> DataFrame:
