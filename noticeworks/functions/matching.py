@@ -70,18 +70,13 @@ def with_name_hits(
     if lengths is None:
         raise ValueError(f"names of more than {NAME_LENGTHS} different lengths")
 
+    def pieces(t: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(t) - (n - 1))
+        cut = F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, cut).otherwise(_array([]))
+
     def grams(t: Column) -> Column:
-        pieces = [
-            F.when(
-                F.length(t) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.length(t) - (n - 1)),
-                    lambda i, n=n: F.substring(t, i, F.lit(n)),
-                ),
-            ).otherwise(F.expr("cast(array() as array<string>)"))
-            for n in lengths
-        ]
-        return F.array_distinct(F.concat(*pieces))
+        return F.array_distinct(F.concat(*[pieces(t, n) for n in lengths]))
 
     hits = (
         df.select(F.col(key), F.explode(let(fold(text), grams)).alias("_gram"))
@@ -90,7 +85,7 @@ def with_name_hits(
         .agg(F.array_sort(F.collect_set("name")).alias(out))
     )
     joined = df.join(hits, key, "left")
-    found = F.coalesce(F.col(out), F.expr("cast(array() as array<string>)"))
+    found = F.coalesce(F.col(out), _array([]))
     return joined.withColumn(out, found if ignore_case else by_position(text, found))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,20 +18,33 @@ def local_session(name: str = "noticeworks", cores: str = "*", shuffle_partition
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="noticeworks-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors see: ``spark.checkpoint.dir``, a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return _local_folder(spark.sparkContext.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder; a temporary one only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="noticeworks-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Write an intermediate table to the shared folder and go on from there.
+
+    It is computed once, survives lost executors, and its real size lets later
+    joins choose their strategy.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
