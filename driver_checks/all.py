@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from driver_checks import alerts, pages, search, tables  # noqa: F401
+from driver_checks import alerts, pages, planning, samples, search, tables  # noqa: F401

@@ -317,7 +317,8 @@ EXTRACT_SQL = """
 
 @query("extract_notices", EXTRACT_SQL)
 def extract_notices(m: Model):
-    out = extract.extract_notices(m.order_pages, ["财政资金", "绿化"], ZH_TENDER)
+    nothing = m.parsed.where("false")
+    out = jobs.parse_updates(m.order_pages, nothing, ["财政资金", "绿化"], "all", ZH_TENDER)
     return out.select(
         "url", "url_hash", "title", "publish_date", "bidder", "location", "bid_end_time", "amount", "amount_value",
         "contact", "notice_type", "summary", "is_relevant", "relevance_score", "matched_keywords", "parse_errors",

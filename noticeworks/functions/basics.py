@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Unicode white space, plus the four separators U+001C..U+001F.
-SPACE = r"[\s\x1c-\x1f]"
+# Class bodies: all white space, and all of it but the plain space.
+OTHER_SPACE = r"\t\n\x0B\f\r\x1c-\x1f\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = " " + OTHER_SPACE
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,16 +23,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim Unicode white space on both sides."""
-    return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def squeeze(col: Column) -> Column:
-    """Turn every run of white space into one space."""
-    return F.regexp_replace(col, rf"(?U){SPACE}+", " ")
+    """Turn every run of white space into one space; single spaces are left alone."""
+    return F.regexp_replace(col, rf"[{SPACE}]{{2,}}|[{OTHER_SPACE}]", " ")
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
+    """NULL for the empty string; unlike ``nullif`` it computes ``col`` once."""
+    return let(col, lambda v: F.when(v != "", v))
 
 
 def extract(col: Column, pattern: str, group: int = 1) -> Column:
@@ -54,6 +56,11 @@ def string_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def has_at_least(col: Column, n: int, char_class: str) -> Column:
+    """Are there ``n`` characters of a class?  Stops at the n-th, builds nothing."""
+    return F.rlike(col, F.lit(rf"\A(?:[^{char_class}]*+[{char_class}]){{{n}}}"))
+
+
 def contains_any(text: Column, values: Iterable[str]) -> Column:
     """True when ``text`` contains one of ``values``; false for an empty list."""
     values = list(values)

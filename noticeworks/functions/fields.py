@@ -67,13 +67,13 @@ def bid_end_time(text: Column, profile: Profile) -> Column:
 
 def bidder(text: Column, profile: Profile) -> Column:
     return let(
-        F.regexp_replace(extract(text, profile.bidder), r"(?U)\s+", ""),
+        F.regexp_replace(extract(text, profile.bidder), r"\s+", ""),
         lambda v: F.when(F.length(v).between(2, 50), v),
     )
 
 
 def location(text: Column, profile: Profile) -> Column:
-    labelled = F.regexp_replace(extract(text, profile.location), r"(?U)\s+", "")
+    labelled = F.regexp_replace(extract(text, profile.location), r"\s+", "")
     names = F.regexp_extract_all(F.left(text, F.lit(3000)), F.lit(profile.location_names), F.lit(1))
     places = F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n) >= 3)), 1, 3)
     return F.coalesce(labelled, blank_to_null(F.array_join(places, profile.location_joiner)))

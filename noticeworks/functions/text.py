@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeworks.functions.basics import SPACE, blank_to_null, let, squeeze, strip
+from noticeworks.functions.basics import SPACE, blank_to_null, has_at_least, let, squeeze, strip
 from noticeworks.profile import WORD, Profile
 
 # Script code that shows a page holds no readable text.
 SCRIPT_CODE = (
-    r"(?U)(?:var\s+\w+\s*=|function\s*\w*\s*\(|document\.\w|window\.\w|"
-    r"\.getElementById|\.createElement|\.innerHTML|new\s+XMLHttpRequest|"
-    r"\.addEventListener|\.appendChild|console\.log|typeof\s+\w|"
-    r"try\s*\{|catch\s*\(|\.style\.\w|\.className|return\s+(?:true|false|null))"
+    rf"var\s+[{WORD}]+\s*=|function\s*[{WORD}]*\s*\(|document\.[{WORD}]|window\.[{WORD}]|"
+    rf"\.getElementById|\.createElement|\.innerHTML|new\s+XMLHttpRequest|"
+    rf"\.addEventListener|\.appendChild|console\.log|typeof\s+[{WORD}]|"
+    rf"try\s*\{{|catch\s*\(|\.style\.[{WORD}]|\.className|return\s+(?:true|false|null)"
 )
 
 # Sizes of the summary rule.
@@ -29,7 +29,7 @@ def html_to_text(html: Column) -> Column:
     """Comments, scripts and tags out, white space collapsed."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(
-        out, rf"(?isU)<{SPACE}*(script|style|noscript)[^>]*>.*?</{SPACE}*\1{SPACE}*>", " "
+        out, rf"(?is)<[{SPACE}]*(script|style|noscript)[^>]*>.*?</[{SPACE}]*\1[{SPACE}]*>", " "
     )
     out = F.regexp_replace(out, r"<[^>]+>", " ")
     return F.trim(squeeze(out))
@@ -45,14 +45,11 @@ def strip_nul(col: Column) -> Column:
 
 def is_valid_content(text: Column, profile: Profile) -> Column:
     """Enough characters of the profile's script, and not just script code."""
-    enough = F.lit(profile.min_script)
-    script = F.lit(profile.script)
     head = F.left(text, F.lit(1000))
-    code_only = F.rlike(head, F.lit(SCRIPT_CODE)) & (F.regexp_count(head, script) < enough)
+    enough = has_at_least(F.left(text, F.lit(2000)), profile.min_script, profile.script)
+    enough_early = has_at_least(head, profile.min_script, profile.script)
     return F.coalesce(
-        (F.length(strip(text)) >= 20)
-        & ~code_only
-        & (F.regexp_count(F.left(text, F.lit(2000)), script) >= enough),
+        (F.length(strip(text)) >= 20) & enough & (enough_early | ~F.rlike(head, F.lit(SCRIPT_CODE))),
         F.lit(False),
     )
 
@@ -89,13 +86,14 @@ def summary(text: Column, profile: Profile) -> Column:
         return F.transform(starts, lambda i: F.substring(t, i + 1, F.lit(CHUNK)))
 
     def meaningful(s: Column) -> Column:
-        fragment = F.rlike(s, F.lit(rf"(?U)^[{WORD}\s\-\.·|/、，,]+$"))
+        # cheap tests first
+        fragment = F.rlike(s, F.lit(rf"^[{WORD} \-\.·|/、，,]+$"))
         return (
             (F.length(s) >= SENTENCE_MIN)
+            & has_at_least(s, profile.min_sentence_script, profile.script)
+            & ((F.length(s) >= FRAGMENT_MAX) | ~fragment)
+            & (F.regexp_count(s, F.lit(profile.nav_words)) < 3)
             & ~F.rlike(s, F.lit(profile.junk))
-            & (F.regexp_count(s, F.lit(rf"(?iU){profile.nav_words}")) < 3)
-            & ~(fragment & (F.length(s) < FRAGMENT_MAX))
-            & (F.regexp_count(s, F.lit(profile.script)) >= profile.min_sentence_script)
         )
 
     sentences = let(
@@ -105,5 +103,5 @@ def summary(text: Column, profile: Profile) -> Column:
             lambda parts: F.when(F.size(parts) <= 1, chunks(t)).otherwise(parts),
         ),
     )
-    kept = take_until_length(F.filter(F.transform(sentences, strip), meaningful), SUMMARY_STOP)
+    kept = take_until_length(F.filter(F.transform(sentences, F.trim), meaningful), SUMMARY_STOP)
     return blank_to_null(F.left(F.array_join(kept, " "), F.lit(SUMMARY_MAX)))

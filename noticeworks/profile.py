@@ -4,8 +4,9 @@
 reads Latin-script pages, so the whole extraction can also run on corpora without
 Chinese text.
 
-All patterns are Java regular expressions.  ``(?U)`` gives ``\\s``, ``\\d`` and
-``\\b`` their Unicode meaning.
+All patterns are Java regular expressions.  They run on page text, whose only
+white space is the single space, so ``\\s`` needs no Unicode mode; digits are
+written out as ASCII or full width, which is much faster than Unicode classes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ WORD = r"\p{L}\p{N}_"
 @dataclass(frozen=True)
 class Profile:
     name: str
-    # one character of the script that marks real content
+    # class body of the script that marks real content
     script: str
     min_script: int
     min_sentence_script: int
@@ -62,7 +63,7 @@ class Profile:
 # ---------------------------------------------------------------------------
 ZH_TENDER = Profile(
     name="zh_tender",
-    script=r"[一-鿿]",
+    script="一-鿿",
     min_script=30,
     min_sentence_script=5,
     min_anchors=8,
@@ -70,8 +71,8 @@ ZH_TENDER = Profile(
     dated_always=15,
     dated_ratio=0.30,
     list_date=(
-        r"(?U)(?:\d{4}\s*[-/.年]\s*\d{1,2}\s*[-/.月]\s*\d{1,2}\s*日?"
-        r"|\d{1,2}\s*[-/.月]\s*\d{1,2}\s*日?)"
+        r"(?:[0-9０-９]{4}\s*[-/.年]\s*[0-9０-９]{1,2}\s*[-/.月]\s*[0-9０-９]{1,2}\s*日?"
+        r"|[0-9０-９]{1,2}\s*[-/.月]\s*[0-9０-９]{1,2}\s*日?)"
     ),
     publish_hints=(
         "发布时间", "发布日期", "公告日期", "公告时间", "发文日期", "发布于",
@@ -80,54 +81,56 @@ ZH_TENDER = Profile(
     bid_start_hints=("投标开始", "报名开始", "报名时间", "获取招标文件时间"),
     bid_end_hints=("投标截止", "投标结束", "截止时间", "递交截止", "提交投标文件截止", "开标时间"),
     date_patterns=(
-        r"(?U)(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日",
-        r"(?U)(\d{4})[-/](\d{1,2})[-/](\d{1,2})",
+        r"([0-9０-９]{4})\s*年\s*([0-9０-９]{1,2})\s*月\s*([0-9０-９]{1,2})\s*日",
+        r"([0-9０-９]{4})[-/]([0-9０-９]{1,2})[-/]([0-9０-９]{1,2})",
     ),
     datetime_patterns=(
-        r"(?U)(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日\s*(\d{1,2})\s*[:时]\s*(\d{1,2})\s*分?",
-        r"(?U)(\d{4})[-/](\d{1,2})[-/](\d{1,2})\s+(\d{1,2}):(\d{1,2})",
-        r"(?U)(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日",
-        r"(?U)(\d{4})[-/](\d{1,2})[-/](\d{1,2})",
+        r"([0-9０-９]{4})\s*年\s*([0-9０-９]{1,2})\s*月\s*([0-9０-９]{1,2})\s*日\s*([0-9０-９]{1,2})\s*[:时]\s*([0-9０-９]{1,2})\s*分?",
+        r"([0-9０-９]{4})[-/]([0-9０-９]{1,2})[-/]([0-9０-９]{1,2})\s+([0-9０-９]{1,2}):([0-9０-９]{1,2})",
+        r"([0-9０-９]{4})\s*年\s*([0-9０-９]{1,2})\s*月\s*([0-9０-９]{1,2})\s*日",
+        r"([0-9０-９]{4})[-/]([0-9０-９]{1,2})[-/]([0-9０-９]{1,2})",
     ),
     bidder=(
-        r"(?U)(?:招标人|采购人|采购单位|招标单位|项目业主|建设单位|发包人|甲方)"
+        r"(?:招标人|采购人|采购单位|招标单位|项目业主|建设单位|发包人|甲方)"
         r"\s*[:：]\s*(.{2,60}?)(?:[,，。\n\r<]|$)"
     ),
     location=(
-        r"(?U)(?:项目地点|项目地址|工程地点|实施地点|交货地点|服务地点|地\s*点)"
+        r"(?:项目地点|项目地址|工程地点|实施地点|交货地点|服务地点|地\s*点)"
         r"\s*[:：]\s*(.{2,80}?)(?:[,，。\n\r<;；]|$)"
     ),
     location_names=r"([一-鿿]{2,}(?:省|自治区|市|区|县|镇|乡|村|街道))",
     location_joiner="、",
     amounts=(
-        r"(?U)(?:预算金额|采购预算|项目预算|预算|控制价|标段金额|总金额|合同金额|中标金额|中标价|成交金额|成交价)"
-        r"\s*[:：]?\s*([\d,，.]+)\s*(万元|亿元|元)",
-        r"(?U)([\d,，.]+)\s*(万元|亿元)",
+        r"(?:预算金额|采购预算|项目预算|预算|控制价|标段金额|总金额|合同金额|中标金额|中标价|成交金额|成交价)"
+        r"\s*[:：]?\s*([0-9０-９,，.]+)\s*(万元|亿元|元)",
+        r"([0-9０-９,，.]+)\s*(万元|亿元)",
     ),
     units=(("亿元", 100_000_000.0), ("万元", 10_000.0)),
     phone=(
-        r"(?U)(?:联系电话|电\s*话|手\s*机|联系方式|联系人电话|咨询电话)"
-        r"\s*[:：]?\s*([\d\s\-()（）+]{7,20})"
+        r"(?:联系电话|电\s*话|手\s*机|联系方式|联系人电话|咨询电话)"
+        r"\s*[:：]?\s*([0-9０-９\s\-()（）+]{7,20})"
     ),
-    mobile=r"(?U)1[3-9]\d{9}",
-    person=r"(?U)(?:联\s*系\s*人|项目联系人|采购联系人)\s*[:：]\s*([一-鿿]{2,4})",
+    mobile=r"1[3-9][0-9０-９]{9}",
+    person=r"(?:联\s*系\s*人|项目联系人|采购联系人)\s*[:：]\s*([一-鿿]{2,4})",
     contact_prefixes=("联系人: ", "电话: ", "手机: ", "邮箱: "),
     site_suffix=(
-        r"(?U)\s*[-_|｜·»]\s*(?:中国政府采购网|政府采购网|政采网|招标公告网|中国招标网|百度搜索|百度).*$"
+        r"\s*[-_|｜·»]\s*(?:中国政府采购网|政府采购网|政采网|招标公告网|中国招标网|百度搜索|百度).*$"
     ),
     generic_titles=(
         "中国政府采购网", "政府采购信息网", "招标采购导航",
         "百度搜索", "bing", "google", "首页", "网站首页",
     ),
-    sentence_break=r"(?U)(?<=[。！？；\n])\s*|(?<=\.\s)|(?<=;\s)",
+    sentence_break=r"(?<=[。！？；\n])\s*|(?<=\.\s)|(?<=;\s)",
+    # the look-ahead holds the first characters of the alternatives and skips all other places
     junk=(
-        r"(?iU)(?:首页|网站地图|版权所有|ICP备|Copyright|All Rights Reserved|"
+        r"(?i)(?=[首网版关友设加免登欢退华东icarvfdwntj.$])"
+        r"(?:首页|网站地图|版权所有|ICP备|Copyright|All Rights Reserved|"
         r"关于我们|友情链接|设为首页|加入收藏|免责声明|"
         r"登录\s*[\|｜]\s*注册|登录\s+注册|欢迎您|退出登录|"
         r"华北\s.*?华中|华东\s.*?华南|东北\s.*?西北|"
-        r"var\s+\w+\s*=|function\s*\w*\s*\(|document\.\w|window\.\w|"
+        rf"var\s+[{WORD}]+\s*=|function\s*[{WORD}]*\s*\(|document\.[{WORD}]|window\.[{WORD}]|"
         r"\.getElementById|\.createElement|\.innerHTML|new\s+XMLHttpRequest|"
-        r"\.addEventListener|console\.log|return\s+(?:true|false)|typeof\s+\w|"
+        rf"\.addEventListener|console\.log|return\s+(?:true|false)|typeof\s+[{WORD}]|"
         r"\$\(|jQuery|\.css\(|\.ajax\(|\.ready\()"
     ),
     nav_words=r"登录|注册|分站|更多|首页|导航|北京|上海|广东|华北|华东|华南|东北|西北|华中|西南",
@@ -159,20 +162,20 @@ LATIN_TEST = replace(
     publish_hints=("Published", "Date"),
     bid_start_hints=("Opens",),
     bid_end_hints=("Closes",),
-    bidder=r"(?U)(?:Buyer|Owner)\s*:\s*(.{2,60}?)(?:[,.\n\r<]|$)",
-    location=r"(?U)(?:Place|Site)\s*:\s*(.{2,80}?)(?:[,.\n\r<;]|$)",
+    bidder=r"(?:Buyer|Owner)\s*:\s*(.{2,60}?)(?:[,.\n\r<]|$)",
+    location=r"(?:Place|Site)\s*:\s*(.{2,80}?)(?:[,.\n\r<;]|$)",
     location_names=r"([A-Z][a-z]{2,}(?:tion|edon|erin))",
     location_joiner=", ",
     amounts=(
-        r"(?U)(?:Budget|Price)\s*:?\s*([\d,.]+)\s*(million|thousand|EUR|USD)",
-        r"(?U)([\d,.]+)\s*(million|thousand)",
+        r"(?:Budget|Price)\s*:?\s*([0-9,.]+)\s*(million|thousand|EUR|USD)",
+        r"([0-9,.]+)\s*(million|thousand)",
     ),
     units=(("million", 1_000_000.0), ("thousand", 1_000.0)),
-    phone=r"(?U)(?:Phone|Tel)\s*:?\s*([\d\s\-()+]{7,20})",
-    mobile=r"(?U)\d{3}-\d{3}-\d{4}",
-    person=r"(?U)(?:Contact)\s*:\s*(\p{L}{2,20})",
+    phone=r"(?:Phone|Tel)\s*:?\s*([0-9\s\-()+]{7,20})",
+    mobile=r"[0-9０-９]{3}-[0-9０-９]{3}-[0-9０-９]{4}",
+    person=r"(?:Contact)\s*:\s*(\p{L}{2,20})",
     contact_prefixes=("contact: ", "phone: ", "mobile: ", "email: "),
-    sentence_break=r"(?U)(?<=[!?])\s*|(?<=\.\s)|(?<=;\s)",
+    sentence_break=r"(?<=[!?])\s*|(?<=\.\s)|(?<=;\s)",
     nav_words=r"login|register|more|home",
     notice_types=(
         ("award", r"(?i)\b(award|winner)\b"),
