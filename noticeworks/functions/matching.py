@@ -70,13 +70,10 @@ def with_name_hits(
     if lengths is None:
         raise ValueError(f"names of more than {NAME_LENGTHS} different lengths")
 
-    def pieces(t: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(t) - (n - 1))
-        cut = F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
-        return F.when(F.length(t) >= n, cut).otherwise(_array([]))
-
     def grams(t: Column) -> Column:
-        return F.array_distinct(F.concat(*[pieces(t, n) for n in lengths]))
+        # a look-ahead with a group cuts all overlapping pieces in one pass
+        cut = [F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+        return F.array_distinct(F.concat(*cut))
 
     hits = (
         df.select(F.col(key), F.explode(let(fold(text), grams)).alias("_gram"))

@@ -103,5 +103,5 @@ def summary(text: Column, profile: Profile) -> Column:
             lambda parts: F.when(F.size(parts) <= 1, chunks(t)).otherwise(parts),
         ),
     )
-    kept = take_until_length(F.filter(F.transform(sentences, F.trim), meaningful), SUMMARY_STOP)
+    kept = take_until_length(F.filter(F.transform(sentences, lambda s: F.trim(s)), meaningful), SUMMARY_STOP)
     return blank_to_null(F.left(F.array_join(kept, " "), F.lit(SUMMARY_MAX)))

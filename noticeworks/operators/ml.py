@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from noticeworks.functions.basics import blank_to_null, strip
 from noticeworks.functions.labelling import NOTICE_LABELS, model_input, notice_label, training_input
 from noticeworks.operators.samples import binary_metrics, stratified_split, trainable, with_balance
+from noticeworks.session import cut_lineage
 
 TITLE_WEIGHT = 3
 BODY_MAX = 2000
@@ -46,11 +47,16 @@ def train_relevance(
     samples: DataFrame, balance: str = "auto", features: int = 1 << 16, iterations: int = 20
 ) -> tuple[PipelineModel, DataFrame]:
     """Relevance classifier and its metrics on held-out samples."""
-    ready = trainable(samples).withColumn("features_text", weighted_text(F.col("title"), F.col("content")))
+    ready = cut_lineage(
+        trainable(samples).select(
+            "url_hash", "label", "title", "content",
+            weighted_text(F.col("title"), F.col("content")).alias("features_text"),
+        )
+    )
     labelled = ready.count()
     if labelled < MIN_SAMPLES:
         raise ValueError(f"{labelled} labelled samples, at least {MIN_SAMPLES} are needed")
-    split = stratified_split(ready)
+    split = cut_lineage(stratified_split(ready))
     train = with_balance(split.where(F.col("split") == "train"), balance)
     learner = LogisticRegression(
         featuresCol="_features", labelCol="label", weightCol="weight", maxIter=iterations, regParam=0.01
@@ -74,10 +80,11 @@ def train_notice_type(
         "url_hash", notice_label(F.col("notice_type"), labels).alias("label"),
         training_input(F.col("title"), F.col("summary")).alias("features_text"), "title",
     ).where(blank_to_null(strip(F.col("title"))).isNotNull())
+    newest = cut_lineage(newest)
     total = newest.count()
     if total < 20:
         raise ValueError(f"{total} typed notices, at least 20 are needed")
-    split = stratified_split(newest)
+    split = cut_lineage(stratified_split(newest))
     indexer = StringIndexerModel.from_labels(list(labels), inputCol="label", outputCol="_label", handleInvalid="keep")
     learner = LogisticRegression(
         featuresCol="_features", labelCol="_label", family="multinomial", maxIter=iterations, regParam=0.01

@@ -18,6 +18,7 @@ from noticeworks.operators.extract import (
     extract_notices, listing_error, listing_info, with_keyword_hits,
 )
 from noticeworks.profile import LIST_PAGE, SEARCH_SERP, ZH_TENDER, Profile
+from noticeworks.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -48,13 +49,18 @@ def parse_job(
     mode: str = "unparsed_and_errors", profile: Profile = ZH_TENDER, scorer: Scorer | None = None,
 ) -> DataFrame:
     """The parsed table after a parse run."""
-    updates = parse_updates(pages, parsed, keywords, mode, profile, scorer).withColumns(
+    return apply_updates(parsed, parse_updates(pages, parsed, keywords, mode, profile, scorer), as_of)
+
+
+def apply_updates(parsed: DataFrame, updates: DataFrame, as_of: datetime) -> DataFrame:
+    """The parsed table after bringing in the rows of a parse run."""
+    stamped = updates.withColumns(
         {
             "id": new_row_id(), "created_at": F.lit(as_of), "updated_at": F.lit(as_of),
             "updated_by": F.lit(None).cast("string"),
         }
     )
-    return merge.merge_parsed(parsed, updates)
+    return merge.merge_parsed(parsed, stamped)
 
 
 def parse_totals(updates: DataFrame) -> DataFrame:
@@ -165,7 +171,9 @@ def run_after_crawl(
     """Parse, prepare messages, and the batch to deliver, as the schedule's switches say."""
     if not auto_parse:
         return {}
-    merged = parse_job(pages, parsed, keywords, as_of, profile=profile, scorer=scorer)
+    # the extraction is the expensive part and feeds every table below: write it once
+    updates = cut_lineage(parse_updates(pages, parsed, keywords, profile=profile, scorer=scorer))
+    merged = apply_updates(parsed, updates, as_of)
     new = alerts.prepare_notifications(merged, channels, outbox, regions, cfg, as_of)
     out = {"parsed": merged, "new_messages": new}
     if auto_notify:
