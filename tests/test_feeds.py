@@ -1,0 +1,44 @@
+from datetime import datetime as dt
+
+from pyspark.sql import functions as F
+
+from noticeworks.sources import feeds, registry
+
+
+def test_listing_feed(spark):
+    body = '{"result":{"totalcount":9,"records":[{"title":"","titlenew":" 新题 ","linkurl":" /a ","webdate":"","infodate":"2024-01-02"},{"title":"x","linkurl":""},{"title":"全","linkurl":"http://z.cn/1","webdate":"2024/1/2 03:04:05","zhuanzai":" 来源 "}]}}'
+    df = spark.createDataFrame([("c", body), ("c", "no json"), ("c", "{}")], "category string, body string")
+    out = [tuple(r)[1:] for r in feeds.listing_records(df, "http://h.cn/").drop("url_hash").orderBy("position").collect()]
+    assert out == [(0, "http://h.cn/a", "h.cn", "新题", dt(2024, 1, 2), None), (2, "http://z.cn/1", "z.cn", "全", dt(2024, 1, 2, 3, 4, 5), "来源")]
+
+
+def test_portal_and_detail(spark):
+    body = '{"code":"200","data":{"total":2,"rows":[{"id":"7","title":"","noticeTime":null,"publishTime":"2024-01-02"},{"id":null}]}}'
+    out = feeds.portal_records(spark.createDataFrame([(body,)], "body string"), "http://p/?id={id}").collect()
+    assert [(r.url, r.title, r.publish_date) for r in out] == [("http://p/?id=7", "7", dt(2024, 1, 2))]
+    details = spark.createDataFrame(
+        [('{"code":200,"data":{"title":"题","description":"摘","budget":"5","author":""}}',), ('{"code":"500","data":{}}',)], "body string"
+    )
+    html = [r.html for r in feeds.render_detail_html(feeds.detail_records(details)).collect()]
+    assert html == [
+        "<html><head><meta charset='utf-8'><title>题</title></head><body><h1>题</h1><p><b>预算金额：</b>5</p>"
+        "<div class='content'><div class='summary'>摘</div></div></body></html>"
+    ]
+
+
+def test_config(spark):
+    rows = [(1, '{"page_size": 5, "categories":[{"num":"1","name":"a"},{"num":""}], "time_partition":"Month","start_date":"2024-05"}'), (2, "[1]"), (3, "bad"), (4, None)]
+    df = spark.createDataFrame(rows, "id bigint, config string").withColumn("name", F.lit("n"))
+    out = {r.id: r.settings for r in registry.source_config(df).collect()}
+    assert out[1].page_size == 5 and out[1].max_pages == 30 and [out[i].page_size for i in (2, 3, 4)] == [20] * 3
+    win = registry.source_windows(df, F.lit(dt(2024, 6, 3)).cast("timestamp")).collect()
+    assert [(r.category_num, r.start_day, r.end_day) for r in win] == [("1", "2024-06-01", "2024-06-30"), ("1", "2024-05-01", "2024-05-31")]
+
+
+def test_sync(spark):
+    old = spark.createDataFrame([(1, "a", "u1", None, False, 1.0), (2, "b", "u2", "{}", True, 2.0), (3, "c", "u3", None, True, 3.0)], "id bigint, name string, base_url string, config string, enabled boolean, rate_limit double")
+    new = spark.createDataFrame([("a", "u1x", None, True, 9.0), ("b", "u2", "{}", False, 9.0), ("d", "u4", None, None, 9.0)], "name string, base_url string, config string, enabled boolean, rate_limit double")
+    out = {r.name: (r.action, r.base_url, r.enabled, r.rate_limit) for r in registry.sync_sources(old, new).collect()}
+    assert out == {
+        "a": ("updated", "u1x", False, 1.0), "b": ("unchanged", "u2", True, 2.0), "c": ("kept", "u3", True, 3.0), "d": ("created", "u4", True, 9.0),
+    }
