@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticeworks.sources.tables import spread
+
 AS_OF = datetime(2001, 6, 1, 12, 0, 0)
 
 
@@ -53,7 +55,7 @@ class Model:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.table("documents").selectExpr(
+        return spread(self.table("documents")).selectExpr(
             "doc_id", "text", "lang", "source", "n_chars",
             "concat('http://', source, '.example/', lang, '/', doc_id) AS url",
             "split(text, '\n')[0] AS first_line",
@@ -208,7 +210,7 @@ class Model:
     def order_pages(self) -> DataFrame:
         """A Chinese notice page per order."""
         return (
-            self.table("orders")
+            spread(self.table("orders"))
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .selectExpr(

@@ -256,7 +256,7 @@ KEYWORDS_SQL = """
 @query("keyword_relevance", KEYWORDS_SQL)
 def keyword_relevance(m: Model):
     words = extract.keyword_list(m.keywords)
-    hits = m.table("documents").select("doc_id", matched_terms(F.col("text"), words).alias("matched"))
+    hits = m.docs.select("doc_id", matched_terms(F.col("text"), words).alias("matched"))
     judged = hits.withColumn("r", fields.relevance(F.col("matched"), F.lit(len(words))))
     return judged.select(
         "doc_id", F.array_join("matched", ",").alias("matched"), F.col("r.is_relevant").alias("is_relevant"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeworks.functions.basics import (
-    ascii_digits, blank_to_null, contains_any, extract, first_of, let, squeeze, string_array, strip,
+    SPACE, ascii_digits, blank_to_null, contains_any, extract, first_of, let, squeeze, strip,
 )
 from noticeworks.functions.dates import date_near, match_date
 from noticeworks.functions.text import strip_tags
@@ -96,6 +98,10 @@ def amount(text: Column, profile: Profile) -> Column:
 
         return let(F.regexp_substr(text, F.lit(pattern)), build)
 
+    units = [name for name, _ in profile.units]
+    shared = units[0][-1]
+    if all(name.endswith(shared) for name in units):
+        return F.when(F.contains(text, F.lit(shared)), first_of(read(p) for p in profile.amounts))
     return first_of(read(p) for p in profile.amounts)
 
 
@@ -121,12 +127,11 @@ def clean_title(title: Column, profile: Profile) -> Column:
 
 
 def is_generic_title(title: Column, generic: tuple[str, ...]) -> Column:
-    low = strip(F.lower(title))
-    listed = let(
-        low,
-        lambda t: F.exists(string_array(g.lower() for g in generic), lambda g: F.endswith(t, g)),
+    """Too short, or ending in a title that says nothing (in any case)."""
+    ending = "|".join(re.escape(g) for g in generic)
+    return F.coalesce(
+        (F.length(title) < TITLE_MIN) | F.rlike(title, F.lit(rf"(?i)(?:{ending})[{SPACE}]*$")), F.lit(True)
     )
-    return F.coalesce((F.length(title) < TITLE_MIN) | listed, F.lit(True))
 
 
 def _long_enough(title: Column) -> Column:

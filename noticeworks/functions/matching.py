@@ -7,6 +7,7 @@ occur among the names and joined by equality, which finds exactly the same hits.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -18,11 +19,20 @@ INLINE_NAMES = 2000
 NAME_LENGTHS = 200
 
 
+def _caseless(term: str) -> bool:
+    return term.lower() == term.upper() and not any(map(unicodedata.combining, term))
+
+
 def matched_terms(text: Column, terms: Iterable[str]) -> Column:
-    """Terms found in the text, ignoring case, in the order of ``terms``."""
+    """Terms found in the text, ignoring case, in the order of ``terms``.
+
+    The text is folded only if some term has letters with case.
+    """
     terms = [t for t in terms if t]
     if not terms:
-        return F.expr("cast(array() as array<string>)")
+        return _array([])
+    if all(map(_caseless, terms)):
+        return let(text, lambda t: F.filter(_array(terms), lambda term: F.contains(t, term)))
     table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("low")) for t in terms])
     return let(
         F.lower(text),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeworks.functions.basics import SPACE, blank_to_null, has_at_least, let, squeeze, strip
+from noticeworks.functions.basics import SPACE, blank_to_null, has_at_least, let, squeeze
 from noticeworks.profile import WORD, Profile
 
 # Script code that shows a page holds no readable text.
@@ -49,7 +49,7 @@ def is_valid_content(text: Column, profile: Profile) -> Column:
     enough = has_at_least(F.left(text, F.lit(2000)), profile.min_script, profile.script)
     enough_early = has_at_least(head, profile.min_script, profile.script)
     return F.coalesce(
-        (F.length(strip(text)) >= 20) & enough & (enough_early | ~F.rlike(head, F.lit(SCRIPT_CODE))),
+        (F.length(F.trim(text)) >= 20) & enough & (enough_early | ~F.rlike(head, F.lit(SCRIPT_CODE))),
         F.lit(False),
     )
 
@@ -86,13 +86,14 @@ def summary(text: Column, profile: Profile) -> Column:
         return F.transform(starts, lambda i: F.substring(t, i + 1, F.lit(CHUNK)))
 
     def meaningful(s: Column) -> Column:
-        # cheap tests first
+        # cheap tests first; three hits of navigation words need no count
+        word = f"(?:{profile.nav_words})"
         fragment = F.rlike(s, F.lit(rf"^[{WORD} \-\.·|/、，,]+$"))
         return (
             (F.length(s) >= SENTENCE_MIN)
             & has_at_least(s, profile.min_sentence_script, profile.script)
             & ((F.length(s) >= FRAGMENT_MAX) | ~fragment)
-            & (F.regexp_count(s, F.lit(profile.nav_words)) < 3)
+            & ~F.rlike(s, F.lit(f"(?s){word}.*?{word}.*?{word}"))
             & ~F.rlike(s, F.lit(profile.junk))
         )
 

@@ -6,6 +6,7 @@ the addresses that occur in crawled pages.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -82,16 +83,18 @@ def domain(url: Column) -> Column:
     return netloc(url)
 
 
+def _serp_pattern() -> str:
+    """Hosts in any case, each followed by one of its paths; '/' also stands for no path."""
+    hosts = []
+    for host, prefixes in SERP_HOSTS.items():
+        paths = "|".join("[/?#]|$" if p == "/" else re.escape(p) for p in prefixes)
+        hosts.append(f"(?i:{re.escape(host)})(?:{paths})")
+    return rf"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:{'|'.join(hosts)})"
+
+
 def is_serp_url(url: Column) -> Column:
     """Is this address a search engine's own result page?"""
-    hosts = F.create_map(
-        *[part for host, prefixes in SERP_HOSTS.items() for part in (F.lit(host), string_array(prefixes))]
-    )
-    prefixes = F.try_element_at(hosts, F.lower(netloc(url)))
-    page = F.coalesce(blank_to_null(path(url)), F.lit("/"))
-    return F.coalesce(
-        let(page, lambda p: F.exists(prefixes, lambda pre: F.startswith(p, pre))), F.lit(False)
-    )
+    return F.coalesce(F.rlike(url, F.lit(_serp_pattern())), F.lit(False))
 
 
 def domain_matches(col: Column, suffix: str) -> Column:

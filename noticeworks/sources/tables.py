@@ -21,6 +21,16 @@ def read_table(spark: SparkSession, schema: str, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan that has fewer splits than there are cores.
+
+    Text work is bound by CPU, and a small file with one row group would keep one
+    core busy.  Large tables have more splits than cores and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_region_tree(spark: SparkSession, path: str) -> DataFrame:
     """Nested region file, one JSON array."""
     return spark.read.schema(schemas.REGION_TREE).option("multiLine", True).json(path)
