@@ -281,18 +281,14 @@ def summaries(m: Model):
 
 
 @query("listing_pages", """
-    SELECT c_custkey AS id, n_orders AS text_links, n_orders AS dated_links, 1.0::double AS ratio,
-           CASE WHEN n_orders >= 15 THEN 'abs>=15' ELSE 'ratio>=0.30' END AS rule
-    FROM (SELECT o_custkey AS c_custkey, count(*) AS n_orders FROM orders GROUP BY 1) WHERE n_orders >= 8
+    SELECT doc_id AS id, n AS text_links, n AS dated_links, 1.0::double AS ratio,
+           CASE WHEN n >= 15 THEN 'abs>=15' ELSE 'ratio>=0.30' END AS rule
+    FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]{2,}')) AS n FROM documents) WHERE n >= 8
 """)
 def listing_pages(m: Model):
-    anchor = F.concat(
-        F.lit("<li><span>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('</span><a href="/'),
-        F.col("o_orderkey").cast("string"), F.lit('">公告标题</a></li>'),
-    )
-    made = m.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(
-        F.concat_ws("", F.array_sort(F.collect_list(anchor))).alias("html")
-    ).withColumn("url", F.lit("http://x.example/"))
+    words = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{2,}"), F.lit(0))
+    anchors = F.transform(words, lambda w: F.concat(F.lit('<li><a href="/x">公告'), w, F.lit("</a> 2024-03-15</li>")))
+    made = m.docs.select(F.col("doc_id").alias("id"), "url", F.array_join(anchors, "").alias("html"))
     return extract.listing_pages(made, ZH_TENDER).drop("url")
 
 

@@ -188,28 +188,29 @@ def resolve_region(m: Model):
 
 
 @query("region_tree", """
-    SELECT r_name AS name, 'province' AS level, cast(NULL AS bigint) AS parent_id, ('0x' || substr(md5(r_name), 1, 15))::bigint AS id FROM region
-    UNION ALL SELECT n_name, 'city', ('0x' || substr(md5(r_name), 1, 15))::bigint, ('0x' || substr(md5(concat(r_name, '/', n_name)), 1, 15))::bigint
-        FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name NOT LIKE '%_1'
-    UNION ALL SELECT s_name, 'district',
-        CASE WHEN n_name LIKE '%_1' THEN ('0x' || substr(md5(r_name), 1, 15))::bigint ELSE ('0x' || substr(md5(concat(r_name, '/', n_name)), 1, 15))::bigint END,
-        ('0x' || substr(md5(CASE WHEN n_name LIKE '%_1' THEN concat(r_name, '/', s_name) ELSE concat(r_name, '/', n_name, '/', s_name) END), 1, 15))::bigint
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    SELECT s_name AS name, 'province' AS level, cast(NULL AS bigint) AS parent_id, ('0x' || substr(md5(s_name), 1, 15))::bigint AS id FROM supplier
+    UNION ALL SELECT n_name, 'city', ('0x' || substr(md5(s_name), 1, 15))::bigint, ('0x' || substr(md5(concat(s_name, '/', n_name)), 1, 15))::bigint
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name NOT LIKE '%_1'
+    UNION ALL SELECT concat('d', s_suppkey), 'district', ('0x' || substr(md5(parent), 1, 15))::bigint,
+        ('0x' || substr(md5(concat(parent, '/d', s_suppkey)), 1, 15))::bigint
+        FROM (SELECT s_suppkey, CASE WHEN n_name LIKE '%_1' THEN s_name ELSE concat(s_name, '/', n_name) END AS parent
+              FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 """)
 def region_tree(m: Model):
-    districts = m.table("supplier").groupBy("s_nationkey").agg(
-        F.collect_list(F.struct(F.col("s_name").alias("name"), F.lit("d").alias("code"))).alias("children")
-    )
     city = F.when(F.col("n_name").like("%_1"), F.lit(R.PSEUDO_CITY)).otherwise(F.col("n_name"))
-    cities = m.table("nation").join(districts, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_regionkey").agg(
-        F.collect_list(F.struct(city.alias("name"), F.lit("c").alias("code"), "children")).alias("children")
-    )
-    tree = m.table("region").join(cities, F.col("r_regionkey") == F.col("n_regionkey")).select(
-        F.col("r_name").alias("name"), F.lit("p").alias("code"), "children"
+    district = F.struct(F.concat(F.lit("d"), F.col("s_suppkey").cast("string")).alias("name"), F.lit("d").alias("code"))
+    children = F.array(F.struct(city.alias("name"), F.lit("c").alias("code"), F.array(district).alias("children")))
+    tree = m.table("supplier").join(m.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_name").alias("name"), F.lit("p").alias("code"), children.alias("children")
     )
     return R.flatten_region_tree(tree).select("id", "name", "level", "parent_id")
 
 
+@query("enabled_rows", "SELECT id, name FROM m_regions WHERE enabled")
+def enabled_rows(m: Model):
+    return S.enabled_rows(m.regions).select("id", "name")
+
+
 @query("merge_regions", """
     SELECT name, coalesce(parent_id, -1) AS parent FROM m_regions WHERE level <> 'village'
     UNION ALL SELECT name, coalesce(parent_id, -1) FROM m_regions WHERE level = 'village'

@@ -163,8 +163,8 @@ def crawl_frontier(
 ) -> DataFrame:
     """Breadth-first depth of every URL reachable from ``seeds`` over stored pages.
 
-    One equi join per level; each level is checkpointed, so a lost executor does
-    not replay the levels before it.
+    One equi join per level; each level is written out, so a lost executor does
+    not replay the levels before it, and the visited set is the written levels.
     """
     edges = cut_lineage(
         page_links(dedup_pages(pages), extra_domains).select(
@@ -187,5 +187,5 @@ def crawl_frontier(
         level = cut_lineage(step)
         if level.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(level))
+        visited = visited.unionByName(level)
     return visited.select("url", "url_hash", "depth")

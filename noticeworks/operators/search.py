@@ -137,6 +137,11 @@ def latest(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(F.col(order).desc_nulls_first()).limit(n)
 
 
+def enabled_rows(registry: DataFrame) -> DataFrame:
+    """Enabled rows of a settings table, in id order."""
+    return registry.where("enabled").orderBy("id")
+
+
 def search_results_api(
     results: DataFrame, regions: DataFrame, *, keyword: str = "", region_id: int | None = None,
     source_type: str = "", page: int = 1, per_page: int = PER_PAGE,
