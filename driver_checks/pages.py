@@ -201,16 +201,23 @@ def fetched_results(m: Model):
     return found.select("url", "url_hash", "title")
 
 
-@query("crawl_frontier")
+@query("crawl_frontier", """
+    SELECT url, md5(url) AS url_hash, length(cast(9 * k + 1 AS varchar)) - 1 AS depth FROM (
+        SELECT k, concat('http://orders.example/', k) AS url FROM (
+            SELECT 0 AS k UNION SELECT 10 * id + c FROM m_notices, generate_series(1, 10) AS g(c)))
+""")
 def crawl_frontier(m: Model):
+    """Order n links to the orders 10 n + 1 to 10 n + 10."""
+    ten = F.transform(
+        F.sequence(F.lit(1), F.lit(10)),
+        lambda c: F.concat(F.lit('<a href="/'), (F.col("id") * 10 + c).cast("string"), F.lit('">x</a>')),
+    )
     walk = m.notices.select(
-        F.col("id").cast("string").alias("id"), "url",
-        F.concat(F.lit('<a href="/'), (F.col("id") * 2 + 1).cast("string"), F.lit('">a</a><a href="/'),
-                 (F.col("id") * 2 + 2).cast("string"), F.lit('">b</a>')).alias("html"),
+        F.col("id").cast("string").alias("id"), "url", F.array_join(ten, "").alias("html"),
         F.col("publish_date").alias("crawled_at"),
     )
-    seeds = walk.where("id = '0'").select("url")
-    return links.crawl_frontier(walk, seeds, max_depth=5)
+    seeds = m.notices.where("id = 0").select("url")
+    return links.crawl_frontier(walk, seeds, max_depth=12)
 
 
 @query("contacts", """
@@ -274,7 +281,23 @@ def keyword_join(m: Model):
     return hits.where(F.size("hits") > 0).select("doc_id", F.array_join("hits", ",").alias("matched"))
 
 
-@query("summaries")
+# no look-behind here: sentence ends are marked first, then the text is split at the marks
+SUMMARY_SQL = """
+    WITH marked AS (SELECT id, text, string_split(regexp_replace(regexp_replace(regexp_replace(text, '([!?])\\s*', '\\1' || chr(1), 'g'),
+            '(\\.\\s)', '\\1' || chr(1), 'g'), '(;\\s)', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM m_doc_text),
+    segments AS (SELECT id, CASE WHEN len(parts) <= 1
+            THEN list_transform(generate_series(0, greatest(least(length(text), 3000) - 1, 0), 200), lambda i: trim(substr(text, i + 1, 200)))
+            ELSE list_transform(parts, lambda s: trim(s)) END AS segs FROM marked),
+    good AS (SELECT id, list_filter(segs, lambda s: length(s) >= 10 AND len(regexp_extract_all(s, '\\p{L}')) >= 5
+            AND NOT (length(s) < 30 AND regexp_full_match(s, '[\\p{L}\\p{N}_ \\-.·|/、，,]+'))
+            AND len(regexp_extract_all(s, 'login|register|more|home')) < 3
+            AND NOT regexp_matches(s, '(?i)Copyright|All Rights Reserved|ICP备|var\\s+[\\p{L}\\p{N}_]+\\s*=|function\\s*[\\p{L}\\p{N}_]*\\s*\\(|document\\.[\\p{L}\\p{N}_]|window\\.[\\p{L}\\p{N}_]|\\.getElementById|\\.createElement|\\.innerHTML|new\\s+XMLHttpRequest|\\.addEventListener|console\\.log|return\\s+(?:true|false)|typeof\\s+[\\p{L}\\p{N}_]|\\$\\(|jQuery|\\.css\\(|\\.ajax\\(|\\.ready\\(')) AS segs FROM segments)
+    SELECT id, nullif(substr(array_to_string(list_filter(segs, lambda s, i:
+        coalesce(list_sum(list_transform(segs[1:i - 1], lambda z: length(z))), 0) <= 300), ' '), 1, 500), '') AS summary FROM good
+"""
+
+
+@query("summaries", SUMMARY_SQL)
 def summaries(m: Model):
     staged = m.doc_pages.select("id", text.html_to_text(F.col("html")).alias("text"))
     return staged.select("id", text.summary(F.col("text"), LATIN_TEST).alias("summary"))
