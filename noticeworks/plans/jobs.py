@@ -12,7 +12,7 @@ from noticeworks.functions import fields as X
 from noticeworks.functions.basics import blank_to_null, strip
 from noticeworks.functions.encoding import fix_mojibake
 from noticeworks.functions.text import html_to_text
-from noticeworks.functions.urls import is_serp_url
+from noticeworks.functions.urls import is_serp_url, url_hash
 from noticeworks.operators import alerts, merge, reconcile
 from noticeworks.operators.extract import (
     extract_notices, listing_error, listing_info, with_keyword_hits,
@@ -39,7 +39,9 @@ def parse_updates(
     Newest pages and the parsed table are both keyed by ``url_hash``, so dedup and
     selection share one shuffle.
     """
-    keyed = merge.with_page_keys(pages) if "url_hash" not in pages.columns else pages
+    keyed = pages.select(
+        "id", "url", url_hash(F.col("url")).alias("url_hash"), "html", "crawled_at", "search_query", "source_name", "meta"
+    )
     work = merge.select_pages_to_parse(merge.dedup_pages(merge.drop_serp_pages(keyed)), parsed, mode)
     return extract_notices(work, keywords, profile, scorer)
 
