@@ -83,7 +83,7 @@ def stream_alerts(
         newest = one_per_key(batch, ["url_hash"], ["id"])
         known = read_log(spark, OUTBOX_LOG, target).where(F.col("batch_id") != batch_id)
         touched = known.join(newest.select("url_hash"), "url_hash", "left_semi")
-        now = as_of or datetime.utcnow()
+        now = as_of or datetime.now()
         new = alerts.prepare_notifications(newest, channels, touched, regions, cfg, now)
         append_batch(new, target, batch_id)
 
