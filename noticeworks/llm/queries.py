@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm import decontam, packing, simhash, substrings
+from noticeworks.llm import decontam, langid, packing, simhash, substrings
 
 #: Module that finds the public vocabulary files, and the files of the vocabulary by whose ids documents are packed.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -47,3 +47,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def held_out() -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    prototypes = langid.learn(table(spark, sf_dir, "documents", "doc_id", "lang", "text").filter(~held_out()))
+    found = langid.identify(docs, prototypes, keep_text=False)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
