@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm import decontam, langid, packing, simhash, substrings
+from noticeworks.llm import decontam, langid, licenses, packing, simhash, substrings
 
 #: Module that finds the public vocabulary files, and the files of the vocabulary by whose ids documents are packed.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -59,3 +59,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     prototypes = langid.learn(table(spark, sf_dir, "documents", "doc_id", "lang", "text").filter(~held_out()))
     found = langid.identify(docs, prototypes, keep_text=False)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
