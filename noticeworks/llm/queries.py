@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm import decontam, langid, licenses, packing, simhash, substrings
+from noticeworks.llm import decontam, langid, licenses, maintext, packing, simhash, substrings
 
 #: Module that finds the public vocabulary files, and the files of the vocabulary by whose ids documents are packed.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -64,3 +64,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
+
+
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"), keep_html=False)

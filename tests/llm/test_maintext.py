@@ -1,0 +1,61 @@
+"""Main text: planted articles in pages of several layouts, and odd markup."""
+
+import html
+import re
+
+import pytest
+
+from noticeworks.llm.maintext import extract_main_text, main_text
+from noticeworks.llm.queries import QUERIES
+
+DIR = "/root/testdata/sf0.01"
+PARAGRAPHS = ["First, a sentence of some length, with commas, so it counts as text of an article.", "Short.", "Then another one, which goes on for a while, and ends & stops here <really>."]
+BODY = "".join(f"<p>{html.escape(p)}</p>\n" for p in PARAGRAPHS)
+WANT = "\n\n".join(PARAGRAPHS)
+MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News, sport and more, all of it</a></li></ul>'
+COMMENT = "<p>I, for one, think this is a long comment, with many commas, by a reader, and so on, and so on.</p>"
+
+
+def test_op4_equals_the_articles(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
+    got = QUERIES["op4_main_text"](spark, DIR).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        article = re.search(r"<article>(.*)</article>", pages[r.page_id].html, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article))
+        want = "\n\n".join(b for b in blocks if b)
+        assert (r.text, r.n_chars, r.url) == (want, len(want), pages[r.page_id].url)
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class=menu>{MENU}</div><div id=content>{BODY}</div><div id=sidebar>{COMMENT}</div></body>",
+    f"<body><header><h1>Site</h1></header><main>{BODY}</main><section class='reader-comments'>{COMMENT * 5}</section><footer>Imprint, (c)</footer></body>",
+    f"<table><tr><td>{MENU}</td><td>{BODY}</td></tr></table>",
+    f"<article>{BODY}<aside>{COMMENT}</aside><div class='ad box'>{COMMENT}</div><form><p>Subscribe, now</p></form>{MENU}</article>",
+    f"<div><div class=post>{BODY.replace('</p>', '')}<script>if (a<b) document.write('<p>no</p>')</script></div></div><div class=comments>{COMMENT * 9}</div>",
+    f"<div role=alert><p>We, and others, use cookies, on this page, for all sorts of things.</p></div><div>{BODY}</div><div style='display: none'>{COMMENT}</div>",
+    f"<!-- <p>{COMMENT} --><style>p > a {{}}</style><noscript>{COMMENT}</noscript><div title='a > b'>{BODY}</div>",
+])
+def test_layouts(page):
+    assert main_text(page) == WANT
+
+
+def test_odd_markup():
+    assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x") == main_text("<!-- open") == ""
+    assert main_text("just text, no tags") == "just text, no tags"
+    assert main_text("<p>a<b>b</b>c &eacute;&#233;&nbsp; d\n<br>e</p>") == "abc éé d e"
+    assert main_text("a < b and <3 <p class='x>y</p>").startswith("a < b and <3")
+    assert main_text("<article><h1>T</h1><p><b>one<br><p>two</article>") == "T\n\none\n\ntwo"
+    assert main_text("<ul><li>one, two, three<li>four</ul>") == "one, two, three\n\nfour"
+    assert main_text("</div></p>x") == "x"
+    deep = "<div>" * 30_000 + "text, at the end" + "<b>" * 30_000 + " more"
+    assert main_text(deep) == "text, at the end more"
+    assert main_text('<a "' * 20_000).count("a") >= 0
+
+
+def test_table_contract(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, f"<div>{BODY}</div>", None), (2, f"<div>{BODY}</div>", None), (None, "", "y")], "page_id long, html string, `text` string")
+    out = extract_main_text(rows)
+    assert out.columns == ["page_id", "html", "text", "n_chars"]
+    assert sorted(((r.page_id, r.text, r.n_chars) for r in out.collect()), key=str) == sorted([(1, "", 0), (2, WANT, len(WANT)), (2, WANT, len(WANT)), (None, "", 0)], key=str)
+    assert extract_main_text(rows.limit(0)).count() == 0
