@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm import decontam, langid, licenses, maintext, packing, simhash, substrings
+from noticeworks.llm import decontam, langid, licenses, maintext, packing, simhash, substrings, urlfilter
 
 #: Module that finds the public vocabulary files, and the files of the vocabulary by whose ids documents are packed.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -69,3 +69,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"), keep_html=False)
+
+
+#: Stated rules of op9.
+RULES = [urlfilter.Rule(*x) for x in (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))]
+
+
+@query
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), RULES).drop("url")
