@@ -59,6 +59,17 @@ def _deal(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _planes(names: np.ndarray, width: int) -> bytes:
+    """Lower ``width`` bytes of ascending 64-bit names, byte by byte: the first plane hardly changes, and the shuffle compresses it."""
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, width - 1 :: -1].T.tobytes()
+
+
+def _names(planes: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, width - 1 :: -1] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def _runs(deal: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, begin, end) of the runs of an ascending array."""
     which, begin = np.unique(deal, return_index=True)
@@ -139,8 +150,8 @@ _SECOND = 1 << 30
 
 
 def _passes(window: int, buckets: int) -> tuple[Callable, Callable, Callable]:
-    def emitted(block: int, deal: np.ndarray, names: np.ndarray, many: np.ndarray | None) -> pa.Table:
-        return _table(NAMES, [(block, b, names[a:e].tobytes(), None if many is None else np.packbits(many[a:e]).tobytes()) for b, a, e in _runs(deal)])
+    def emitted(block: int, deal: np.ndarray, names: np.ndarray, width: int, many: np.ndarray | None) -> pa.Table:
+        return _table(NAMES, [(block, b, _planes(names[a:e], width), None if many is None else np.packbits(many[a:e]).tobytes()) for b, a, e in _runs(deal)])
 
     def prepared(docs: pa.Table, messages: pa.Table) -> Block:
         block = Block(docs, messages, window)
@@ -154,14 +165,14 @@ def _passes(window: int, buckets: int) -> tuple[Callable, Callable, Callable]:
         if not docs.num_rows:
             return _table(NAMES, [])
         block = prepared(docs, messages)
-        return emitted(docs["block"][0].as_py(), sampled(block), block.names.astype(np.uint32), block.times > 1)
+        return emitted(docs["block"][0].as_py(), sampled(block), block.names, 4, block.times > 1)
 
     def second(docs: pa.Table, messages: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table(NAMES, [])
         block = prepared(docs, messages)
         block.candidates(_bits(messages, sampled(block), 0), buckets)
-        return emitted(docs["block"][0].as_py(), block.deal, block.windows.view(np.uint8).reshape(-1, 8)[:, :7], None)
+        return emitted(docs["block"][0].as_py(), block.deal, block.windows, 7, None)
 
     def third(docs: pa.Table, messages: pa.Table) -> pa.Table:
         schema = "id long, key long, n_removed long, n_spans long, kept binary"
@@ -182,7 +193,7 @@ def _passes(window: int, buckets: int) -> tuple[Callable, Callable, Callable]:
 def _again(names: pa.Table) -> pa.Table:
     """One name bucket: which names occur in two blocks, or more than once in one."""
     rows = names.to_pylist()
-    parts = [np.frombuffer(r["names"], np.uint32) for r in rows]
+    parts = [_names(r["names"], 4).astype(np.uint32) for r in rows]
     many = [np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(p)) for r, p in zip(rows, parts, strict=True)]
     whole = np.concatenate(parts)
     order = np.argsort(whole, kind="stable")
@@ -196,10 +207,8 @@ def _again(names: pa.Table) -> pa.Table:
 def _earlier(names: pa.Table) -> pa.Table:
     """One suffix bucket: which names an earlier block has too."""
     rows = sorted(names.to_pylist(), key=lambda r: r["block"])
-    parts = [np.frombuffer(r["names"], np.uint8).reshape(-1, 7) for r in rows]
-    whole = np.zeros((sum(map(len, parts)), 8), np.uint8)
-    whole[:, :7] = np.concatenate(parts)
-    whole = whole.view("<u8").ravel()
+    parts = [_names(r["names"], 7) for r in rows]
+    whole = np.concatenate(parts)
     order = np.argsort(whole, kind="stable")
     flag = np.zeros(len(whole), bool)
     flag[order[1:]] = whole[order[1:]] == whole[order[:-1]]
