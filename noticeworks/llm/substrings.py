@@ -22,9 +22,9 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ from noticeworks.session import cut_lineage
 
 WINDOW = 100
 #: Bytes of text of a block, names of a bucket.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 BUCKET = 4 << 20
 #: (modulus, multiplier, seeds): the seeds' orbits under the multiplier are a perfect difference cover of the modulus.
 COVERS = ((57, 7, (0, 38, 1, 5)), (13, 3, (0, 1)), (7, 2, (1,)), (1, 1, (0,)))
@@ -85,18 +85,21 @@ class Block:
         one = {(i, k): n for n, (i, k) in enumerate(zip(ids, keys, strict=True)) if (i, k) not in gone}
         order = sorted(one, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         self.ids, self.keys, self.window = [i for i, _ in order], [k for _, k in order], window
-        texts = docs["text"].combine_chunks().take(pa.array([one[x] for x in order], pa.int64()))
-        self.data, self.starts = tb.joined(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
-        self.room = np.repeat(self.starts[1:], np.diff(self.starts)) - np.arange(len(self.data))
+        unpack, packed = zstandard.ZstdDecompressor().decompress, docs["packed"]
+        texts = [unpack(packed[one[x]].as_buffer()) for x in order]
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        del texts
+        self.lengths = np.repeat(np.diff(self.starts).astype(np.int32), np.diff(self.starts))
+        self.room = (np.repeat(self.starts[1:], np.diff(self.starts)) - np.arange(len(self.data))).astype(np.int32)
         self.hashes = tb.Hashes(self.data)
 
     def sample(self, buckets: int) -> None:
         """Names of the sampled strings: position, bucket and 4-byte name, and their numbering."""
         modulus, mask = difference_cover(self.window)
         named = self.window - modulus + 1
-        length = np.repeat(np.diff(self.starts), np.diff(self.starts))
         fits = np.flatnonzero(self.room >= named)
-        self.at = fits[mask[(length[fits] - self.room[fits]) % modulus]]
+        self.at = fits[mask[(self.lengths[fits] - self.room[fits]) % modulus]]
         names = self.hashes.of(self.at, self.at + named)
         packed = (_deal(names, buckets).astype(np.uint64) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
         self.names, self.number, self.times = np.unique(packed, return_inverse=True, return_counts=True)
@@ -220,14 +223,23 @@ def _answers(rows: list[dict], parts: list[np.ndarray], flag: np.ndarray, tag: i
     return _table(MESSAGE, [(r["block"], r["bucket"] + tag, None, None, np.packbits(flag[a:e]).tobytes()) for r, a, e in zip(rows, [0, *ends], ends, strict=False)])
 
 
-def _blocks(ids: F.Column, bounds: list[int]) -> F.Column:
+def _dealt(bounds: list[int], packed: bool) -> Callable:
+    """Pass over (id, key, text) or (id, key) that adds the block of the id, and compresses each text for the shuffle."""
     limits = np.array(bounds, np.int64)
 
-    @F.pandas_udf("int")
-    def block(i: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(limits, i.to_numpy(np.int64), side="right").astype(np.int32))
+    def run(batches):
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            ids = np.asarray(batch.column(0).fill_null(-(2**63)), np.int64)
+            blocks = pa.array(np.searchsorted(limits, ids, side="right").astype(np.int32))
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                columns = [blocks.slice(a, 512), part.column(0), part.column(1)]
+                if packed:
+                    columns.append(pa.array([compressor.compress(v.as_buffer()) for v in part.column(2)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "id", "key", "packed"][: len(columns)])
 
-    return block(F.coalesce(ids, F.lit(-(2**63))))
+    return run
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: bool = True, block_bytes: int = BLOCK, bucket_names: int = BUCKET) -> DataFrame:
@@ -250,9 +262,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if n_blocks > 1:
         cuts = [i / n_blocks for i in range(1, n_blocks)]
         bounds = light.filter("digest is not null").agg(F.percentile_approx("id", cuts, max(10_000, 2 * n_blocks))).first()[0] or []
-    of = _blocks(F.col("id"), bounds)
-    texts = rows.filter(size >= window).withColumn("block", of).groupBy("block")
-    gone = cut_lineage(copies.select(of.alias("block"), F.lit(-1).alias("bucket"), "id", "key", F.lit(None).cast("binary").alias("bits")))
+    texts = rows.filter(size >= window).select("id", "key", "text").mapInArrow(_dealt(bounds, True), "block int, id long, key long, packed binary").groupBy("block")
+    gone = copies.mapInArrow(_dealt(bounds, False), "block int, id long, key long")
+    gone = cut_lineage(gone.select("block", F.lit(-1).alias("bucket"), "id", "key", F.lit(None).cast("binary").alias("bits")))
     first, second, third = _passes(window, buckets)
     # One plan without cuts: all three passes read the one shuffle of the texts.
     again = texts.cogroup(gone.groupBy("block")).applyInArrow(first, NAMES).groupBy("bucket").applyInArrow(_again, MESSAGE)
