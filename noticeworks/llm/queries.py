@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm import decontam, langid, licenses, maintext, packing, simhash, substrings, urlfilter
+from noticeworks.llm import decontam, langid, licenses, maintext, packing, quality, simhash, substrings, urlfilter
 
 #: Module that finds the public vocabulary files, and the files of the vocabulary by whose ids documents are packed.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -78,3 +78,8 @@ RULES = [urlfilter.Rule(*x) for x in (("block", "com", "/en/"), ("allow", "examp
 @query
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), RULES).drop("url")
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
