@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm import decontam, langid, licenses, maintext, packing, quality, simhash, substrings, urlfilter
+from noticeworks.llm import decontam, langid, licenses, maintext, packing, quality, secrets, simhash, substrings, urlfilter
 
 #: Module that finds the public vocabulary files, and the files of the vocabulary by whose ids documents are packed.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -83,3 +83,9 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.shown(secrets.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
