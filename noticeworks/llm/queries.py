@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from noticeworks.llm import decontam, langid, licenses, maintext, packing, quality, secrets, simhash, substrings, urlfilter
 
-#: Module that finds the public vocabulary files, and the files of the vocabulary by whose ids documents are packed.
-VOCABULARY = "byte_bpe_50k.tiktoken"
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,7 +44,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(corpus_pipeline.VOCABULARY), public_tokenizers.PATTERN)
 
 
 def held_out() -> F.Column:
@@ -89,3 +87,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.shown(secrets.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text")))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
