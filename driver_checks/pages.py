@@ -31,7 +31,7 @@ def page_text(m: Model):
 
 @query("page_titles", """
     SELECT id, CASE WHEN length(t) >= 4 AND NOT suffix(lower(t), 'bing') AND NOT suffix(lower(t), 'google') THEN t
-                    WHEN length(h) >= 4 THEN h ELSE trim(substr(text, 1, 200)) END AS title
+                    WHEN length(h) >= 4 THEN h ELSE substr(trim(text), 1, 500) END AS title
     FROM (SELECT id, text,
         trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS t,
         trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS h
@@ -56,11 +56,7 @@ def fetched_titles(m: Model):
 
 
 @query("valid_content", """
-    SELECT id, length(text) >= 20
-        AND NOT (regexp_matches(substr(text, 1, 1000), 'document\\.\\w|window\\.\\w|console\\.log|function\\s*\\w*\\s*\\(|var\\s+\\w+\\s*=|new\\s+XMLHttpRequest|typeof\\s+\\w|try\\s*\\{|catch\\s*\\(|return\\s+(?:true|false|null)|\\.className|\\.innerHTML|\\.style\\.\\w|\\.getElementById|\\.createElement|\\.addEventListener|\\.appendChild')
-                 AND len(regexp_extract_all(substr(text, 1, 1000), '\\p{L}')) < 30)
-        AND len(regexp_extract_all(substr(text, 1, 2000), '\\p{L}')) >= 30 AS valid
-    FROM m_doc_text
+    SELECT id, length(text) >= 20 AND len(regexp_extract_all(text, '\\p{L}')) >= 30 AS valid FROM m_doc_text
 """)
 def valid_content(m: Model):
     staged = m.doc_pages.select("id", text.html_to_text(F.col("html")).alias("text"))
@@ -68,13 +64,15 @@ def valid_content(m: Model):
 
 
 @query("antibot_pages", """
-    SELECT id, length(html) < 1024 OR contains(substr(html, 1, 8192), 'robot check')
-        OR contains(substr(html, 1, 8192), 'are you a human')
-        OR contains(substr(html, 1, 8192), 'verification required') AS blocked
+    SELECT id, length(html) < 1024 OR contains(html, 'robot check')
+        OR contains(html, 'are you a human') OR contains(html, 'verification required') AS blocked,
+        CASE WHEN length(html) < 1024 THEN 'short' WHEN contains(html, 'robot check') OR contains(html, 'are you a human')
+            OR contains(html, 'verification required') THEN 'phrase' END AS reason
     FROM m_doc_pages
 """)
 def antibot_pages(m: Model):
-    return m.doc_pages.select("id", fields.is_antibot_page(F.col("html")).alias("blocked"))
+    html = F.col("html")
+    return m.doc_pages.select("id", fields.is_antibot_page(html).alias("blocked"), fields.antibot_reason(html).alias("reason"))
 
 
 @query("response_flags", """
@@ -217,7 +215,7 @@ def crawl_frontier(m: Model):
         F.col("publish_date").alias("crawled_at"),
     )
     seeds = m.notices.where("id = 0").select("url")
-    return links.crawl_frontier(walk, seeds, max_depth=12)
+    return links.crawl_frontier(walk, seeds)
 
 
 @query("contacts", """
@@ -234,7 +232,7 @@ def contacts(m: Model):
 @query("locations", """
     SELECT id, nullif(array_to_string(list_distinct_in_order[1:3], ', '), '') AS location FROM (
         SELECT id, list_filter(names, lambda n, i: list_position(names, n) = i) AS list_distinct_in_order FROM (
-            SELECT id, regexp_extract_all(substr(text, 1, 3000), '([A-Z][a-z]{2,}(?:tion|edon|erin))', 1) AS names FROM m_doc_text))
+            SELECT id, regexp_extract_all(text, '([A-Z][a-z]{2,}(?:tion|edon|erin))', 1) AS names FROM m_doc_text))
 """)
 def locations(m: Model):
     staged = m.doc_pages.select("id", text.html_to_text(F.col("html")).alias("text"))
@@ -245,7 +243,7 @@ def locations(m: Model):
     SELECT id, CASE WHEN regexp_matches(t, '(?i)\\b(award|winner)\\b') THEN 'award'
         WHEN regexp_matches(t, '(?i)\\b(correction|amend\\w*)\\b') THEN 'change'
         WHEN regexp_matches(t, '(?i)\\b(the|der|les|los)\\b') THEN 'tender' END AS notice_type
-    FROM (SELECT id, concat(meta_title, ' ', substr(text, 1, 1500)) AS t FROM m_doc_text)
+    FROM (SELECT id, concat(meta_title, ' ', text) AS t FROM m_doc_text)
 """)
 def notice_types(m: Model):
     staged = m.doc_pages.select("id", "meta", text.html_to_text(F.col("html")).alias("text"))
@@ -273,11 +271,11 @@ def keyword_relevance(m: Model):
 
 @query("keyword_join", """
     SELECT doc_id, string_agg(keyword, ',' ORDER BY keyword) AS matched
-    FROM m_docs, m_keywords WHERE contains(lower(first_line), keyword) GROUP BY doc_id
+    FROM m_docs, m_keywords WHERE contains(lower(text), keyword) GROUP BY doc_id
 """)
 def keyword_join(m: Model):
     names = m.keywords.select(F.col("keyword").alias("name"))
-    hits = with_name_hits(m.docs, "doc_id", F.col("first_line"), names, "hits", ignore_case=True, limit=0)
+    hits = with_name_hits(m.docs.select("doc_id", "text"), "doc_id", F.col("text"), names, "hits", ignore_case=True, limit=0)
     return hits.where(F.size("hits") > 0).select("doc_id", F.array_join("hits", ",").alias("matched"))
 
 
@@ -286,7 +284,7 @@ SUMMARY_SQL = """
     WITH marked AS (SELECT id, text, string_split(regexp_replace(regexp_replace(regexp_replace(text, '([!?])\\s*', '\\1' || chr(1), 'g'),
             '(\\.\\s)', '\\1' || chr(1), 'g'), '(;\\s)', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM m_doc_text),
     segments AS (SELECT id, CASE WHEN len(parts) <= 1
-            THEN list_transform(generate_series(0, greatest(least(length(text), 3000) - 1, 0), 200), lambda i: trim(substr(text, i + 1, 200)))
+            THEN list_transform(generate_series(0, greatest(length(text) - 1, 0), 200), lambda i: trim(substr(text, i + 1, 200)))
             ELSE list_transform(parts, lambda s: trim(s)) END AS segs FROM marked),
     good AS (SELECT id, list_filter(segs, lambda s: length(s) >= 10 AND len(regexp_extract_all(s, '\\p{L}')) >= 5
             AND NOT (length(s) < 30 AND regexp_full_match(s, '[\\p{L}\\p{N}_ \\-.·|/、，,]+'))
@@ -345,9 +343,9 @@ def extract_notices(m: Model):
 
 
 @query("extract_outcomes", """
-    SELECT CASE WHEN length(text) >= 20 AND len(regexp_extract_all(substr(text, 1, 2000), '\\p{L}')) >= 30
+    SELECT CASE WHEN length(html) < 50 THEN 'too_short' WHEN length(text) >= 20 AND len(regexp_extract_all(text, '\\p{L}')) >= 30
                 THEN 'ok' ELSE 'invalid' END AS action, count(*) AS cnt
-    FROM m_doc_text WHERE source_type <> 'search_engine' AND length(html) >= 50 GROUP BY 1
+    FROM m_doc_text WHERE source_type <> 'search_engine' GROUP BY 1
 """)
 def extract_outcomes(m: Model):
     empty = m.parsed.where("false")
@@ -408,7 +406,7 @@ def display_times(m: Model):
 
 
 @query("model_inputs", """
-    SELECT id, CASE WHEN title <> '' THEN concat(title, ' [SEP] ', substr(content, 1, 500)) ELSE substr(content, 1, 500) END AS scored
+    SELECT id, CASE WHEN title <> '' THEN concat(title, ' [SEP] ', content) ELSE content END AS scored
     FROM m_samples
 """)
 def model_inputs(m: Model):
@@ -417,7 +415,7 @@ def model_inputs(m: Model):
 
 @query("label_prompts", """
     SELECT id, concat('Keywords: a、b. Query: ', search_query, '. Title: ', coalesce(nullif(title, ''), '无标题'),
-        '. Text: ', coalesce(nullif(substr(content, 1, 1500), ''), '无内容'), ' {"x": {other}}') AS prompt FROM m_samples
+        '. Text: ', coalesce(nullif(content, ''), '无内容'), ' {"x": {other}}') AS prompt FROM m_samples
 """)
 def label_prompts(m: Model):
     template = 'Keywords: {business_keywords}. Query: {search_query}. Title: {title}. Text: {content} {{"x": {other}}}'

@@ -14,11 +14,11 @@ from noticeworks.profile import LATIN_TEST
 
 
 @query("sample_import", """
-    SELECT p.id AS parsed_id, p.url_hash, substr(t.text, 1, 3000) AS content
+    SELECT p.id AS parsed_id, p.url_hash, t.text AS content
     FROM m_parsed p JOIN m_results r ON p.url_hash = r.url_hash JOIN m_doc_text t ON p.mongo_doc_id = t.id
     WHERE p.parse_errors IS NULL AND p.notice_type NOT IN ('list_page', 'search_serp') AND r.domain = 'src1.example'
     UNION ALL SELECT * FROM (
-        SELECT p.id, p.url_hash, substr(t.text, 1, 3000) FROM m_parsed p JOIN m_doc_text t ON p.mongo_doc_id = t.id
+        SELECT p.id, p.url_hash, t.text FROM m_parsed p JOIN m_doc_text t ON p.mongo_doc_id = t.id
         WHERE p.url_hash NOT IN (SELECT url_hash FROM m_samples WHERE labeled_by = 'admin')
         ORDER BY p.created_at DESC, p.id DESC LIMIT 30)
 """)
@@ -71,7 +71,7 @@ def delete_samples(m: Model):
 
 @query("training_text", """
     SELECT concat('__label__', CASE WHEN label = 1 THEN 'relevant' ELSE 'irrelevant' END, ' ',
-        trim(regexp_replace(concat_ws(' ', t, t, t, substr(c, 1, 2000)), '[\\r\\n]+', ' ', 'g'), ' ')) AS value
+        trim(regexp_replace(concat_ws(' ', t, t, t, c), '[\\r\\n]+', ' ', 'g'), ' ')) AS value
     FROM (SELECT label, trim(title, ' ' || chr(10)) AS t, trim(content, ' ' || chr(10)) AS c FROM m_samples WHERE label IS NOT NULL)
     WHERE t <> '' OR c <> ''
 """)
@@ -81,7 +81,7 @@ def training_text(m: Model):
 
 @query("training_inputs", """
     SELECT id, CASE WHEN c = '' THEN t ELSE concat(t, ' [SEP] ', c) END AS model_text
-    FROM (SELECT id, trim(title, ' ' || chr(10)) AS t, substr(trim(content, ' ' || chr(10)), 1, 500) AS c FROM m_samples)
+    FROM (SELECT id, trim(title, ' ' || chr(10)) AS t, trim(content, ' ' || chr(10)) AS c FROM m_samples)
     WHERE t <> '' OR c <> ''
 """)
 def training_inputs(m: Model):
@@ -133,7 +133,12 @@ def balanced_weights(m: Model):
     return S.with_balance(m.samples, "weight").select("id", "weight")
 
 
-@query("balance_sampler")
+@query("balance_sampler", """
+    WITH sized AS (SELECT id, label, count(*) OVER () / (2.0::double * count(*) OVER (PARTITION BY label)) AS weight,
+        ('0x' || substr(md5('42:' || url_hash), 1, 8))::bigint / 4294967296.0::double AS share FROM m_samples WHERE label IN (0, 1))
+    SELECT id, label, weight FROM (SELECT id, label, weight,
+        unnest(generate_series(1, floor(weight)::bigint + CASE WHEN share < weight - floor(weight) THEN 1 ELSE 0 END)) FROM sized)
+""")
 def balance_sampler(m: Model):
     return S.with_balance(m.samples, "both").select("id", "label", "weight")
 
@@ -151,7 +156,7 @@ def binary_metrics(m: Model):
 @query("uncertain_topk", """
     SELECT id, round(score, 4) AS score FROM (
         SELECT id, length(content) / 2000.0::double AS score FROM (
-            SELECT * FROM m_samples WHERE label IS NULL ORDER BY created_at DESC, id DESC LIMIT 500))
+            SELECT * FROM m_samples WHERE label IS NULL))
     WHERE score BETWEEN 0.3 AND 0.7 ORDER BY abs(score - 0.5), id LIMIT 50
 """)
 def uncertain_topk(m: Model):
@@ -162,7 +167,7 @@ def uncertain_topk(m: Model):
 
 
 @query("score_with_batches", """
-    SELECT id, length(CASE WHEN title <> '' THEN concat(title, ' [SEP] ', substr(content, 1, 500)) ELSE substr(content, 1, 500) END) / 10000.0::double AS score
+    SELECT id, length(CASE WHEN title <> '' THEN concat(title, ' [SEP] ', content) ELSE content END) / 10000.0::double AS score
     FROM m_samples
 """)
 def score_with_batches(m: Model):
@@ -173,9 +178,9 @@ def score_with_batches(m: Model):
 REJUDGE = """
     SELECT id, CASE WHEN notice_type = 'search_serp' THEN 'skipped' ELSE 'scored' END AS action,
         CASE WHEN notice_type = 'search_serp' THEN is_relevant ELSE amount_value / 2000 >= 0.5 END AS is_relevant,
-        coalesce(notice_type, CASE WHEN regexp_matches(concat(title, ' ', substr(text, 1, 1500)), '(?i)\\b(award|winner)\\b') THEN 'award'
-            WHEN regexp_matches(concat(title, ' ', substr(text, 1, 1500)), '(?i)\\b(correction|amend\\w*)\\b') THEN 'change'
-            WHEN regexp_matches(concat(title, ' ', substr(text, 1, 1500)), '(?i)\\b(the|der|les|los)\\b') THEN 'tender' END) AS notice_type
+        coalesce(notice_type, CASE WHEN regexp_matches(concat(title, ' ', text), '(?i)\\b(award|winner)\\b') THEN 'award'
+            WHEN regexp_matches(concat(title, ' ', text), '(?i)\\b(correction|amend\\w*)\\b') THEN 'change'
+            WHEN regexp_matches(concat(title, ' ', text), '(?i)\\b(the|der|les|los)\\b') THEN 'tender' END) AS notice_type
     FROM (SELECT p.*, coalesce(nullif(t.text, ''), concat(p.summary, ' ', p.title)) AS text FROM m_parsed p LEFT JOIN m_doc_text t ON p.mongo_doc_id = t.id)
 """
 

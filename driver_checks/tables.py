@@ -131,7 +131,7 @@ def split_parsed(m: Model):
 @query("parse_modes", """
     SELECT mode, d.id FROM m_doc_pages d LEFT JOIN m_parsed p ON d.url_hash = p.url_hash,
         (VALUES ('unparsed_only'), ('errors_only'), ('all'), ('unparsed_and_errors'), ('whatever')) AS t(mode)
-    WHERE d.source_type <> 'search_engine' AND length(d.html) >= 50
+    WHERE d.source_type <> 'search_engine'
       AND CASE mode WHEN 'unparsed_only' THEN p.id IS NULL WHEN 'errors_only' THEN p.parse_errors IS NOT NULL
           WHEN 'all' THEN true ELSE p.id IS NULL OR p.parse_errors IS NOT NULL END
 """)
@@ -417,13 +417,13 @@ def delete_regions(m: Model):
     SELECT coalesce(p.url_hash, d.url_hash) AS url_hash,
         coalesce(p.id, ('0x' || substr(d.url_hash, 1, 15))::bigint) AS id,
         CASE WHEN d.id IS NULL THEN p.parse_errors WHEN d.valid THEN NULL
-             ELSE 'content_invalid: 页面内容无效（JS/CSS/反爬页面），无有效中文内容' END AS parse_errors,
+             WHEN d.short THEN 'too_short: 页面内容不足 50 个字符' ELSE 'content_invalid: 页面内容无效（JS/CSS/反爬页面），无有效中文内容' END AS parse_errors,
         CASE WHEN d.id IS NULL THEN p.is_relevant WHEN d.valid THEN contains(lower(d.text), 'the') ELSE false END AS is_relevant,
         CASE WHEN d.id IS NULL THEN p.summary IS NOT NULL WHEN d.valid THEN NULL ELSE p.summary IS NOT NULL END AS kept_summary
     FROM m_parsed p FULL OUTER JOIN (
-        SELECT t.id, t.url_hash, t.text, length(t.text) >= 20 AND len(regexp_extract_all(substr(t.text, 1, 2000), '\\p{L}')) >= 30 AS valid
+        SELECT t.id, t.url_hash, t.text, length(t.html) < 50 AS short, length(t.html) >= 50 AND length(t.text) >= 20 AND len(regexp_extract_all(t.text, '\\p{L}')) >= 30 AS valid
         FROM m_doc_text t LEFT JOIN m_parsed q ON t.url_hash = q.url_hash
-        WHERE t.source_type <> 'search_engine' AND length(t.html) >= 50 AND (q.id IS NULL OR q.parse_errors IS NOT NULL)) d
+        WHERE t.source_type <> 'search_engine' AND (q.id IS NULL OR q.parse_errors IS NOT NULL)) d
     ON p.url_hash = d.url_hash
 """)
 def parse_job(m: Model):

@@ -64,6 +64,11 @@ def has_at_least(col: Column, n: int, char_class: str) -> Column:
     return F.rlike(col, F.lit(rf"\A(?:[^{char_class}]*+[{char_class}]){{{n}}}"))
 
 
+def leading(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, or all."""
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
 def contains_any(text: Column, values: Iterable[str]) -> Column:
     """True when ``text`` contains one of ``values``; false for an empty list."""
     values = list(values)

@@ -15,13 +15,13 @@ MOJIBAKE_RUN = r"(?:[Â-ï][\u0080-¿]{2}){3,}"
 HAN = r"[一-鿿]"
 CODE_PAGES = ("utf-8", "gbk", "gb18030", "gb2312", "big5")
 LATIN_NAMES = ("iso88591", "latin1", "latin-1")
+OTHER_CHARSET = r"""(?i)<meta[^>]+charset\s*=\s*["']?\s*(?!utf-?8\b)[a-zA-Z0-9_-]"""
 META_CHARSET = re.compile(r"""<meta[^>]+charset\s*=\s*["']?\s*([a-zA-Z0-9_-]+)""", re.I)
 
 
 def is_mojibake(html: Column) -> Column:
-    sample = F.left(html, F.lit(8000))
     return F.coalesce(
-        (F.regexp_count(sample, F.lit(HAN)) < 30) & (F.regexp_count(sample, F.lit(MOJIBAKE_RUN)) >= 3),
+        (F.regexp_count(html, F.lit(HAN)) < 30) & (F.regexp_count(html, F.lit(MOJIBAKE_RUN)) >= 3),
         F.lit(False),
     )
 
@@ -30,7 +30,7 @@ def repaired(html: Column) -> Column:
     """Text read again as UTF-8; NULL when that is impossible or gives no Han text."""
     one_byte = ~F.rlike(html, F.lit(r"[^\x00-\xFF]"))
     again = F.when(one_byte, F.try_validate_utf8(F.encode(html, "ISO-8859-1").cast("string")))
-    return F.when(F.rlike(F.left(again, F.lit(4000)), F.lit(HAN)), again)
+    return F.when(F.rlike(again, F.lit(HAN)), again)
 
 
 def fix_mojibake(pages: DataFrame) -> DataFrame:
@@ -71,7 +71,14 @@ def _decode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 def decode_pages(pages: DataFrame) -> DataFrame:
     """Add ``html`` to pages stored as bytes (``body``, ``charset``).
 
-    Spark's own ``decode`` does not know the Chinese code pages, so this is an
+    Valid UTF-8 without another declared charset stays in the JVM.  Spark's own
+    ``decode`` does not know the Chinese code pages, so the rest goes to an
     Arrow-batched pandas function.
     """
-    return pages.withColumn("html", _decode(F.col("body"), F.col("charset").cast("string")))
+    charset = F.lower(F.coalesce(F.col("charset").cast("string"), F.lit("utf-8")))
+    plain = F.is_valid_utf8(F.col("body").cast("string")) & (charset.isin("utf-8", "utf8", "latin-1") | F.replace(charset, F.lit("-"), F.lit("")).isin(*LATIN_NAMES))
+    # a charset named in the page itself may still differ
+    plain &= ~F.rlike(F.left(F.col("body").cast("string"), F.lit(4096)), F.lit(OTHER_CHARSET))
+    return pages.withColumn(
+        "html", F.when(plain, F.col("body").cast("string")).otherwise(_decode(F.when(~plain, F.col("body")), F.col("charset").cast("string")))
+    )

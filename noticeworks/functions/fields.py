@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeworks.functions.basics import (
-    SPACE, ascii_digits, blank_to_null, contains_any, extract, first_of, let, squeeze, strip,
+    SPACE, ascii_digits, blank_to_null, contains_any, extract, first_of, leading, let, squeeze, strip,
 )
 from noticeworks.functions.dates import date_near, match_date
 from noticeworks.functions.text import strip_tags
@@ -48,7 +48,7 @@ TITLE_MIN = 4
 def publish_date(text: Column, profile: Profile) -> Column:
     patterns = [(p, False) for p in profile.date_patterns]
     head = let(
-        F.left(text, F.lit(2000)), lambda t: first_of(match_date(t, p) for p, _ in patterns)
+        leading(text, profile.date_chars), lambda t: first_of(match_date(t, p) for p, _ in patterns)
     )
     return F.coalesce(date_near(text, profile.publish_hints, 80, patterns), head)
 
@@ -76,7 +76,7 @@ def bidder(text: Column, profile: Profile) -> Column:
 
 def location(text: Column, profile: Profile) -> Column:
     labelled = F.regexp_replace(extract(text, profile.location), r"\s+", "")
-    names = F.regexp_extract_all(F.left(text, F.lit(3000)), F.lit(profile.location_names), F.lit(1))
+    names = F.regexp_extract_all(leading(text, profile.place_chars), F.lit(profile.location_names), F.lit(1))
     places = F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n) >= 3)), 1, 3)
     return F.coalesce(labelled, blank_to_null(F.array_join(places, profile.location_joiner)))
 
@@ -163,7 +163,7 @@ def title(stored: Column, html: Column, text: Column, profile: Profile) -> Colum
             _title_in_html(html, profile, profile.generic_titles),
             blank_to_null(F.left(own, F.lit(TITLE_MAX))),
             blank_to_null(
-                F.left(strip(F.split(strip(F.left(text, F.lit(200))), "\n")[0]), F.lit(TITLE_MAX))
+                F.left(strip(F.substring_index(strip(text), "\n", 1)), F.lit(TITLE_MAX))
             ),
         )
 
@@ -183,7 +183,7 @@ def notice_type(
     model_type: Column | None = None, model_confidence: Column | None = None,
 ) -> Column:
     """First class whose pattern fits; a model's answer above 0.6 wins."""
-    checked = F.concat(F.coalesce(title_col, F.lit("")), F.lit(" "), F.left(text, F.lit(1500)))
+    checked = F.concat(F.coalesce(title_col, F.lit("")), F.lit(" "), leading(text, profile.type_chars))
 
     def by_rule(value: Column) -> Column:
         return first_of(
@@ -249,13 +249,20 @@ def relevance(
     return out
 
 
-def is_antibot_page(html: Column) -> Column:
-    """Empty, tiny or blocked page."""
-    return F.coalesce(
-        (F.length(html) < 1024) | contains_any(F.left(html, F.lit(8192)), BLOCKED_PAGE), F.lit(True)
+def antibot_reason(html: Column, min_chars: int = 1024) -> Column:
+    """Why a page counts as blocked: missing, short (under ``min_chars``) or phrase; NULL if it does not."""
+    return (
+        F.when(html.isNull(), F.lit("missing"))
+        .when(F.length(html) < min_chars, F.lit("short"))
+        .when(contains_any(html, BLOCKED_PAGE), F.lit("phrase"))
     )
 
 
+def is_antibot_page(html: Column, min_chars: int = 1024) -> Column:
+    """Empty, tiny or blocked page."""
+    return antibot_reason(html, min_chars).isNotNull()
+
+
 def is_captcha_page(status: Column, body: Column) -> Column:
     return F.coalesce(status.isin(200, 302) & contains_any(F.lower(body), CAPTCHA_WORDS), F.lit(False))
 

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeworks.functions.basics import blank_to_null, strip
+from noticeworks.functions.basics import blank_to_null, leading, strip
 
 # Search queries that are no real query, and stand-ins for missing parts.
 PSEUDO_QUERIES = ("force_url", "manual", "website", "n/a", "none", "未知")
@@ -19,18 +19,18 @@ FENCE = "```"
 NOTICE_LABELS = ("招标", "中标", "变更公告", "废标公告", "采购意向", "预招标", "合同", "验收公告", "其他")
 
 
-def model_input(title: Column, text: Column, limit: int = 500) -> Column:
+def model_input(title: Column, text: Column, limit: int | None = None) -> Column:
     """``title [SEP] text``, or the text alone."""
-    body = F.left(F.coalesce(text, F.lit("")), F.lit(limit))
+    body = leading(F.coalesce(text, F.lit("")), limit)
     return F.when(
         F.coalesce(F.length(title), F.lit(0)) > 0, F.concat(title, F.lit(" [SEP] "), body)
     ).otherwise(body)
 
 
-def training_input(title: Column, text: Column, limit: int = 500) -> Column:
+def training_input(title: Column, text: Column, limit: int | None = None) -> Column:
     """As ``model_input`` on trimmed parts; the title alone if there is no text, NULL if neither."""
     head = blank_to_null(strip(title))
-    body = blank_to_null(F.left(strip(text), F.lit(limit)))
+    body = blank_to_null(leading(strip(text), limit))
     return F.when(body.isNull(), head).otherwise(
         F.concat(F.coalesce(head, F.lit("")), F.lit(" [SEP] "), body)
     )
@@ -55,7 +55,8 @@ def prompt(template: str, **values: Column) -> Column:
 
 
 def labelling_prompt(
-    template: str, title: Column, content: Column, search_query: Column, keywords: list[str]
+    template: str, title: Column, content: Column, search_query: Column, keywords: list[str],
+    limit: int | None = None,
 ) -> Column:
     sought = strip(F.coalesce(search_query, F.lit("")))
     real = (sought != "") & ~F.lower(sought).isin(*PSEUDO_QUERIES)
@@ -64,7 +65,7 @@ def labelling_prompt(
         business_keywords=F.lit("、".join(keywords) if keywords else NO_KEYWORDS),
         search_query=F.when(real, sought).otherwise(F.lit("N/A")),
         title=F.coalesce(blank_to_null(title), F.lit(NO_TITLE)),
-        content=F.coalesce(blank_to_null(F.left(content, F.lit(1500))), F.lit(NO_CONTENT)),
+        content=F.coalesce(blank_to_null(leading(content, limit)), F.lit(NO_CONTENT)),
     )
 
 

@@ -1,8 +1,9 @@
 """Containment joins: which of many names occur in a text.
 
-A short list of names becomes a literal array and needs no join.  Beyond
-``INLINE_NAMES`` entries the texts are cut into substrings of the lengths that
-occur among the names and joined by equality, which finds exactly the same hits.
+A short list of names becomes a literal array and needs no join.  Longer lists
+are joined: every name stands behind one gram of at most ``GRAM`` characters, the
+one that the fewest names have; texts that hold the gram are asked for the name.
+Both ways find the same hits in the same order; only the plan depends on the number of names.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeworks.functions.basics import bounded_values, let
+from noticeworks.functions.basics import let
 
 INLINE_NAMES = 2000
-NAME_LENGTHS = 200
+GRAM = 3
 
 
 def _caseless(term: str) -> bool:
@@ -55,6 +56,12 @@ def by_position(text: Column, names: Column) -> Column:
     )
 
 
+def cut_grams(text: Column, lengths: Iterable[int]) -> Column:
+    """Distinct pieces of some lengths."""
+    # a look-ahead with a group cuts all overlapping pieces in one pass
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]))
+
+
 def with_name_hits(
     df: DataFrame, key: str, text: Column, names: DataFrame, out: str, *,
     ignore_case: bool = False, limit: int = INLINE_NAMES,
@@ -62,37 +69,37 @@ def with_name_hits(
     """Add ``out``: names (column ``name``) contained in ``text``, by first position.
 
     ``key`` identifies the rows of ``df``.  With ``ignore_case`` hits come in
-    alphabetical order, as positions then have no meaning for the caller.
+    alphabetical order, as positions then have no meaning for the caller, or by
+    a column ``rank`` of the names.
     """
-    inline = bounded_values(names, "name", limit)
-    if inline is not None:
+    ranked = "rank" in names.columns
+    listed = names.where(F.col("name") != "").groupBy("name").agg(F.min("rank" if ranked else "name").alias("rank"))
+    few = listed.orderBy("rank", "name").limit(limit + 1).collect() if limit else []
+    if limit and len(few) <= limit:
+        inline = [r["name"] for r in few]
         if ignore_case:
             return df.withColumn(out, matched_terms(text, inline))
         found = let(text, lambda t: F.filter(_array(inline), lambda n: F.contains(t, n)))
         return df.withColumn(out, by_position(text, found))
 
     fold = F.lower if ignore_case else (lambda c: c)
-    listed = (
-        names.select("name").where(F.col("name") != "").distinct()
-        .withColumn("_gram", fold(F.col("name")))
+    folded = listed.withColumn("low", fold(F.col("name"))).withColumn("n", F.least(F.length("low"), F.lit(GRAM)))
+    lengths = sorted(r["n"] for r in folded.select("n").distinct().collect())  # at most GRAM of them
+    if not lengths:
+        return df.withColumn(out, F.when(text.isNotNull(), _array([])))
+    grams = folded.withColumn("_gram", F.explode(F.when(F.col("n") < GRAM, F.array("low")).otherwise(cut_grams(F.col("low"), [GRAM]))))
+    rarest = grams.join(grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("shared")), "_gram").groupBy("rank", "name", "low").agg(
+        F.min(F.struct("shared", "_gram"))["_gram"].alias("_gram")
     )
-    lengths = bounded_values(listed.select(F.length("_gram").alias("n")), "n", NAME_LENGTHS)
-    if lengths is None:
-        raise ValueError(f"names of more than {NAME_LENGTHS} different lengths")
-
-    def grams(t: Column) -> Column:
-        # a look-ahead with a group cuts all overlapping pieces in one pass
-        cut = [F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-        return F.array_distinct(F.concat(*cut))
-
-    hits = (
-        df.select(F.col(key), F.explode(let(fold(text), grams)).alias("_gram"))
-        .join(listed, "_gram")
+    candidates = (
+        df.select(F.col(key), F.explode(let(fold(text), lambda t: cut_grams(t, lengths))).alias("_gram"))
+        .join(rarest, "_gram")
         .groupBy(key)
-        .agg(F.array_sort(F.collect_set("name")).alias(out))
+        .agg(F.sort_array(F.collect_set(F.struct("rank", "name", "low"))).alias(out))
     )
-    joined = df.join(hits, key, "left")
-    found = F.coalesce(F.col(out), _array([]))
+    joined = df.join(candidates, key, "left")
+    found = let(fold(text), lambda t: F.transform(F.filter(F.col(out), lambda c: F.contains(t, c["low"])), lambda c: c["name"]))
+    found = F.coalesce(found, _array([]))
     return joined.withColumn(out, found if ignore_case else by_position(text, found))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeworks.functions.basics import SPACE, blank_to_null, has_at_least, let, squeeze
+from noticeworks.functions.basics import SPACE, blank_to_null, has_at_least, leading, let, squeeze
 from noticeworks.profile import WORD, Profile
 
 # Script code that shows a page holds no readable text.
@@ -22,7 +22,6 @@ SUMMARY_MAX = 500
 SENTENCE_MIN = 10
 FRAGMENT_MAX = 30
 CHUNK = 200
-CHUNK_SPAN = 3000
 
 
 def html_to_text(html: Column) -> Column:
@@ -44,14 +43,15 @@ def strip_nul(col: Column) -> Column:
 
 
 def is_valid_content(text: Column, profile: Profile) -> Column:
-    """Enough characters of the profile's script, and not just script code."""
-    head = F.left(text, F.lit(1000))
-    enough = has_at_least(F.left(text, F.lit(2000)), profile.min_script, profile.script)
-    enough_early = has_at_least(head, profile.min_script, profile.script)
-    return F.coalesce(
-        (F.length(F.trim(text)) >= 20) & enough & (enough_early | ~F.rlike(head, F.lit(SCRIPT_CODE))),
-        F.lit(False),
-    )
+    """Enough characters of the profile's script, and not just script code.
+
+    Where the profile limits neither, a whole text with enough such characters is no mere code.
+    """
+    enough = has_at_least(leading(text, profile.script_chars), profile.min_script, profile.script)
+    if profile.code_chars is not None or profile.script_chars is not None:
+        head = leading(text, profile.code_chars)
+        enough &= has_at_least(head, profile.min_script, profile.script) | ~F.rlike(head, F.lit(SCRIPT_CODE))
+    return F.coalesce((F.length(F.trim(text)) >= 20) & enough, F.lit(False))
 
 
 def take_until_length(parts: Column, limit: int) -> Column:
@@ -80,7 +80,7 @@ def summary(text: Column, profile: Profile) -> Column:
     def chunks(t: Column) -> Column:
         starts = F.sequence(
             F.lit(0),
-            F.greatest(F.least(F.length(t), F.lit(CHUNK_SPAN)) - 1, F.lit(0)),
+            F.greatest(F.length(t) - 1, F.lit(0)),
             F.lit(CHUNK),
         )
         return F.transform(starts, lambda i: F.substring(t, i + 1, F.lit(CHUNK)))

@@ -7,6 +7,7 @@ before the links leave their page.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +39,11 @@ BING_ANCHOR = (
 H3_ANCHOR = r'(?is)<h3[^>]*>.*?<a[^>]+href="(https?://[^"]+)"[^>]*>(.*?)</a>'
 ANY_ANCHOR = r'(?i)<a[^>]+href="(https?://[^"]+)"'
 
-MAX_LINKS = 200
 LINKS_TYPE = "array<struct<url: string, title: string>>"
 
 
-def same_site_links(html: Column, base_url: Column, allowed: Column, max_links: int = MAX_LINKS) -> Column:
-    """Distinct absolute links to allowed hosts, in page order, at most ``max_links``."""
+def same_site_links(html: Column, base_url: Column, allowed: Column, max_links: int | None = None) -> Column:
+    """Distinct absolute links to allowed hosts, in page order; with ``max_links``, the first so many."""
 
     def wanted(href: Column) -> Column:
         other = F.exists(
@@ -61,13 +61,20 @@ def same_site_links(html: Column, base_url: Column, allowed: Column, max_links:
 
     hrefs = F.filter(F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), strip), wanted)
     urls = F.filter(F.transform(hrefs, lambda h: join_url(base_url, h)), valid)
-    return F.slice(F.array_distinct(urls), 1, max_links)
+    links = F.array_distinct(urls)
+    return links if max_links is None else F.slice(links, 1, max_links)
 
 
-def page_links(pages: DataFrame, extra_domains: Iterable[str] = (), max_links: int = MAX_LINKS) -> DataFrame:
-    """One row per link of a page: its own host plus ``extra_domains`` are allowed."""
+def page_links(
+    pages: DataFrame, extra_domains: Iterable[str] = (), max_links: int | None = None, base_url: str | None = None
+) -> DataFrame:
+    """One row per link of a page: the host of the site plus ``extra_domains`` are allowed.
+
+    The site is ``base_url``; without one, each page is taken for its own site.
+    """
     extra = [d.strip() for d in extra_domains if d and d.strip()]
-    allowed = F.concat(F.array(netloc(F.col("url"))), string_array(extra))
+    site = netloc(F.col("url") if base_url is None else F.lit(base_url))
+    allowed = F.concat(F.array(site), string_array(extra))
     links = same_site_links(F.col("html"), F.col("url"), allowed, max_links)
     return pages.select("url", F.posexplode(links).alias("position", "link")).withColumn(
         "link_hash", url_hash(F.col("link"))
@@ -159,15 +166,17 @@ def fetched_results(
 
 
 def crawl_frontier(
-    pages: DataFrame, seeds: DataFrame, max_depth: int = 5, extra_domains: Iterable[str] = ()
+    pages: DataFrame, seeds: DataFrame, max_depth: int | None = None, extra_domains: Iterable[str] = (),
+    base_url: str | None = None,
 ) -> DataFrame:
     """Breadth-first depth of every URL reachable from ``seeds`` over stored pages.
 
-    One equi join per level; each level is written out, so a lost executor does
-    not replay the levels before it, and the visited set is the written levels.
+    One equi join per level, until a level is empty or ``max_depth`` is reached;
+    each level is written out, so a lost executor does not replay the levels
+    before it, and the visited set is the written levels.
     """
     edges = cut_lineage(
-        page_links(dedup_pages(pages), extra_domains).select(
+        page_links(dedup_pages(pages), extra_domains, base_url=base_url).select(
             url_hash(F.col("url")).alias("from_hash"), "link", "link_hash"
         )
     )
@@ -177,7 +186,7 @@ def crawl_frontier(
         .withColumn("depth", F.lit(0))
     )
     visited = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = (
             edges.join(level.select(F.col("url_hash").alias("from_hash")), "from_hash", "left_semi")
             .groupBy(F.col("link_hash").alias("url_hash")).agg(F.min("link").alias("url"))

@@ -147,7 +147,7 @@ def merge_parsed(existing: DataFrame, parsed: DataFrame, order: Iterable[str] =
     )
     fresh = parsed.withColumn("_outcome", outcome)
     rules: dict[str, Column | None] = dict.fromkeys(always)
-    rules |= {c: F.col("_outcome") != "invalid" for c in typed}
+    rules |= {c: ~F.col("_outcome").isin("invalid", "too_short") for c in typed}
     rules |= {c: F.col("_outcome") == "ok" for c in fields}
     fresh = fresh.withColumn("parse_errors", F.nullif("parse_errors", F.lit("")))
     rules = {c: r for c, r in rules.items() if c in fresh.columns}
@@ -171,7 +171,7 @@ def split_parsed(pages: DataFrame, parsed: DataFrame) -> DataFrame:
 
 def select_pages_to_parse(pages: DataFrame, parsed: DataFrame, mode: str = "unparsed_and_errors") -> DataFrame:
     """Pages the parse job has to work on; an unknown mode means the default."""
-    work = drop_serp_pages(pages).where(F.length("html") >= MIN_HTML)
+    work = drop_serp_pages(pages)
     if mode == "all":
         return work
     if mode == "unparsed_only":

@@ -13,21 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from noticeworks.functions.basics import blank_to_null, strip
+from noticeworks.functions.basics import blank_to_null, leading, strip
 from noticeworks.functions.labelling import NOTICE_LABELS, model_input, notice_label, training_input
 from noticeworks.operators.samples import binary_metrics, stratified_split, trainable, with_balance
 from noticeworks.session import cut_lineage
 
 TITLE_WEIGHT = 3
-BODY_MAX = 2000
 NOTICE_ROWS = 5000
 MIN_SAMPLES = 10
 
 
-def weighted_text(title: Column, text: Column) -> Column:
+def weighted_text(title: Column, text: Column, limit: int | None = None) -> Column:
     """Title three times, then the body: the title counts more."""
     head = F.coalesce(blank_to_null(strip(title)), F.lit(""))
-    body = F.coalesce(blank_to_null(F.left(strip(text), F.lit(BODY_MAX))), F.lit(""))
+    body = F.coalesce(blank_to_null(leading(strip(text), limit)), F.lit(""))
     return strip(F.concat_ws(" ", *([head] * TITLE_WEIGHT), body))
 
 

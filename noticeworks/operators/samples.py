@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeworks.functions.basics import blank_to_null, strip
+from noticeworks.functions.basics import blank_to_null, leading, strip
 from noticeworks.functions.labelling import training_input
 from noticeworks.functions.text import html_to_text, strip_nul
 from noticeworks.functions.urls import domain_matches
@@ -15,8 +15,6 @@ from noticeworks.operators.merge import one_per_key
 from noticeworks.profile import LIST_PAGE, SEARCH_SERP
 from noticeworks.session import cut_lineage
 
-CONTENT_MAX = 3000
-IMPORT_MAX = 100_000
 VALIDATION_SHARE = 0.15
 SEED = 42
 # Leading hex digits of the split order: 65,536 groups per class.
@@ -43,28 +41,27 @@ def sample_candidates(
 
 
 def import_samples(
-    parsed: DataFrame, results: DataFrame, pages: DataFrame, samples: DataFrame, limit: int = 5000,
-    domain: str = "", include_low_quality: bool = False,
+    parsed: DataFrame, results: DataFrame, pages: DataFrame, samples: DataFrame, limit: int | None = None,
+    domain: str = "", include_low_quality: bool = False, content_chars: int | None = None,
 ) -> DataFrame:
-    """Newest candidates as unlabelled samples, with the page text as content.
+    """Candidates as unlabelled samples, with the page text as content.
 
-    The limit is part of the request and at most 100,000, so the chosen ids are
-    a bounded table; only their pages are read.
+    ``limit`` takes only so many of the newest; ``content_chars`` only the first
+    characters of a page.  Only the pages of the chosen rows are read; how they are joined follows from their size.
     """
-    limit = max(1, min(limit, IMPORT_MAX))
-    chosen = cut_lineage(
-        sample_candidates(parsed, results, samples, domain, include_low_quality)
-        .select("id", "url", "url_hash", "mongo_doc_id", "title", "summary", "search_query", "source_name", "created_at")
-        .orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc())
-        .limit(limit)
+    chosen = sample_candidates(parsed, results, samples, domain, include_low_quality).select(
+        "id", "url", "url_hash", "mongo_doc_id", "title", "summary", "search_query", "source_name", "created_at"
     )
-    wanted = F.broadcast(chosen.select(F.col("mongo_doc_id").alias("page_id")).distinct())
+    if limit is not None:
+        chosen = chosen.orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc()).limit(max(1, limit))
+    chosen = cut_lineage(chosen)
+    wanted = chosen.select(F.col("mongo_doc_id").alias("page_id")).distinct()
     texts = (
         pages.select(F.col("id").cast("string").alias("page_id"), "html")
         .join(wanted, "page_id", "left_semi")
         .select(
             F.col("page_id").alias("mongo_doc_id"),
-            F.left(html_to_text(F.col("html")), F.lit(CONTENT_MAX)).alias("page_text"),
+            leading(html_to_text(F.col("html")), content_chars).alias("page_text"),
         )
     )
     content = F.coalesce(
@@ -112,10 +109,10 @@ def typed_notices(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count("notice_type").alias("typed"))
 
 
-def export_training_text(samples: DataFrame) -> DataFrame:
-    """Lines of the supervised text format: label, title three times, 2000 characters of body."""
+def export_training_text(samples: DataFrame, limit: int | None = None) -> DataFrame:
+    """Lines of the supervised text format: label, title three times, body."""
     head = F.coalesce(blank_to_null(strip(F.col("title"))), F.lit(""))
-    body = F.coalesce(blank_to_null(F.left(strip(F.col("content")), F.lit(2000))), F.lit(""))
+    body = F.coalesce(blank_to_null(leading(strip(F.col("content")), limit)), F.lit(""))
     label = F.when(F.col("label") == 1, F.lit("__label__relevant")).otherwise(F.lit("__label__irrelevant"))
     line = F.concat(label, F.lit(" "), strip(F.concat_ws(" ", head, head, head, body)))
     return (
@@ -213,22 +210,24 @@ def class_weights(samples: DataFrame) -> DataFrame:
 def with_balance(samples: DataFrame, strategy: str = "auto", seed: int = SEED) -> DataFrame:
     """Training rows with ``weight`` for a strategy: none, weight, sampler, both or auto.
 
-    The sampler draws so that both classes contribute alike: rows of the larger
-    class are thinned to the size of the smaller one.
+    The sampler draws about as many rows as there are, with replacement, so that both
+    classes contribute alike: a row is repeated n / (2 n_class) times on average, the fraction decided by a
+    hash of ``seed`` and ``url_hash``, so the draw is the same on any cluster.
+    Weights follow from the sizes before the draw.
     """
     if strategy in (None, "auto"):
         strategy = label_balance(samples).select("strategy").first()[0]
     rows = samples.where(F.col("label").isin(0, 1))
+    if strategy not in ("sampler", "both", "weight"):
+        return rows.withColumn("weight", F.lit(1.0))
+    # one row per label, and there are two labels
+    sized = rows.join(F.broadcast(class_weights(rows).select("label", F.col("class_weight").alias("weight"))), "label")
     if strategy in ("sampler", "both"):
-        sizes = {r["label"]: r["n"] for r in class_weights(rows).select("label", "n").collect()}
-        if len(sizes) == 2:
-            smaller = min(sizes.values())
-            rows = rows.sampleBy("label", {label: smaller / n for label, n in sizes.items()}, seed)
-    if strategy in ("weight", "both"):
-        weights = class_weights(rows).select("label", F.col("class_weight").alias("weight"))
-        # one row per label, and there are two labels
-        return rows.join(F.broadcast(weights), "label")
-    return rows.withColumn("weight", F.lit(1.0))
+        share = F.conv(F.left(split_order(seed), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+        times = F.floor(F.col("weight")) + (share < F.col("weight") - F.floor("weight")).cast("bigint")
+        drawn = F.explode(F.array_repeat(F.lit(0), times.cast("int")))
+        sized = sized.withColumn("_draw", drawn).drop("_draw")
+    return sized if strategy != "sampler" else sized.withColumn("weight", F.lit(1.0))
 
 
 def binary_metrics(scored: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
@@ -255,19 +254,18 @@ def binary_metrics(scored: DataFrame, prediction: str = "prediction", label: str
 
 
 def uncertain_topk(
-    samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], scan: int = 500, low: float = 0.3,
-    high: float = 0.7, take: int = 50,
+    samples: DataFrame, scorer: Callable[[DataFrame], DataFrame], scan: int | None = None, low: float = 0.3,
+    high: float = 0.7, take: int = 50, text_chars: int | None = None,
 ) -> DataFrame:
-    """Unlabelled samples the model is least sure of, among the newest ``scan``.
+    """The ``take`` unlabelled samples the model is least sure of; with ``scan``, of the newest so many.
 
     ``scorer`` adds ``score`` to a frame with ``title`` and ``text``.
     """
-    scan, take = max(20, min(scan, 5000)), max(5, min(take, 500))
-    newest = samples.where(F.col("label").isNull()).orderBy(
-        F.col("created_at").desc_nulls_first(), F.col("id").desc()
-    ).limit(scan)
+    newest = samples.where(F.col("label").isNull())
+    if scan is not None:
+        newest = newest.orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc()).limit(scan)
     joined = F.concat(
-        F.coalesce("title", F.lit("")), F.lit(" [SEP] "), F.left(F.coalesce("content", F.lit("")), F.lit(500))
+        F.coalesce("title", F.lit("")), F.lit(" [SEP] "), leading(F.coalesce("content", F.lit("")), text_chars)
     )
     text = F.regexp_replace(joined, r"\A[ \[SEP\]]+|[ \[SEP\]]+\z", "")
     scored = scorer(newest.withColumn("text", text))

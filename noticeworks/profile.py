@@ -56,6 +56,14 @@ class Profile:
     nav_words: str
     # notice types, in priority order
     notice_types: tuple[tuple[str, str], ...]
+    # leading characters that a rule looks at; None: the whole text
+    code_chars: int | None = None
+    script_chars: int | None = None
+    date_chars: int | None = None
+    place_chars: int | None = None
+    type_chars: int | None = None
+    # smaller pages count as blocked
+    min_page_chars: int = 1024
 
 
 # ---------------------------------------------------------------------------

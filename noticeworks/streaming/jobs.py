@@ -16,7 +16,7 @@ from noticeworks import schemas
 from noticeworks.functions.urls import content_hash, url_hash
 from noticeworks.operators import alerts
 from noticeworks.operators.extract import extract_notices
-from noticeworks.operators.merge import drop_serp_pages, one_per_key
+from noticeworks.operators.merge import dedup_pages, drop_serp_pages, one_per_key
 from noticeworks.profile import ZH_TENDER, Profile
 from noticeworks.sources.tables import append_batch, read_log
 
@@ -35,24 +35,18 @@ OUTBOX_LOG = """
 """
 
 
-def stream_new_pages(stream: DataFrame, target: str, checkpoint: str, delay: str = "1 hour") -> DataStreamWriter:
-    """Fetched pages to the page log, repeated deliveries dropped.
+def stream_new_pages(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
+    """Fetched pages to the page log.
 
-    Deliveries are told apart by URL and crawl time, not by content: a page that
-    goes from A to B and back to A has to end at A.
+    The log is merged on read and replayed under its batch ids, so repeated deliveries are harmless,
+    and no page is dropped for being late or without a crawl time: which one is newest is decided on read.
     """
-    deduped = (
-        stream.withColumn("url_hash", url_hash(F.col("url")))
-        .withWatermark("crawled_at", delay)
-        .dropDuplicatesWithinWatermark(["url_hash", "crawled_at"])
-        .drop("url_hash")
-    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = one_per_key(batch, ["url"], ["crawled_at", "id"])
+        newest = dedup_pages(batch)
         append_batch(newest.withColumn("content_hash", content_hash(F.col("html"))), target, batch_id)
 
-    return deduped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def stream_extract(
@@ -61,8 +55,7 @@ def stream_extract(
     """New pages to the parsed log."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        work = drop_serp_pages(batch).where(F.length("html") >= 50)
-        newest = one_per_key(work.withColumn("url_hash", url_hash(F.col("url"))), ["url_hash"], ["crawled_at", "id"])
+        newest = dedup_pages(drop_serp_pages(batch).withColumn("url_hash", url_hash(F.col("url"))))
         append_batch(extract_notices(newest, keywords, profile), target, batch_id)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

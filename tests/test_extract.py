@@ -89,7 +89,8 @@ def empty(spark, schema):
 
 def test_outcomes(spark):
     out = {r.mongo_doc_id: r for r in jobs.parse_updates(pages_table(spark), empty(spark, schemas.PARSED_RESULTS), ["财政", "绿化"], "all").collect()}
-    assert set(out) == {"1", "2", "3", "4", "8"}
+    assert set(out) == {"1", "2", "3", "4", "6", "8"}
+    assert (out["6"].outcome, out["6"].is_relevant, out["6"].parse_errors[:9]) == ("too_short", False, "too_short")
     ok = out["1"]
     assert (ok.title, ok.publish_date, ok.bidder, ok.amount, ok.amount_value) == (
         "某县道路工程招标公告", dt(2024, 3, 5), "某县交通局", "5万元", 50000.0,
@@ -146,10 +147,10 @@ def test_modes_partition_pages(spark):
     )
     keyed = M.with_page_keys(pages_table(spark))
     ids = lambda mode: {r.id for r in M.select_pages_to_parse(keyed, parsed, mode).collect()}
-    assert ids("all") == {"1", "2", "3", "4", "8"}
-    assert ids("unparsed_only") == {"2", "8"}
+    assert ids("all") == {"1", "2", "3", "4", "6", "8"}
+    assert ids("unparsed_only") == {"2", "6", "8"}
     assert ids("errors_only") == {"3"}
-    assert ids("unparsed_and_errors") == ids("whatever") == {"2", "3", "8"}
+    assert ids("unparsed_and_errors") == ids("whatever") == {"2", "3", "6", "8"}
 
 
 def test_parse_job_keeps_fields_of_bad_reparse(spark):
@@ -157,14 +158,14 @@ def test_parse_job_keeps_fields_of_bad_reparse(spark):
         spark, (77, "http://a.cn/3", "content_invalid: x", "kept", "合同", "me", "old"), (78, "http://zz.cn", None, "s", "t", "me", "y"),
     )
     out = {r.url: r for r in jobs.parse_job(pages_table(spark), parsed, ["财政"], AS_OF).collect()}
-    assert len(out) == 6
+    assert len(out) == 7
     bad = out["http://a.cn/3"]
     assert (bad.id, bad.summary, bad.notice_type, bad.created_by, bad.is_relevant) == (77, "kept", "合同", "me", False)
     assert out["http://zz.cn"].title == "y"
     new = out["http://a.cn/1"]
     assert new.id == int(new.url_hash[:15], 16) and new.created_at == AS_OF
     again = jobs.parse_job(pages_table(spark), jobs.parse_job(pages_table(spark), parsed, ["财政"], AS_OF), ["财政"], AS_OF)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.values())) or again.count() == 6
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.values())) or again.count() == 7
 
 
 def test_rejudge(spark):
@@ -185,3 +186,17 @@ def test_rejudge(spark):
         assert "model" in str(e)
     else:
         raise AssertionError("a missing model must fail the job")
+
+
+def test_keywords_count_once_for_any_number(spark):
+    """Inline and joined keywords give the same hits, order and count."""
+    words = ["zebra", "apple", "zebra", "", "none", "AP"]
+    texts = spark.createDataFrame([("a", "an Apple and a zebra"), ("b", "nothing"), ("c", None)], "url_hash string, text string")
+    few = spark.createDataFrame([(i, w, True) for i, w in enumerate(words)], "id int, keyword string, enabled boolean")
+    more = few.union(spark.range(3000).selectExpr("cast(id + 100 as int)", "concat('word', id % 2600, repeat('x', cast(id % 300 as int)))", "true"))
+    small = {r.url_hash: (r.matched, r.n_keywords) for r in E.with_keyword_hits(texts, few).collect()}
+    listed = {r.url_hash: (r.matched, r.n_keywords) for r in E.with_keyword_hits(texts, words).collect()}
+    large = {r.url_hash: r for r in E.with_keyword_hits(texts, more).collect()}
+    assert small["a"] == listed["a"] == (["zebra", "apple", "AP"], 4)
+    assert large["a"].matched == ["zebra", "apple", "AP"] and not large["b"].matched
+    assert {r.n_keywords for r in large.values()} == {more.where("keyword <> ''").select("keyword").distinct().count()}

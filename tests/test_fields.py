@@ -23,7 +23,7 @@ def test_publish_date(evaluate):
         "0000-01-01",
     )
     assert got == [
-        None, dt(2024, 3, 5), dt(2024, 1, 3), dt(2024, 3, 5), dt(2024, 3, 5), dt(2024, 3, 5), None, None,
+        None, dt(2024, 3, 5), dt(2024, 1, 3), dt(2024, 3, 5), dt(2024, 3, 5), dt(2024, 3, 5), dt(2024, 3, 5), None,
     ]
 
 
@@ -124,8 +124,9 @@ def test_relevance_cascade(spark):
 
 def test_page_flags(evaluate):
     assert evaluate(X.is_antibot_page, None, "", "x" * 1023, "x" * 1024, "x" * 2000 + "robot check", "x" * 8192 + "robot check") == [
-        True, True, True, False, True, False,
+        True, True, True, False, True, True,
     ]
+    assert evaluate(X.antibot_reason, None, "x", "x" * 1024 + "robot check", "x" * 1024) == ["missing", "short", "phrase", None]
 
 
 def test_list_and_feed_dates(evaluate):

@@ -67,18 +67,32 @@ def test_import(spark):
 def test_training_text_and_labels(spark):
     df = spark.createDataFrame([(1, "标题", "正文\n二", 1), (2, "", "x" * 3000, 0), (3, "", " ", 1), (4, "t", "c", None)], "id bigint, title string, content string, label int")
     lines = {r.value for r in S.export_training_text(df).collect()}
-    assert lines == {"__label__relevant 标题 标题 标题 正文 二", "__label__irrelevant " + "x" * 2000}
+    assert lines == {"__label__relevant 标题 标题 标题 正文 二", "__label__irrelevant " + "x" * 3000}
+    assert {r.value for r in S.export_training_text(df, 2000).collect()} >= {"__label__irrelevant " + "x" * 2000}
     df = df.withColumns({"labeled_by": F.lit(None).cast("string"), "labeled_at": F.lit(None).cast("timestamp")})
     cmds = spark.createDataFrame([(4, 0, "ai", dt(2024, 1, 1)), (4, 1, "admin", dt(2024, 1, 2)), (1, 7, "admin", dt(2024, 1, 2))], "id bigint, label int, labeled_by string, at timestamp")
     out = {r.id: (r.label, r.labeled_by) for r in S.apply_labels(df, cmds).collect()}
     assert out == {1: (1, None), 2: (0, None), 3: (1, None), 4: (1, "admin")}
 
 
+def test_sampler_draws_with_replacement(spark):
+    """As many rows as there are, both classes alike, every row of the small class, weights of the sizes before."""
+    df = spark.range(1000).selectExpr("md5(cast(id as string)) as url_hash", "cast(id < 100 as int) as label", "'t' as title", "'c' as content")
+    drawn = S.with_balance(df, "both")
+    rows = {r.label: (r.n, r.urls, r.w) for r in drawn.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("url_hash").alias("urls"), F.first("weight").alias("w")).collect()}
+    assert rows[1][0] == 500 and rows[1][1] == 100 and 420 < rows[0][0] == rows[0][1] < 580
+    assert (round(rows[0][2], 3), rows[1][2]) == (0.556, 5.0)
+    again = S.with_balance(df.repartition(7), "both")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, drawn.collect()))
+
+
 def test_uncertain(spark):
     df = spark.createDataFrame([(i, None if i else 1, f"t{i}", "c", dt(2024, 1, 1 + i % 28)) for i in range(100)], "id bigint, label int, title string, content string, created_at timestamp")
     df = df.withColumns({"url": F.lit("u"), "search_query": F.lit(None).cast("string"), "source_name": F.lit(None).cast("string")})
-    out = S.uncertain_topk(df, lambda d: d.withColumn("score", F.col("id") / 100), scan=5000, take=5).collect()
+    out = S.uncertain_topk(df, lambda d: d.withColumn("score", F.col("id") / 100), take=5).collect()
     assert [r.id for r in out] == [50, 49, 51, 48, 52]
+    newest = S.uncertain_topk(df, lambda d: d.withColumn("score", F.col("id") / 100), scan=4, take=5).collect()
+    assert {r.id for r in newest} <= {27, 55, 83}
 
 
 def test_batch_scores_keep_going(spark):

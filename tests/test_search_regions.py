@@ -143,6 +143,7 @@ def test_hits_of_prefix_names(spark):
     a = with_name_hits(df, "id", F.col("t"), names, "hits")
     b = with_name_hits(df, "id", F.col("t"), names, "hits", limit=0)
     want = {1: ["甲县", "甲县乙镇", "乙镇"], 2: [], 4: ["乙镇", "甲县", "𠀀甲"]}
-    for out in (a, b):
+    many = names.union(spark.range(3000).selectExpr("concat('名', id % 2500, repeat('x', id % 300))"))
+    for out in (a, b, with_name_hits(df, "id", F.col("t"), many, "hits")):
         got = {r.id: r.hits or [] for r in out.collect()}
         assert {k: got[k] for k in want} == want

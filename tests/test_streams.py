@@ -53,6 +53,18 @@ def test_pages_stream_equals_batch_merge(spark, feed, tmp_path):
     assert current["u"].html == back[2] and current["u"].id == "1" and len(current["u"].content_hash) == 64
 
 
+def test_late_and_undated_pages_stay(spark, feed, tmp_path):
+    """A first-ever page far behind the newest ones, and one without a time, are in the log."""
+    add, stream, path = feed
+    target, ckpt = str(tmp_path / "log"), str(tmp_path / "ckpt")
+    for row in (page("1", "u", HAN, 20), page("2", "late", HAN, 1), ("3", "undated", HAN, "", None, "q", "s", ("", "website", None))):
+        add(row)
+        run(J.stream_new_pages(stream(), target, ckpt))
+    log = T.current_pages(T.read_log(spark, J.PAGE_LOG, target))
+    batch = M.dedup_pages(spark.read.schema(schemas.RAW_PAGES).parquet(path))
+    assert {r.url for r in log.collect()} == {"u", "late", "undated"} == {r.url for r in batch.collect()}
+
+
 def test_extract_stream_equals_batch(spark, feed, tmp_path):
     add, stream, path = feed
     target, ckpt = str(tmp_path / "log"), str(tmp_path / "ckpt")

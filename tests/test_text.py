@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 from noticeworks.functions import text as T
 from noticeworks.profile import LATIN_TEST, ZH_TENDER
@@ -20,6 +21,9 @@ def test_html_to_text_order(evaluate):
 
 def test_valid_content_boundaries(evaluate):
     def valid(v):
+        return T.is_valid_content(v, replace(ZH_TENDER, code_chars=1000, script_chars=2000))
+
+    def whole(v):
         return T.is_valid_content(v, ZH_TENDER)
 
     cases = [
@@ -30,13 +34,14 @@ def test_valid_content_boundaries(evaluate):
         ("x" * 1970 + "一" * 30, True), ("x" * 1971 + "一" * 30, False), (None, False), ("", False),
     ]
     assert evaluate(valid, *[c for c, _ in cases]) == [e for _, e in cases]
+    assert evaluate(whole, "x" * 5000 + "一" * 30, "x" * 5000 + "一" * 29, "var a = 1; " + " " * 1000 + "一" * 30) == [True, False, True]
 
 
 def plain_summary(text, profile):
     """Summary rule as a plain loop, for comparison."""
     parts = re.split(profile.sentence_break, text)
     if len(parts) <= 1:
-        parts = [text[i:i + 200] for i in range(0, min(len(text), 3000), 200)]
+        parts = [text[i:i + 200] for i in range(0, len(text), 200)]
     han = re.compile("[一-鿿]")
     kept, size = [], 0
     for part in parts:
