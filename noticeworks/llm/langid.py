@@ -109,8 +109,11 @@ def _learn(dimensions: int, n: int):
 def learn(labelled: DataFrame, *, label_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, n: int = GRAM) -> dict[str, np.ndarray]:
     """Unit vector of each non-null label of ``labelled``."""
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("t")).filter("label is not null and t is not null")
-    share = rows.groupBy("label").agg((F.lit(per_language) / F.count("*")).alias("share"))
-    sample = rows.join(share, "label").filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("label", "t")
+    counts = rows.groupBy("label").count().collect()  # a row for each label, as in the result
+    if not counts:
+        return {}
+    least = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, per_language / r["count"]) * (1 << 30))])
+    sample = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.element_at(least, F.col("label")))
     sums = sample.mapInArrow(_learn(dimensions, n), "label string, i long, v long").groupBy("label", "i").agg(F.sum("v").alias("v"))
     out: dict[str, np.ndarray] = {}
     for r in sums.collect():  # languages x dimensions
