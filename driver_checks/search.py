@@ -174,7 +174,7 @@ def region_children(m: Model):
     return R.region_children(m.regions).select("id", "child_count")
 
 
-@query("region_search", PATHS + "SELECT id, path FROM tree WHERE contains(name, 'TION_1') ORDER BY id LIMIT 50")
+@query("region_search", PATHS + "SELECT id, path FROM tree WHERE contains(name, 'TION_1')")
 def region_search(m: Model):
     return R.region_search(m.regions, "TION_1").select("id", "path")
 

@@ -19,6 +19,15 @@ from noticeworks.profile import LIST_PAGE, SEARCH_SERP
 PARSE_MODES = ("unparsed_only", "errors_only", "all", "unparsed_and_errors")
 MIN_HTML = 50
 
+# Which outcomes write which columns of a parsed row: all of them, all but unreadable pages, good pages only.
+PARSED_ALWAYS = ("url", "mongo_doc_id", "title", "search_query", "source_name", "is_relevant", "parser_version", "parse_errors")
+PARSED_TYPED = ("notice_type", "relevance_score")
+PARSED_FIELDS = (
+    "summary", "publish_date", "bidder", "location", "bid_start_time", "bid_end_time",
+    "amount", "amount_value", "contact", "matched_keywords",
+)
+UNREADABLE = ("invalid", "too_short")
+
 
 def one_per_key(df: DataFrame, keys: Iterable[str], order: Iterable[str], keep: str = "last") -> DataFrame:
     """One whole row per key: the last (or first) by ``order``; missing values come first."""
@@ -124,6 +133,7 @@ def parse_outcome(df: DataFrame) -> Column:
         return F.col("outcome")
     return (
         F.when(F.startswith(F.col("parse_errors"), F.lit("content_invalid")), F.lit("invalid"))
+        .when(F.startswith(F.col("parse_errors"), F.lit("too_short")), F.lit("too_short"))
         .when(F.col("notice_type").isin(LIST_PAGE, SEARCH_SERP), F.lit("listing"))
         .otherwise(F.lit("ok"))
     )
@@ -136,19 +146,10 @@ def merge_parsed(existing: DataFrame, parsed: DataFrame, order: Iterable[str] =
     extraction of the same page keeps its fields.
     """
     outcome = parse_outcome(parsed)
-    always = (
-        "url", "mongo_doc_id", "title", "search_query", "source_name", "is_relevant",
-        "parser_version", "parse_errors", "updated_at", "updated_by",
-    )
-    typed = ("notice_type", "relevance_score")
-    fields = (
-        "summary", "publish_date", "bidder", "location", "bid_start_time", "bid_end_time",
-        "amount", "amount_value", "contact", "matched_keywords",
-    )
     fresh = parsed.withColumn("_outcome", outcome)
-    rules: dict[str, Column | None] = dict.fromkeys(always)
-    rules |= {c: ~F.col("_outcome").isin("invalid", "too_short") for c in typed}
-    rules |= {c: F.col("_outcome") == "ok" for c in fields}
+    rules: dict[str, Column | None] = dict.fromkeys((*PARSED_ALWAYS, "updated_at", "updated_by"))
+    rules |= {c: ~F.col("_outcome").isin(*UNREADABLE) for c in PARSED_TYPED}
+    rules |= {c: F.col("_outcome") == "ok" for c in PARSED_FIELDS}
     fresh = fresh.withColumn("parse_errors", F.nullif("parse_errors", F.lit("")))
     rules = {c: r for c, r in rules.items() if c in fresh.columns}
     order = [c for c in order if c in fresh.columns] or ["url"]

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from noticeworks.functions.lists import SEARCH_SUFFIXES, level_label, strip_region_suffix
 from noticeworks.operators.merge import first_wins
+from noticeworks.session import cut_lineage
 
 # Levels below a district, and the pseudo city of municipalities.
 SUB_LEVELS = ("street", "town", "village", "community")
 PSEUDO_CITY = "市辖区"
 
-# province, city, district, street, town, village, community
-MAX_LEVELS = 7
-
 
 def path_id(path: Column) -> Column:
     """Stable id of a region from its full path."""
@@ -78,6 +76,20 @@ def enable_regions(regions: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
+def chain_length(regions: DataFrame) -> int:
+    """Most parents above any region. Fails if parents form a circle."""
+    parents = regions.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
+    step, n = regions.select(F.col("parent_id").alias("_next")), 0
+    while True:
+        step = cut_lineage(step.where(F.col("_next").isNotNull()).distinct())
+        if step.isEmpty():
+            return n
+        n += 1
+        if n & (n - 1) == 0 and n > 32 and n > regions.count():
+            raise ValueError("the parents of some regions form a circle")
+        step = step.join(parents, step["_next"] == parents["_id"]).select(F.col("_up").alias("_next"))
+
+
 def with_ancestors(regions: DataFrame) -> DataFrame:
     """Each region with what its chain of parents tells.
 
@@ -97,7 +109,7 @@ def with_ancestors(regions: DataFrame) -> DataFrame:
         F.col("name").alias("search_name"), F.col("level").isin(*SUB_LEVELS).alias("_open"),
         F.col("enabled").alias("reachable"), district.alias("district_id"), F.col("parent_id").alias("_next"),
     )
-    for _ in range(MAX_LEVELS - 1):
+    for _ in range(chain_length(regions)):
         found = F.col("_id").isNotNull()
         rows = rows.join(parents, rows["_next"] == parents["_id"], "left").select(
             "id", "name", "level", "parent_id", "enabled",
@@ -138,11 +150,11 @@ def region_children(regions: DataFrame) -> DataFrame:
     )
 
 
-def region_search(regions: DataFrame, text: str, n: int = 50) -> DataFrame:
-    """Regions whose name contains ``text`` (two characters at least), with their path."""
+def region_search(regions: DataFrame, text: str, n: int | None = None) -> DataFrame:
+    """Regions whose name contains ``text`` (two characters at least), with their path; with ``n``, the first so many."""
     text = text.strip()
     hits = regions.where(F.contains("name", F.lit(text))) if len(text) >= 2 else regions.where(F.lit(False))
-    first = hits.orderBy("id").limit(n).select("id")
+    first = (hits if n is None else hits.orderBy("id").limit(n)).select("id")
     return (
         with_ancestors(regions).join(first, "id", "left_semi")
         .select("id", "name", "level", level_label(F.col("level")).alias("level_label"), "enabled", "path")
@@ -179,7 +191,7 @@ def region_subtree(regions: DataFrame, roots: DataFrame) -> DataFrame:
     """Ids of the given regions and everything below them."""
     parents = regions.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
     chain = regions.select("id", F.array("id").alias("chain"), F.col("parent_id").alias("_next"))
-    for _ in range(MAX_LEVELS - 1):
+    for _ in range(chain_length(regions)):
         chain = chain.join(parents, chain["_next"] == parents["_id"], "left").select(
             "id", F.when(F.col("_id").isNotNull(), F.array_append("chain", F.col("_id"))).otherwise(F.col("chain")).alias("chain"),
             F.col("_up").alias("_next"),

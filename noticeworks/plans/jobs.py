@@ -36,13 +36,16 @@ def parse_updates(
 ) -> DataFrame:
     """Parsed rows for the pages the mode selects.
 
-    Newest pages and the parsed table are both keyed by ``url_hash``, so dedup and
-    selection share one shuffle.
+    The newest page of each URL is chosen, and known ones are left out, without html; html is
+    read only for the pages that remain.
     """
     keyed = pages.select(
         "id", "url", url_hash(F.col("url")).alias("url_hash"), "html", "crawled_at", "search_query", "source_name", "meta"
     )
-    work = merge.select_pages_to_parse(merge.dedup_pages(merge.drop_serp_pages(keyed)), parsed, mode)
+    slim = merge.drop_serp_pages(keyed).select("url_hash", "crawled_at", "id", "meta")
+    chosen = merge.select_pages_to_parse(merge.dedup_pages(slim), parsed, mode).select("url_hash", "crawled_at", "id")
+    same = [keyed[c].eqNullSafe(chosen[c]) for c in ("url_hash", "crawled_at", "id")]
+    work = merge.dedup_pages(merge.drop_serp_pages(keyed).join(chosen, same, "left_semi"))
     return extract_notices(work, keywords, profile, scorer)
 
 
@@ -87,7 +90,10 @@ def rejudge_job(
     )
     html = pages.select(F.col("id").cast("string").alias("_page"), "html")
     open_page = F.when(~F.col("_done") & ~F.col("_serp"), F.col("mongo_doc_id"))
-    joined = staged.withColumn("_want", open_page).join(html, F.col("_want") == F.col("_page"), "left")
+    wanting = staged.withColumn("_want", open_page)
+    # rows that need no page would all meet at the NULL key: they skip the join
+    fetched = wanting.where(F.col("_want").isNotNull()).join(html, F.col("_want") == F.col("_page"), "left").drop("_page")
+    joined = fetched.unionByName(wanting.where(F.col("_want").isNull()).withColumn("html", F.lit(None).cast("string")))
     fallback = F.concat(F.coalesce("summary", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))
     page_text = blank_to_null(html_to_text(F.col("html")))
     texts = joined.withColumn("text", F.coalesce(page_text, fallback))
@@ -99,7 +105,7 @@ def rejudge_job(
         .when(F.col("_info").isNotNull(), F.lit("listing"))
         .otherwise(F.lit("scored"))
     )
-    ready = texts.withColumn("action", action).drop("html", "_page", "_want", "_done", "_serp")
+    ready = texts.withColumn("action", action).drop("html", "_want", "_done", "_serp")
     scored = scorer(with_keyword_hits(ready, keywords))
 
     def given(name: str):
@@ -130,6 +136,16 @@ def rejudge_job(
     return judged.select(*[values[c].alias(c) if c in values else F.col(c) for c in parsed.columns], "action")
 
 
+def run_after_rejudge(
+    parsed: DataFrame, pages: DataFrame, keywords: DataFrame | list[str], scorer: Scorer, channels: DataFrame,
+    outbox: DataFrame, regions: DataFrame, cfg: alerts.NotifyConfig, as_of: datetime, profile: Profile = ZH_TENDER,
+) -> dict[str, DataFrame]:
+    """Judge again and prepare the messages of notices that became relevant."""
+    judged = cut_lineage(rejudge_job(parsed, pages, keywords, scorer, profile))
+    kept = judged.drop("action")
+    return {"parsed": kept, "actions": judged, "new_messages": alerts.prepare_notifications(kept, channels, outbox, regions, cfg, as_of)}
+
+
 def clean_pages(pages: DataFrame, keep: str = "newest") -> tuple[DataFrame, DataFrame]:
     """Pages after dedup, and what was removed."""
     return merge.dedup_pages(pages, keep), reconcile.dup_report(pages)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeworks import schemas
-from noticeworks.operators.merge import one_per_key, parse_outcome
+from noticeworks.operators.merge import PARSED_ALWAYS, PARSED_FIELDS, PARSED_TYPED, UNREADABLE, one_per_key, parse_outcome
 
 PAGE_COLUMNS = ("id", "url", "html", "search_query", "source_name", "meta", "crawled_at")
 
@@ -68,21 +68,13 @@ def current_pages(log: DataFrame) -> DataFrame:
 
 def current_parsed(log: DataFrame) -> DataFrame:
     """Parsed table of a parsed log: what merging the batches one after another gives."""
-    always = (
-        "url", "mongo_doc_id", "title", "search_query", "source_name", "is_relevant", "parser_version", "parse_errors",
-    )
-    typed = ("notice_type", "relevance_score")
-    fields = (
-        "summary", "publish_date", "bidder", "location", "bid_start_time", "bid_end_time",
-        "amount", "amount_value", "contact", "matched_keywords",
-    )
     outcome = parse_outcome(log)
     when = F.struct("batch_id", "mongo_doc_id")
     return (
         log.withColumn("_o", outcome).groupBy("url_hash").agg(
-            F.max_by(F.struct(*always), when).alias("_a"),
-            F.max_by(F.struct(*typed), F.when(F.col("_o") != "invalid", when)).alias("_t"),
-            F.max_by(F.struct(*fields), F.when(F.col("_o") == "ok", when)).alias("_f"),
+            F.max_by(F.struct(*PARSED_ALWAYS), when).alias("_a"),
+            F.max_by(F.struct(*PARSED_TYPED), F.when(~F.col("_o").isin(*UNREADABLE), when)).alias("_t"),
+            F.max_by(F.struct(*PARSED_FIELDS), F.when(F.col("_o") == "ok", when)).alias("_f"),
             F.min_by("created_by", when).alias("created_by"),
         ).select("url_hash", "_a.*", "_t.*", "_f.*", "created_by")
     )

@@ -160,3 +160,12 @@ def test_yield_and_delete_ids(spark):
     assert crawl.crawl_yield(cand, led).first()[3:] == (4, 1, 2, 1)
     ids = spark.createDataFrame([("pr:1",), ("sr:2",), ("3",), ("zz:4",), ("sr:x",), ("5",)], "id string")
     assert {tuple(r) for r in cleanup.delete_targets(ids).collect()} == {("pr", 1), ("sr", 2), ("pr", 3), ("pr", 4), ("pr", 5)}
+
+
+def test_numbers_of_hashed_ids(spark):
+    from noticeworks.operators import planning as P
+
+    ids = spark.range(25_000).selectExpr("xxhash64(id) as id")
+    got = [(r.id, r.idx) for r in P.numbered(ids, "id").collect()]
+    assert sorted(got) == [(x, i) for i, x in enumerate(sorted(i for i, _ in got))]
+    assert P.numbered(ids.limit(0), "id").count() == 0

@@ -147,3 +147,17 @@ def test_hits_of_prefix_names(spark):
     for out in (a, b, with_name_hits(df, "id", F.col("t"), many, "hits")):
         got = {r.id: r.hits or [] for r in out.collect()}
         assert {k: got[k] for k in want} == want
+
+
+def test_long_chains_and_circles(spark):
+    from noticeworks import schemas
+    from noticeworks.operators import cleanup
+
+    rows = [(i, f"n{i}", None, "province" if i == 1 else "village", i - 1 if i > 1 else None, True) for i in range(1, 13)]
+    chain = spark.createDataFrame(rows, schemas.SEARCH_REGIONS)
+    paths = {r.id: r.path for r in R.region_paths(chain).collect()}
+    assert paths[12] == " > ".join(f"n{i}" for i in range(1, 13))
+    assert cleanup.delete_regions(chain.where("id = 2").select("id"), chain).count() == 1
+    circle = spark.createDataFrame([(i, "n", None, "city", i % 40 + 1, True) for i in range(1, 41)], schemas.SEARCH_REGIONS)
+    with pytest.raises(ValueError, match="circle"):
+        R.with_ancestors(circle)
