@@ -173,6 +173,30 @@ def find_contamination(
     return step.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+#: The contract as DuckDB SQL.
+ORACLE_SQL = r"""
+    WITH word_lists AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    item_lists AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    patterns AS (
+        SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS p
+        FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM item_lists WHERE len(w) > 0)),
+    windows AS (
+        SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS p
+        FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM word_lists, (SELECT DISTINCT n FROM patterns))),
+    places AS (SELECT doc_id, i, n, item_id FROM windows JOIN patterns USING (n, p)),
+    hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS pos FROM places) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item FROM places) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AS contaminated
+    FROM word_lists LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def digest(items: F.Column) -> F.Column:
     return F.sha2(F.concat_ws(",", items), 256)
 

@@ -152,3 +152,26 @@ def judge_quality(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule,
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     verdict = F.when(failed, F.lit(False)).otherwise(cascade(ordered, F.coalesce("__text", F.lit("")), F.col("__words")))
     return judged.withColumns({"base_failed": failed, "kept": verdict}).drop("__text", "__words")
+
+
+#: The contract and the rules as DuckDB SQL.
+ORACLE_SQL = r"""
+    WITH split AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    windows AS (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM split)),
+    repeated AS (
+        SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 2)) AS pos FROM windows WHERE times > 1) GROUP BY doc_id),
+    counted AS (
+        SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+            len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_distinct(w)) AS n_distinct
+        FROM split LEFT JOIN repeated USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars <= 15 * n_words AND word_chars >= 2 * n_words
+            AND 10 * n_symbols <= n_words AND 3 * len(regexp_extract_all(t, '[!?]')) <= n_words
+            AND 2 * len(regexp_extract_all(t, '\p{Lu}')) <= len(regexp_extract_all(t, '\p{L}')) AND 2 * len(regexp_extract_all(t, '[0-9]')) <= length(t)
+            AND 2 * n_dup_lines <= n_lines AND 20 * n_distinct >= n_words AS kept
+    FROM counted
+"""

@@ -89,6 +89,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+# The other queries have no SQL: they need automata, trees, trained vectors, hashes or tokens; their tests hold them against plain loops.
+ORACLES["op1_decontamination"] = decontam.ORACLE_SQL
+ORACLES["op2_quality"] = quality.ORACLE_SQL
+ORACLES["op9_urls"] = urlfilter.oracle_sql(RULES)
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

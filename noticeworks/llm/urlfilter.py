@@ -122,3 +122,38 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", par
     verdict = F.when(F.coalesce(blocked, F.col("__bad"), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     out = [c for c in kept if c not in ("host", "path", "rule", "verdict")]
     return judged.select(*out, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"))
+
+
+def oracle_sql(rules: list[Rule], params: TemplateParams = TemplateParams()) -> str:
+    """The same judgement over ``pages`` as DuckDB SQL."""
+    order = sorted(rules, key=lambda r: -len(r.text))
+    fits = " ".join(f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in order)
+    blocking = ", ".join(f"'{r.text}'" for r in rules if r.verdict == "block")
+    p = params
+    return rf"""
+    WITH placed AS (
+        SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    ruled AS (SELECT *, CASE {fits} END AS rule FROM placed),
+    cut AS (
+        SELECT *, CASE WHEN rule IN ({blocking}) THEN 1 WHEN rule IS NOT NULL THEN 0 END AS label,
+            list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE
+                WHEN regexp_matches(s, '^[0-9][0-9._-]*(?:\.[A-Za-z]{{2,5}})?$') OR regexp_matches(s, '^.{{32,}}(?:\.[A-Za-z]{{2,5}})?$')
+                    OR (regexp_matches(s, '^[0-9A-Fa-f-]{{8,}}(?:\.[A-Za-z]{{2,5}})?$') AND regexp_matches(s, '^[^.]*[0-9]'))
+                THEN concat('{WILD}', regexp_extract(s, '\.[A-Za-z]{{2,5}}$')) ELSE s END) AS segs FROM ruled),
+    steps AS (SELECT page_id, host, label, k, segs[1:k - 1] AS above, segs[k] AS seg FROM (SELECT *, unnest(generate_series(1, len(segs))) AS k FROM cut)),
+    children AS (SELECT host, above, seg, count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS blocked FROM steps GROUP BY ALL),
+    parents AS (SELECT host, above, count(*) AS kids, sum(n) AS p_n, sum(labelled) AS p_l, sum(blocked) AS p_b FROM children GROUP BY ALL),
+    named AS (
+        SELECT host, above, seg, CASE WHEN starts_with(seg, '{WILD}') THEN seg WHEN kids > {p.many} AND p_n < {p.repeats} * kids THEN '{WILD}'
+            WHEN kids > 1 AND labelled >= {p.support} AND abs(blocked / labelled - p_b / p_l) <= {p.z} * sqrt(p_b / p_l * (1 - p_b / p_l) / labelled)
+            THEN '{MERGED}' ELSE seg END AS name
+        FROM children JOIN parents USING (host, above)),
+    finals AS (
+        SELECT c.page_id, c.host, c.path, c.rule, c.label, coalesce(f.final, '') AS final FROM cut c LEFT JOIN (
+            SELECT page_id, string_agg(name, '/' ORDER BY k) AS final FROM steps JOIN named USING (host, above, seg) GROUP BY page_id) f USING (page_id)),
+    judged AS (
+        SELECT *, (coalesce(sum(label) OVER (PARTITION BY host, final), 0) + {p.smoothing} * coalesce(sum(label) OVER () / count(label) OVER (), 0))
+            / (count(label) OVER (PARTITION BY host, final) + {p.smoothing}) AS purity FROM finals)
+    SELECT page_id, host, path, rule, CASE WHEN label = 1 OR (label IS NULL AND purity >= {p.purity}) THEN 'block' ELSE 'allow' END AS verdict FROM judged
+    """
