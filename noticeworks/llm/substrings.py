@@ -113,8 +113,14 @@ class Block:
         start = np.flatnonzero(self.room >= self.window)
         self.suffix = start[repeated[start + modulus] > repeated[start]]
         names = self.hashes.of(self.suffix, self.suffix + self.window)
-        self.windows, self.first, self.same = np.unique(names, return_index=True, return_inverse=True)
-        self.deal = _deal(self.windows, buckets)
+        windows, first, same = np.unique(names, return_index=True, return_inverse=True)
+        # the bucket comes from a second hash, so it adds to the 7 bytes that are sent
+        begin = self.suffix[first]
+        deal = _deal(tb.Hashes(self.data, 1).of(begin, begin + self.window), buckets)
+        order = np.argsort(deal.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.windows, self.first, self.same, self.deal = windows[order], first[order], place[same], deal[order]
 
     def removed(self, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mask of the removed bytes, and of those that begin a run."""

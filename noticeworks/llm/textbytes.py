@@ -20,9 +20,11 @@ LOWER[65:91] += 32
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**64, size=256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
+#: Two independent hash families: values of bytes, base, inverse of the base.
+_FAMILIES = [
+    (np.random.default_rng(seed).integers(1, 2**64, size=256, dtype=np.uint64) | np.uint64(1), base, pow(base, -1, 1 << 64))
+    for seed, base in ((20240229, 0x9E3779B97F4A7C15), (20240301, 0xD1342543DE82EF95))
+]
 
 
 def slices(sizes: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -53,7 +55,7 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         yield a, b, data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(base: int, bits: int) -> np.ndarray:
     out = np.full(1 << bits, base, dtype=np.uint64)
     out[0] = 1
@@ -68,11 +70,12 @@ def powers(base: int, n: int) -> np.ndarray:
 class Hashes:
     """Hashes of any substring from one pass of prefix sums modulo 2**64."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, family: int = 0):
         n = len(data)
+        values, base, back = _FAMILIES[family]
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUES[data] * powers(_BASE, n), out=self.sums[1:])
-        self.back = powers(_BACK, n + 1)
+        np.cumsum(values[data] * powers(base, n), out=self.sums[1:])
+        self.back = powers(back, n + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.back[starts])
