@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driver_checks.model import Model
@@ -11,12 +13,35 @@ from noticeworks.functions.matching import matched_terms, with_name_hits
 from noticeworks.operators import crawl, extract, links, merge
 from noticeworks.plans import jobs
 from noticeworks.profile import LATIN_TEST, ZH_TENDER
-from noticeworks.sources import feeds, registry as source_registry
+from noticeworks.session import shared_folder
+from noticeworks.sources import feeds, registry as source_registry, tables
 
 
 @query("page_scan", "SELECT id, url, crawled_at, search_query, source_name FROM m_pages")
 def page_scan(m: Model):
-    return m.pages.select("id", "url", "crawled_at", "search_query", "source_name")
+    """Pages stored and read again with the columns asked for."""
+    path = f"{shared_folder(m.spark)}/pages-{uuid.uuid4().hex}"
+    m.pages.write.parquet(path)
+    return tables.read_raw_pages(m.spark, path, ("id", "url", "crawled_at", "search_query", "source_name"))
+
+
+@query("nul_text", "SELECT doc_id, concat(lang, text) AS clean FROM documents")
+def nul_text(m: Model):
+    nul = F.char(F.lit(0))
+    return m.docs.select("doc_id", text.strip_nul(F.concat("lang", nul, "text", nul, nul)).alias("clean"))
+
+
+@query("user_field", """
+    SELECT url_hash, CASE WHEN length(html) >= 50 AND length(text) >= 20 AND len(regexp_extract_all(text, '\\p{L}')) >= 30
+                          THEN length(text) END AS n_text FROM m_doc_text
+""")
+def user_field(m: Model):
+    """A field of the caller next to the built-in ones."""
+    extract.register_field("n_text", lambda text_col, html, ctx, profile: F.length(text_col))
+    try:
+        return extract.extract_notices(m.doc_pages, ["the"], LATIN_TEST).select("url_hash", F.col("n_text").cast("bigint").alias("n_text"))
+    finally:
+        extract.drop_field("n_text")
 
 
 @query("page_keys", "SELECT id, md5(url) AS url_hash, sha256(html) AS content_hash FROM m_pages")

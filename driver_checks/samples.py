@@ -194,18 +194,49 @@ def rejudge_job(m: Model):
     return done.select("id", "action", "is_relevant", "notice_type")
 
 
-@query("train_relevance")
+TRAINABLE = """
+    SELECT url_hash, label FROM m_samples WHERE label IN (0, 1) AND (trim(title, ' ' || chr(10)) <> '' OR trim(content, ' ' || chr(10)) <> '')
+"""
+HELD_OUT = """
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || url_hash))
+        <= greatest(1, floor(count(*) OVER (PARTITION BY label) * 0.15)) AS held_out FROM
+"""
+
+
+@query("train_relevance", f"""
+    SELECT count(*) AS samples, count(*) FILTER (held_out AND label = 1) AS relevant, count(*) FILTER (held_out AND label = 0) AS irrelevant,
+        true AS rated FROM ({HELD_OUT} ({TRAINABLE}))
+""")
 def train_relevance(m: Model):
-    return ml.train_relevance(m.samples, features=1 << 12, iterations=5)[1]
+    """Rows used, held-out rows of each class, and whether the metrics are shares."""
+    metrics = ml.train_relevance(m.samples, features=1 << 12, iterations=5)[1]
+    return metrics.selectExpr(
+        "cast(samples AS bigint) AS samples", "tp + fn AS relevant", "fp + tn AS irrelevant",
+        "accuracy BETWEEN 0 AND 1 AND precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND f1 BETWEEN 0 AND 1 AS rated",
+    )
 
 
-@query("train_notice_type")
+NOTICE_KINDS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("train_notice_type", f"""
+    SELECT count(*) AS samples, count(*) FILTER (held_out) AS held_out, true AS rated FROM ({HELD_OUT} (
+        SELECT url_hash, notice_type AS label FROM (SELECT * FROM m_notices WHERE notice_type IS NOT NULL ORDER BY id DESC LIMIT 5000) WHERE trim(title) <> ''))
+""")
 def train_notice_type(m: Model):
-    labels = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-    return ml.train_notice_type(m.notices, features=1 << 10, iterations=5, labels=labels)[1]
+    metrics = ml.train_notice_type(m.notices, features=1 << 10, iterations=5, labels=NOTICE_KINDS)[1]
+    return metrics.selectExpr("cast(samples AS bigint) AS samples", "held_out", "accuracy BETWEEN 0 AND 1 AS rated")
 
 
-@query("score_samples")
+@query("score_samples", "SELECT id, true AS scored FROM m_samples")
 def score_samples(m: Model):
     model, _ = ml.train_relevance(m.samples, features=1 << 12, iterations=5)
-    return ml.score_text(m.samples, model, text="content").select("id", "score")
+    return ml.score_text(m.samples, model, text="content").selectExpr("id", "score BETWEEN 0 AND 1 AS scored")
+
+
+@query("score_types", "SELECT id, true AS scored FROM m_notices")
+def score_types(m: Model):
+    model, _ = ml.train_notice_type(m.notices, features=1 << 10, iterations=5, labels=NOTICE_KINDS)
+    scored = ml.score_type(m.notices, model, text="summary")
+    known = F.col("model_type").isin(*NOTICE_KINDS) & F.col("type_confidence").between(0, 1)
+    return scored.select("id", known.alias("scored"))

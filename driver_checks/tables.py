@@ -383,11 +383,13 @@ DOOMED = "SELECT id FROM m_samples WHERE label = 0"
     SELECT 'parsed' AS kept_in, id FROM m_parsed WHERE id NOT IN ({DOOMED})
     UNION ALL SELECT 'results', id FROM m_results WHERE id NOT IN (SELECT id FROM m_samples WHERE labeled_by = 'ai')
     UNION ALL SELECT 'samples', id FROM m_samples WHERE id NOT IN ({DOOMED})
+    UNION ALL SELECT 'outbox', id FROM m_parsed WHERE url_hash NOT IN (SELECT url_hash FROM m_parsed WHERE id IN ({DOOMED}))
 """)
 def cascade_delete(m: Model):
-    left = cleanup.cascade_delete(delete_commands(m), m.parsed, m.results, m.outbox, m.samples)
+    outbox = m.parsed.select("id", "url_hash")  # one message about each notice
+    left = cleanup.cascade_delete(delete_commands(m), m.parsed, m.results, outbox, m.samples)
     out = None
-    for name in ("parsed", "results", "samples"):
+    for name in ("parsed", "results", "samples", "outbox"):
         rows = left[name].select(F.lit(name).alias("kept_in"), "id")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -437,17 +439,39 @@ def parse_job(m: Model):
     )
 
 
-@query("diagnose", """
-    SELECT 'errors' AS report, count(*) AS n FROM (SELECT DISTINCT substr(parse_errors, 1, 60) FROM m_parsed WHERE parse_errors IS NOT NULL)
-    UNION ALL SELECT 'notice_types', least(count(*), 20) FROM (SELECT DISTINCT coalesce(notice_type, '<null>') FROM m_parsed)
-    UNION ALL SELECT 'orphan_types', count(*) FROM (SELECT DISTINCT coalesce(notice_type, '<null>') FROM m_parsed
-                                                    WHERE url_hash NOT IN (SELECT url_hash FROM m_results))
-    UNION ALL SELECT 'newest_orphans', least(count(*), 10) FROM m_parsed WHERE url_hash NOT IN (SELECT url_hash FROM m_results)
-    UNION ALL SELECT 'health', 1 UNION ALL SELECT 'duplication', 1
+ORPHANS = "FROM m_parsed WHERE url_hash NOT IN (SELECT url_hash FROM m_results)"
+
+
+@query("diagnose", f"""
+    SELECT * FROM (SELECT 'errors' AS report, substr(parse_errors, 1, 60) AS item, count(*) AS n FROM m_parsed
+                   WHERE parse_errors IS NOT NULL GROUP BY 2 ORDER BY n DESC, item LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT 'notice_types', coalesce(notice_type, '<null>') AS item, count(*) AS n FROM m_parsed
+                             GROUP BY 2 ORDER BY n DESC, item LIMIT 20)
+    UNION ALL SELECT 'orphan_types', coalesce(notice_type, '<null>'), count(*) {ORPHANS} GROUP BY 2
+    UNION ALL SELECT * FROM (SELECT 'newest_orphans', cast(id AS varchar), cast(parse_errors IS NOT NULL AS bigint) {ORPHANS}
+                             ORDER BY created_at DESC NULLS FIRST, id DESC LIMIT 10)
+    UNION ALL SELECT 'health', 'results', count(*) FROM m_results
+    UNION ALL SELECT 'health', 'parsed_ok', count(*) FROM m_parsed WHERE parse_errors IS NULL
+    UNION ALL SELECT 'health', 'parsed_error', count(*) FROM m_parsed WHERE parse_errors IS NOT NULL
+    UNION ALL SELECT 'health', 'pending', count(*) FROM m_results WHERE url_hash NOT IN (SELECT url_hash FROM m_parsed)
+    UNION ALL SELECT 'health', 'orphans', count(*) {ORPHANS}
+    UNION ALL SELECT 'health', 'raw_pages', count(*) FROM m_doc_pages
+    UNION ALL SELECT 'duplication', 'documents', count(*) FROM m_doc_pages
+    UNION ALL SELECT 'duplication', 'urls', count(DISTINCT url) FROM m_doc_pages
 """)
 def diagnose(m: Model):
+    reports = jobs.diagnose(m.results, m.parsed, m.doc_pages)
+    shown = {
+        "errors": ("err_prefix", "cnt"), "notice_types": ("notice_type", "cnt"), "orphan_types": ("notice_type", "cnt"),
+        "newest_orphans": ("cast(id AS string)", "cast(has_err AS bigint)"),
+    }
     out = None
-    for name, df in jobs.diagnose(m.results, m.parsed, m.doc_pages).items():
-        row = df.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n"))
-        out = row if out is None else out.unionByName(row)
+    for name, df in reports.items():
+        if name in shown:
+            item, n = shown[name]
+            rows = df.selectExpr(f"'{name}' AS report", f"{item} AS item", f"{n} AS n")
+        else:
+            counts = [c for c, kind in df.dtypes if kind == "bigint"]
+            rows = df.selectExpr(f"'{name}' AS report", f"stack({len(counts)}, " + ", ".join(f"'{c}', {c}" for c in counts) + ") AS (item, n)")
+        out = rows if out is None else out.unionByName(rows)
     return out

@@ -153,11 +153,6 @@ def label_balance(samples: DataFrame) -> DataFrame:
     )
 
 
-def notice_type_balance(parsed: DataFrame, label: Column) -> DataFrame:
-    """Rows per notice label."""
-    return parsed.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("cnt"))
-
-
 def split_order(seed: int = SEED, key: str = "url_hash") -> Column:
     """Repeatable random order of samples."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))

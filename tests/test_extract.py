@@ -122,7 +122,7 @@ def test_scorer_and_registered_field(spark):
     saved = dict(E._FIELDS)
     try:
         E.register_field("shout", lambda text, html, ctx, p: F.upper(ctx["source_name"]))
-        E.register_field("reserved", E.model_field)
+        E.register_field("reserved", lambda text, html, ctx, p: F.lit(None).cast("string"))
         out = E.extract_notices(
             pages_table(spark).where("id = '1'"), ["x"],
             scorer=lambda df: df.withColumns({"score": F.lit(0.71234), "model_type": F.lit("合同"), "type_confidence": F.lit(0.9)}),
