@@ -33,7 +33,7 @@ from noticeworks.session import cut_lineage
 
 WINDOW = 100
 #: Bytes of text of a block, names of a bucket.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 BUCKET = 4 << 20
 #: (modulus, multiplier, seeds): the seeds' orbits under the multiplier are a perfect difference cover of the modulus.
 COVERS = ((57, 7, (0, 38, 1, 5)), (13, 3, (0, 1)), (7, 2, (1,)), (1, 1, (0,)))
@@ -112,8 +112,9 @@ class Block:
         np.cumsum(repeated, out=repeated)
         start = np.flatnonzero(self.room >= self.window)
         self.suffix = start[repeated[start + modulus] > repeated[start]]
-        names = self.hashes.of(self.suffix, self.suffix + self.window)
-        windows, first, same = np.unique(names, return_index=True, return_inverse=True)
+        del self.at, self.names, self.number, self.times, self.room, self.lengths, repeated, start
+        windows, first, same = np.unique(self.hashes.of(self.suffix, self.suffix + self.window), return_index=True, return_inverse=True)
+        del self.hashes
         # the bucket comes from a second hash, so it adds to the 7 bytes that are sent
         begin = self.suffix[first]
         deal = _deal(tb.Hashes(self.data, 1).of(begin, begin + self.window), buckets)

@@ -55,16 +55,16 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         yield a, b, data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    return _powers(base, max(21, (n - 1).bit_length()))[:n]
+    """base**0 .. base**(n-1) modulo 2**64. The longest run asked for is kept."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(n + n // 8, base, dtype=np.uint64)
+        out[:1] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base][:n]
 
 
 class Hashes:
