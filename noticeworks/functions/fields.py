@@ -96,7 +96,7 @@ def amount(text: Column, profile: Profile) -> Column:
                 value.isNotNull(), F.struct(F.concat(number, unit).alias("display"), value.alias("value"))
             )
 
-        return let(F.regexp_substr(text, F.lit(pattern)), build)
+        return let(F.regexp_extract(text, pattern, 0), build)
 
     units = [name for name, _ in profile.units]
     shared = units[0][-1]
@@ -113,9 +113,9 @@ def contact(text: Column, profile: Profile) -> Column:
         F.concat(person, extract(text, profile.person)),
         F.coalesce(
             F.concat(phone, labelled),
-            F.concat(mobile, F.regexp_substr(text, F.lit(profile.mobile))),
+            F.concat(mobile, extract(text, profile.mobile, 0)),
         ),
-        F.when(F.contains(text, F.lit("@")), F.concat(email, F.regexp_substr(text, F.lit(EMAIL)))),
+        F.when(F.contains(text, F.lit("@")), F.concat(email, extract(text, EMAIL, 0))),
     )
     return blank_to_null(parts)
 

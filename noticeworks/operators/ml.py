@@ -11,7 +11,6 @@ from pyspark.ml.feature import IDF, HashingTF, IndexToString, NGram, SQLTransfor
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from noticeworks.functions.basics import blank_to_null, leading, strip
 from noticeworks.functions.labelling import NOTICE_LABELS, model_input, notice_label, training_input
@@ -122,19 +121,25 @@ def score_type(df: DataFrame, model: PipelineModel, title: str = "title", text:
 def score_with(
     df: DataFrame, predict: Callable[[pd.Series], pd.Series], title: str = "title", text: str = "text"
 ) -> DataFrame:
-    """Add ``score`` from any batch predictor over ``title [SEP] text``.
+    """Add ``score`` from any batch predictor over ``title [SEP] text``, and ``score_error``.
 
     The predictor works on Arrow batches and must keep their length; a failing
-    batch gives NULL scores instead of failing the job.
+    batch gives NULL scores and what went wrong instead of failing the job.
     """
 
-    @F.pandas_udf(DoubleType())
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("score double, error string")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out, error = [None] * len(batch), None
             try:
-                out = pd.Series(list(predict(batch)), dtype="float64")
-                yield out if len(out) == len(batch) else pd.Series([None] * len(batch), dtype="float64")
-            except Exception:
-                yield pd.Series([None] * len(batch), dtype="float64")
-
-    return df.withColumn("score", scores(model_input(F.col(title), F.col(text))))
+                found = list(predict(batch))
+                if len(found) == len(batch):
+                    out = found
+                else:
+                    error = f"{len(found)} scores for {len(batch)} texts"
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({"score": pd.Series(out, dtype="float64"), "error": pd.Series([error] * len(batch), dtype="object")})
+
+    scored = df.withColumn("_scored", scores(model_input(F.col(title), F.col(text))))
+    return scored.select(*df.columns, F.col("_scored.score").alias("score"), F.col("_scored.error").alias("score_error"))

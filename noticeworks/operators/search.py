@@ -133,8 +133,9 @@ def sorted_by(column: str, direction: str, allowed: tuple[str, ...], tie: str =
     return [F.col(name).desc_nulls_first(), F.col(tie).desc()]
 
 
-def latest(df: DataFrame, order: str, n: int) -> DataFrame:
-    return df.orderBy(F.col(order).desc_nulls_first()).limit(n)
+def latest(df: DataFrame, order: str, n: int, tie: str = "id") -> DataFrame:
+    """The ``n`` rows latest by ``order``, equal ones by ``tie``."""
+    return df.orderBy(F.col(order).desc_nulls_first(), F.col(tie).desc()).limit(n)
 
 
 def enabled_rows(registry: DataFrame) -> DataFrame:

@@ -25,6 +25,10 @@ def local_session(name: str = "noticeworks", cores: str = "*", shuffle_partition
     )
 
 
+#: Intermediate tables of this process.
+_CUTS: list[str] = []
+
+
 @cache
 def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="noticeworks-")
@@ -47,5 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     joins choose their strategy.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _CUTS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; for the end of a job, when its results are stored."""
+    n = len(_CUTS)
+    while _CUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

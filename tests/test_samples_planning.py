@@ -104,8 +104,8 @@ def test_batch_scores_keep_going(spark):
     df = spark.createDataFrame([("t", "abc")], "title string, text string")
     assert [r.score for r in ml.score_with(df, predict).collect()] == [0.11]
     bad = spark.createDataFrame([("boom", "abc")], "title string, text string")
-    assert [r.score for r in ml.score_with(bad, predict).collect()] == [None]
-    assert [r.score for r in ml.score_with(df, lambda t: [1, 2]).collect()] == [None]
+    assert [(r.score, r.score_error) for r in ml.score_with(bad, predict).collect()] == [(None, "RuntimeError: boom")]
+    assert [(r.score, r.score_error) for r in ml.score_with(df, lambda t: [1, 2]).collect()] == [(None, "2 scores for 1 texts")]
 
 
 def test_training(spark):

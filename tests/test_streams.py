@@ -138,3 +138,16 @@ def test_bucketed_table_is_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("DROP TABLE nw_results")
         spark.sql("DROP TABLE nw_parsed")
+
+
+def test_cuts_are_deleted(spark):
+    import os
+
+    from noticeworks import session
+
+    session.drop_cuts(spark)
+    cut = session.cut_lineage(spark.range(3).toDF("x"))
+    folder = cut.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    folder = "/" + folder.lstrip("/")
+    assert cut.count() == 3 and os.path.exists(folder)
+    assert session.drop_cuts(spark) == 1 and not os.path.exists(folder)
