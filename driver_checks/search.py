@@ -35,6 +35,15 @@ def search_page(m: Model):
     return S.page_of(found, S.newest_first(), page=2).select("id", "publish_date")
 
 
+@query("search_page_after", f"""
+    SELECT id, publish_date FROM ({FOUND}) WHERE publish_date < TIMESTAMP '2024-03-01' OR (publish_date = TIMESTAMP '2024-03-01' AND id < 500)
+    ORDER BY publish_date DESC NULLS FIRST, id DESC LIMIT 20
+""")
+def search_page_after(m: Model):
+    found = S.search_notices(m.parsed, m.regions, SEARCH_PARAMS, DOC_TIME)
+    return S.page_after(found, "publish_date", (datetime(2024, 3, 1), 500)).select("id", "publish_date")
+
+
 @query("search_page_count", f"SELECT count(*) AS total, greatest(ceil(count(*) / 20), 1)::bigint AS total_pages FROM ({FOUND})")
 def search_page_count(m: Model):
     return S.page_count(S.search_notices(m.parsed, m.regions, SEARCH_PARAMS, DOC_TIME))

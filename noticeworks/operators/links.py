@@ -20,7 +20,7 @@ from noticeworks.functions.urls import (
 )
 from noticeworks.operators.merge import append_new_results, dedup_pages
 from noticeworks.profile import ZH_TENDER, Profile
-from noticeworks.session import cut_lineage
+from noticeworks.session import cut_bucketed, cut_lineage
 
 # File types that are no page, and the anchor patterns per engine.
 SKIP_EXTENSIONS = (
@@ -175,10 +175,12 @@ def crawl_frontier(
     each level is written out, so a lost executor does not replay the levels
     before it, and the visited set is the written levels.
     """
-    edges = cut_lineage(
+    # one layout for all levels: only the level itself is shuffled
+    edges = cut_bucketed(
         page_links(dedup_pages(pages), extra_domains, base_url=base_url).select(
             url_hash(F.col("url")).alias("from_hash"), "link", "link_hash"
-        )
+        ),
+        "from_hash",
     )
     level = cut_lineage(
         seeds.select("url", url_hash(F.col("url")).alias("url_hash"))

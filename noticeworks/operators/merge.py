@@ -106,10 +106,14 @@ def upsert(
 
 
 def merge_raw_pages(base: DataFrame, updates: DataFrame) -> DataFrame:
-    """Upsert crawled pages by URL; the newest crawl wins, ids and unknown fields stay."""
+    """Upsert crawled pages by URL; the newest crawl wins, ids and unknown fields stay.
+
+    Where both tables carry ``url_hash`` it is the key, so tables bucketed by it merge without an exchange.
+    """
+    key = "url_hash" if "url_hash" in base.columns and "url_hash" in updates.columns else "url"
     owned = ("html", "content_hash", "crawled_at", "search_query", "source_name", "meta")
     fresh = updates.withColumn("content_hash", content_hash(F.col("html")))
-    return upsert(base, fresh, "url", ["crawled_at", "id"], owned, newer="crawled_at")
+    return upsert(base, fresh, key, ["crawled_at", "id"], owned, newer="crawled_at")
 
 
 def append_new_results(existing: DataFrame, candidates: DataFrame, order: Iterable[str] = ("id",)) -> DataFrame:

@@ -113,6 +113,17 @@ def page_of(df: DataFrame, order: list[Column], page: int = 1, per_page: int = P
     return df.orderBy(*order).offset((max(page, 1) - 1) * per_page).limit(per_page)
 
 
+def page_after(df: DataFrame, column: str, last: tuple, tie: str = "id", per_page: int = PER_PAGE) -> DataFrame:
+    """The page behind the row with ``last`` (value of ``column``, of ``tie``) in newest-first order.
+
+    Unlike an offset, which gathers all rows before the page, this filters them in the scan.
+    """
+    value, at = last
+    same = F.col(column).isNull() if value is None else F.col(column) == F.lit(value)
+    older = F.col(column).isNotNull() if value is None else F.col(column) < F.lit(value)
+    return df.where(older | (same & (F.col(tie) < F.lit(at)))).orderBy(*newest_first(column, tie)).limit(per_page)
+
+
 def page_count(df: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
     """Exact number of rows and pages; one page when there is nothing."""
     total = F.count(F.lit(1))

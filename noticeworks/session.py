@@ -56,10 +56,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As ``cut_lineage``, bucketed by ``key``: joins on it shuffle the other side only."""
+    spark = df.sparkSession
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    _CUTS.append(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_cuts(spark: SparkSession) -> int:
     """Delete the intermediate tables written so far; for the end of a job, when its results are stored."""
     n = len(_CUTS)
     while _CUTS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        name = _CUTS.pop()
+        if (table := name.rsplit("/", 1)[-1]).startswith("cut_"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n

@@ -140,6 +140,28 @@ def test_bucketed_table_is_not_shuffled(spark):
         spark.sql("DROP TABLE nw_parsed")
 
 
+def test_bucketed_merges_are_not_shuffled(spark):
+    """Pages and parsed rows bucketed by url_hash merge without an exchange, and as unbucketed ones do."""
+    rows = [page(str(i), f"u{i % 30}", HAN, i % 20) for i in range(60)]
+    pages = M.with_page_keys(spark.createDataFrame(rows, schemas.RAW_PAGES))
+    base, news = M.dedup_pages(pages.where("id < '3'")), pages.where("id >= '3'")
+    for name, df in (("nw_base", base), ("nw_news", news)):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        T.save_bucketed(df, name, buckets=4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = M.merge_raw_pages(spark.table("nw_base"), spark.table("nw_news"))
+        assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+        plain = M.merge_raw_pages(base.drop("url_hash"), news.drop("url_hash"))
+        cols = ["id", "url", "crawled_at"]
+        assert sorted(map(tuple, merged.select(cols).collect()), key=str) == sorted(map(tuple, plain.select(cols).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE nw_base")
+        spark.sql("DROP TABLE nw_news")
+
+
 def test_cuts_are_deleted(spark):
     import os
 
