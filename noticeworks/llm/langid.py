@@ -23,6 +23,8 @@ DIMENSIONS = 1024
 GRAM = 3
 PER_LANGUAGE = 4000
 CHUNK = 1 << 19
+#: Texts and distinct n-grams of one matrix product.
+TEXTS, GRAMS = 128, 1 << 13
 NO_LANGUAGE = "und"
 
 
@@ -72,8 +74,8 @@ def profiles(texts: list[str], dimensions: int, n: int) -> np.ndarray:
     """A row for each text: the sum of its n-gram vectors."""
     text, which, count, parts = _grams(texts, n)
     out = np.zeros((len(texts), dimensions), np.float32)
-    for a in range(0, len(parts), 1 << 14):
-        part = parts[a : a + (1 << 14)]
+    for a in range(0, len(parts), GRAMS):
+        part = parts[a : a + GRAMS]
         bound = np.ones((len(part), dimensions), np.int8)
         for i in range(n):
             codes, row = np.unique(part[:, i], return_inverse=True)
@@ -89,7 +91,9 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
     for batch in batches:
         for a, b, data, starts in tb.chunks(batch.column(column), CHUNK):
             raw, at = data.tobytes(), starts.tolist()
-            yield batch, a, b, [raw[s:e].decode() for s, e in zip(at, at[1:], strict=False)]
+            texts = [raw[s:e].decode() for s, e in zip(at, at[1:], strict=False)]
+            for k in range(0, b - a, TEXTS):  # many short texts would make a large product
+                yield batch, a + k, min(b, a + k + TEXTS), texts[k : k + TEXTS]
 
 
 def _learn(dimensions: int, n: int):
@@ -121,12 +125,12 @@ def learn(labelled: DataFrame, *, label_col: str = "lang", text_col: str = "text
     return {k: v / norm for k, v in sorted(out.items()) if (norm := np.linalg.norm(v))}
 
 
-def _predict(prototypes: dict[str, np.ndarray], dimensions: int, n: int):
+def _predict(prototypes: dict[str, np.ndarray], text: int, others: list[str], dimensions: int, n: int):
     names = list(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, dimensions), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, b, texts in _parts(batches, 0):
+        for batch, a, b, texts in _parts(batches, text):
             found = profiles(texts, dimensions, n)
             size = np.linalg.norm(found, axis=1)
             cosine = found @ matrix.T / np.where(size, size, 1)[:, None]
@@ -135,7 +139,7 @@ def _predict(prototypes: dict[str, np.ndarray], dimensions: int, n: int):
             part = batch.slice(a, b - a)
             label = [names[i] if k else NO_LANGUAGE for i, k in zip(best.tolist(), known.tolist(), strict=True)]
             score = [min(1.0, max(0.0, float(cosine[r, i]))) if k else 0.0 for r, (i, k) in enumerate(zip(best.tolist(), known.tolist(), strict=True))]
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(label, pa.string()), pa.array(score, pa.float64())], names=[*others, "lang_pred", "score"])
 
     return run
 
@@ -147,7 +151,6 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: st
     order; repeated rows are judged alike; no rows give none. Columns of ``docs`` named like an added one are replaced.
     """
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score") and c != text_col])
-    others = [c for c in kept.columns if keep_text or c != text_col]
-    rows = kept.select(F.col(text_col).alias("__text"), *others)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_predict(prototypes, dimensions, n), ", ".join([*([fields] if fields else []), "lang_pred string", "score double"]))
+    fields = [f for f in kept.schema.fields if keep_text or f.name != text_col]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
+    return kept.mapInArrow(_predict(prototypes, kept.columns.index(text_col), [f.name for f in fields], dimensions, n), schema)
