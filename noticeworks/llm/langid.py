@@ -3,8 +3,8 @@
 Every letter has a random vector of -1 and 1. An n-gram is its letters' vectors, each rotated by its distance from the end, multiplied;
 a text is the sum over its n-grams; a language is the sum over the texts learned. A text gets the language of the largest cosine.
 
-The sums are matrix products of n-gram counts, in chunks of bounded text. Learning takes at most about ``PER_LANGUAGE`` texts of
-each language (chosen by a hash of the text, so alike at every size); its result is one vector for each language.
+The sums are matrix products of n-gram counts, in chunks of bounded text. Learning takes at most about ``PER_LANGUAGE`` different texts of
+each language (chosen by a hash of the text, so alike at every size), copies once; its result is one vector for each language.
 """
 
 from __future__ import annotations
@@ -111,13 +111,13 @@ def _learn(dimensions: int, n: int):
 
 
 def learn(labelled: DataFrame, *, label_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS, n: int = GRAM) -> dict[str, np.ndarray]:
-    """Unit vector of each non-null label of ``labelled``."""
-    rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("t")).filter("label is not null and t is not null")
-    counts = rows.groupBy("label").count().collect()  # a row for each label, as in the result
+    """Unit vector of each non-null label of ``labelled``, from min(its different texts, about ``per_language``), each once."""
+    rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("t")).filter("label is not null and t is not null").withColumn("h", F.xxhash64("t"))
+    counts = rows.select("label", "h").distinct().groupBy("label").count().collect()  # a row for each label, as in the result
     if not counts:
         return {}
     least = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, per_language / r["count"]) * (1 << 30))])
-    sample = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.element_at(least, F.col("label")))
+    sample = rows.filter(F.pmod("h", F.lit(1 << 30)) < F.element_at(least, F.col("label"))).dropDuplicates(["label", "h"]).select("label", "t")
     sums = sample.mapInArrow(_learn(dimensions, n), "label string, i long, v long").groupBy("label", "i").agg(F.sum("v").alias("v"))
     out: dict[str, np.ndarray] = {}
     for r in sums.collect():  # languages x dimensions

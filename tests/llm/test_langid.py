@@ -55,3 +55,18 @@ def test_odd_texts(spark):
     assert langid.identify(rows.limit(0), known).count() == 0
     nothing = langid.identify(rows, langid.learn(train.limit(0)))
     assert {(r.lang_pred, r.score) for r in nothing.collect()} == {("und", 0.0)}
+
+
+def test_copies_are_learned_once(spark):
+    rng = np.random.default_rng(6)
+    texts = {label: ["".join(rng.choice(list(letters), 80)) for _ in range(k)] for label, letters, k in (("aa", "abcde ", 10), ("bb", "uvwxyz ", 10), ("cc", "klmnop ", 300))}
+    once = [(label, t) for label, group in texts.items() for t in group]
+    copies = once + [("aa", t) for t in texts["aa"] for _ in range(200)] + [("bb", texts["bb"][0])] * 2000 + [("cc", t) for t in texts["cc"][:20] for _ in range(50)]
+    frames = [spark.createDataFrame(rows, "lang string, text string") for rows in (once, copies)]
+    plain, known = (langid.learn(f, per_language=20) for f in frames)
+    assert list(plain) == list(known) == ["aa", "bb", "cc"]
+    for label, group in texts.items():
+        assert np.array_equal(plain[label], known[label]), label
+        if len(group) <= 20:
+            whole = langid.profiles(group, langid.DIMENSIONS, langid.GRAM).sum(axis=0, dtype=np.float64)
+            assert np.allclose(known[label], whole / np.linalg.norm(whole), atol=1e-6), label
