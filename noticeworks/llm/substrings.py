@@ -2,7 +2,7 @@
 
 The cover holds, for any two positions of equal text, a shift after which both are sampled. So a string of ``window``
 bytes that occurs twice has a sampled string that occurs twice. That gives three passes over blocks of
-documents, each block a range of ids of about ``BLOCK`` bytes:
+documents, each block a range of ids (and of text hashes within one) of at most ``BLOCK`` bytes, or one text:
 
 1. every block names its sampled strings (numbers without repeats, a run of 4-byte names per name bucket); one bucket at a
    time is sorted, and a bit per name returns to the block: occurs again or not;
@@ -18,6 +18,7 @@ documents takes part once; the later copies are removed whole.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Callable
 
@@ -230,15 +231,51 @@ def _answers(rows: list[dict], parts: list[np.ndarray], flag: np.ndarray, tag: i
     return _table(MESSAGE, [(r["block"], r["bucket"] + tag, None, None, np.packbits(flag[a:e]).tobytes()) for r, a, e in zip(rows, [0, *ends], ends, strict=False)])
 
 
-def _dealt(bounds: list[int], packed: bool) -> Callable:
-    """Pass over (id, key, text) or (id, key) that adds the block of the id, and compresses each text for the shuffle."""
-    limits = np.array(bounds, np.int64)
+def _pieces(piece_bytes: int) -> Callable:
+    """Pass over sorted (known, id, key, n_bytes): first place and bytes of each run of documents of at most ``piece_bytes``, or of one document."""
+
+    def run(batches):
+        starts, sizes = [], []
+        for batch in batches:
+            for *place, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not sizes or sizes[-1] + n > piece_bytes:
+                    starts.append(place)
+                    sizes.append(0)
+                sizes[-1] += n
+        known, ids, keys = zip(*starts, strict=True) if starts else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(known, pa.bool_()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names=["known", "id", "key", "n_bytes"])
+
+    return run
+
+
+def block_bounds(documents: DataFrame, block_bytes: int) -> list[tuple[bool, int, int]]:
+    """Places (known, id, key) at which blocks after the first begin: each holds at most ``block_bytes``, or one document.
+
+    ``documents`` has distinct (id, key) and n_bytes. Every range of places is cut into pieces on its own; the driver only joins neighbours.
+    """
+    placed = documents.select(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "key", "n_bytes")
+    ranges = placed.repartitionByRange("known", "id", "key").sortWithinPartitions("known", "id", "key")
+    bounds, held = [], None
+    for *place, n in sorted(map(tuple, ranges.mapInArrow(_pieces(max(1, block_bytes // 8)), "known boolean, id long, key long, n_bytes long").collect())):
+        if held is not None and held + n <= block_bytes:
+            held += n
+        else:
+            if held is not None:
+                bounds.append(tuple(place))
+            held = n
+    return bounds
+
+
+def _dealt(bounds: list[tuple[bool, int, int]], packed: bool) -> Callable:
+    """Pass over (id, key, text) or (id, key) that adds the block of the document, and compresses each text for the shuffle, once in a batch."""
 
     def run(batches):
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids = np.asarray(batch.column(0).fill_null(-(2**63)), np.int64)
-            blocks = pa.array(np.searchsorted(limits, ids, side="right").astype(np.int32))
+            places = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            if len(one := {x: n for n, x in enumerate(places)}) < len(places):
+                batch, places = batch.take(pa.array(list(one.values()), pa.int64())), list(one)
+            blocks = pa.array([bisect.bisect_right(bounds, (i is not None, i or 0, k)) for i, k in places], pa.int32())
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 columns = [blocks.slice(a, 512), part.column(0), part.column(1)]
@@ -264,11 +301,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     owner = light.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "key")).alias("o"))
     copies = light.join(owner, "digest").filter(~F.col("id").eqNullSafe(F.col("o.id"))).select("id", "key").distinct()
     total = light.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    n_blocks, buckets = -(-total // block_bytes), max(1, -(-total // bucket_names // 2))
+    buckets = max(1, -(-total // bucket_names // 2))
     bounds = []
-    if n_blocks > 1:
-        cuts = [i / n_blocks for i in range(1, n_blocks)]
-        bounds = light.filter("digest is not null").agg(F.percentile_approx("id", cuts, max(10_000, 2 * n_blocks))).first()[0] or []
+    if total > block_bytes:
+        bounds = block_bounds(light.filter("digest is not null").groupBy("id", "key").agg(F.max("n_bytes").alias("n_bytes")), block_bytes)
     texts = rows.filter(size >= window).select("id", "key", "text").mapInArrow(_dealt(bounds, True), "block int, id long, key long, packed binary").groupBy("block")
     gone = copies.mapInArrow(_dealt(bounds, False), "block int, id long, key long")
     gone = cut_lineage(gone.select("block", F.lit(-1).alias("bucket"), "id", "key", F.lit(None).cast("binary").alias("bits")))

@@ -42,3 +42,35 @@ def test_covers():
     for window in (3, 8, 14, 20, 100):
         modulus, mask = substrings.difference_cover(window)
         assert all(any(mask[(i + k) % modulus] and mask[(j + k) % modulus] for k in range(modulus)) for i in range(modulus) for j in range(modulus))
+
+
+def test_blocks_hold_bounded_bytes(spark, tmp_path, monkeypatch):
+    rng, passes, folder = random.Random(10), substrings._passes, str(tmp_path)
+
+    def spied(window, buckets):
+        first, *others = passes(window, buckets)
+
+        def seen(docs, messages):
+            import pathlib
+            import uuid
+
+            import zstandard
+
+            sizes = [len(zstandard.ZstdDecompressor().decompress(p)) for p in docs["packed"].to_pylist()]
+            pathlib.Path(folder, uuid.uuid4().hex).write_text(f"{len(sizes)} {sum(sizes)}")
+            return first(docs, messages)
+
+        return seen, *others
+
+    def text(n):
+        return "".join(rng.choices("abcdefgh ", k=n))
+
+    monkeypatch.setattr(substrings, "_passes", spied)
+    books, pages, nulls, same = [text(1500) for _ in range(40)], [text(120) for _ in range(300)], [text(200) for _ in range(60)], [text(200) for _ in range(60)]
+    docs = [*enumerate(books), *((1000 + i, t) for i, t in enumerate(pages)), *((None, t) for t in nulls), *((500, t) for t in same), (501, text(9000)), (5000, books[3]), (5001, nulls[0])] + [(700, pages[0])] * 400
+    got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), block_bytes=4000, bucket_names=2000).collect()
+    blocks = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert sum(n for n, _ in blocks) <= len(docs) and all(size <= 4000 or n == 1 for n, size in blocks if n), sorted(blocks)[-5:]
+    removed = {(r.doc_id, r.n_bytes): r.n_removed for r in got}
+    assert len(got) == len(docs) and removed[5000, 1500] == 1500 and removed[5001, 200] == 200 and removed[1000, 120] == 120 and removed[700, 120] == 0
+    assert sum(r.n_removed for r in got) == 1500 + 200 + 120
