@@ -154,3 +154,14 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: st
     fields = [f for f in kept.schema.fields if keep_text or f.name != text_col]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
     return kept.mapInArrow(_predict(prototypes, kept.columns.index(text_col), [f.name for f in fields], dimensions, n), schema)
+
+
+def with_letters(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a letter, by the rule of the profiles."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, b, texts in _parts(batches, at):
+            yield batch.slice(a, b - a).filter(pa.array([any(map(str.isalpha, t.lower())) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

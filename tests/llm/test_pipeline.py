@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from test_decontam_simhash import slow_components, slow_fingerprint
 from test_packing import checked
 from test_secrets import merged, slow_spans
@@ -35,6 +36,17 @@ def test_language_drops_what_has_no_letter(kept):
     assert len(after) == len(before) - 2 and all(r.lang for r in after)
 
 
+def test_without_labels_only_what_has_no_letter_goes(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    extra = spark.createDataFrame([(-1, None, None, None, None), (-2, "12 34 ?", None, "x", 7), (-3, "", None, "x", 0), (-4, "1 ж 2", None, "x", 5), (None, "日本", None, "x", 2)], docs.schema)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string")).union(extra)
+    left = pipeline.language(spark, unlabelled, DIR)
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    before, after = [tuple(r) for r in unlabelled.collect()], [tuple(r) for r in left.collect()]
+    assert sorted(map(str, after)) == sorted(str(r) for r in before if any(c.isalpha() for c in r[1] or "")) and len(after) >= len(before) - 4
+    assert {-4, None} <= {r[0] for r in after} and not {-1, -2, -3} & {r[0] for r in after}
+
+
 def test_one_document_of_each_group_stays(kept):
     before, after = kept[0][1:3]
     groups = slow_components([slow_fingerprint(r.text) for r in before])
