@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from noticeworks.llm import decontam, langid, licenses, maintext, packing, quality, secrets, simhash, substrings, urlfilter
+from noticeworks.llm import decontam, langid, licenses, maintext, packing, passages, quality, secrets, simhash, substrings, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,9 +89,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+@query
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_shared(table(spark, sf_dir, "documents", "doc_id", "text"), keep=False)
+
+
 # The other queries have no SQL: they need automata, trees, trained vectors, hashes or tokens; their tests hold them against plain loops.
 ORACLES["op1_decontamination"] = decontam.ORACLE_SQL
 ORACLES["op2_quality"] = quality.ORACLE_SQL
+ORACLES["op11_passages"] = passages.ORACLE_SQL
 ORACLES["op9_urls"] = urlfilter.oracle_sql(RULES)
 
 QUERIES["pipeline"] = corpus_pipeline.run
