@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from noticeworks.llm import decontam, langid, licenses, maintext, packing, passages, quality, secrets, simhash, substrings, urlfilter
+from noticeworks.llm import decontam, langid, licenses, maintext, packing, passages, quality, secrets, simhash, substrings, urlfilter, variants, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,10 +94,21 @@ def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_shared(table(spark, sf_dir, "documents", "doc_id", "text"), keep=False)
 
 
+@query
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.count_words(table(spark, sf_dir, "documents", "doc_id", "text"), damage=31))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 # The other queries have no SQL: they need automata, trees, trained vectors, hashes or tokens; their tests hold them against plain loops.
 ORACLES["op1_decontamination"] = decontam.ORACLE_SQL
 ORACLES["op2_quality"] = quality.ORACLE_SQL
 ORACLES["op11_passages"] = passages.ORACLE_SQL
+ORACLES["op12_variants"] = variants.ORACLE_SQL
 ORACLES["op9_urls"] = urlfilter.oracle_sql(RULES)
 
 QUERIES["pipeline"] = corpus_pipeline.run
