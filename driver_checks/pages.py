@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from driver_checks.model import Model
 from driver_checks.registry import query
@@ -387,11 +389,36 @@ def mojibake_repair(m: Model):
     )
 
 
-@query("decoded_pages", "SELECT id, md5(html) AS html_md5 FROM m_pages")
+# Pages in six code pages without a header or meta tag: letters become common characters of a language written in it.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SCRIPTS = (
+    ("utf-8", LETTERS),
+    ("gb18030", "的一是在不了有和人这中大为上个国我以要他时来用们生到"),
+    ("big5", "的一是在不了有和人這中大為上個國我以要他時來用們生到"),
+    ("shift_jis", "のにはをたがでてとしれさいなるかられすもこよりあまん"),
+    ("euc_jp", "のにはをたがでてとしれさいなるかられすもこよりあまん"),
+    ("euc_kr", "이다는을에의가고하지한로서도사기리어자은나대부시정인"),
+)
+
+
+@F.pandas_udf(BinaryType())
+def in_code_page(text: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(n) for t, n in zip(text, name, strict=True)], dtype="object")
+
+
+@query("decoded_pages", f"""
+    SELECT id, md5(CASE id::BIGINT % 6 WHEN 0 THEN html {" ".join(
+        f"WHEN {i} THEN translate(regexp_replace(html, '[^\\x00-\\x7F]', '', 'g'), '{LETTERS}', '{to}')" for i, (_, to) in enumerate(SCRIPTS) if i)} END) AS html_md5
+    FROM m_pages
+""")
 def decoded_pages(m: Model):
+    ascii_only = F.regexp_replace("html", r"[^\x00-\x7F]", "")
+    i = F.col("id").cast("bigint") % len(SCRIPTS)
+    written, name = F.col("html"), F.lit(SCRIPTS[0][0])
+    for k, (page, to) in enumerate(SCRIPTS[1:], 1):
+        written, name = F.when(i == k, F.translate(ascii_only, LETTERS, to)).otherwise(written), F.when(i == k, F.lit(page)).otherwise(name)
     stored = m.pages.select(
-        "id", F.encode("html", "UTF-8").alias("body"),
-        F.when(F.col("search_query") == "fr", F.lit("ISO-8859-1")).otherwise(F.lit(None)).alias("charset"),
+        "id", in_code_page(written, name).alias("body"), F.when(F.col("search_query") == "fr", F.lit("ISO-8859-1")).otherwise(F.lit(None)).alias("charset")
     )
     return encoding.decode_pages(stored).select("id", F.md5("html").alias("html_md5"))
 
