@@ -293,7 +293,7 @@ def remove_shared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     raw = F.col("text").cast("binary").alias("text")
     light = cut_lineage(rows.select("rank", raw, "digest").mapInArrow(_measured(window, keep), "rank long, digest binary, n_words long, short binary"))
     long = light.filter(F.col("n_words") >= window)
-    owner = long.groupBy("digest").agg(F.min("rank").alias("owner"))
+    owner = cut_lineage(long.groupBy("digest").agg(F.min("rank").alias("owner"), F.max("rank").alias("last")).filter("last > owner"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()[0]
     block = F.pmod(F.xxhash64("rank", "digest"), F.lit(max(1, -(-total // block_bytes)))).cast("int").alias("block")
     texts = rows.select(block, "rank", "digest", raw).mapInArrow(_dealt(window), "block int, rank long, digest binary, packed binary").groupBy("block")
