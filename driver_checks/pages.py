@@ -11,7 +11,7 @@ from pyspark.sql.types import BinaryType
 from driver_checks.model import Model
 from driver_checks.registry import query
 from noticeworks.functions import dates, encoding, fields, labelling, text, urls
-from noticeworks.functions.matching import matched_terms, with_name_hits
+from noticeworks.functions.matching import with_name_hits
 from noticeworks.operators import crawl, extract, links, merge
 from noticeworks.plans import jobs
 from noticeworks.profile import LATIN_TEST, ZH_TENDER
@@ -287,9 +287,8 @@ KEYWORDS_SQL = """
 
 @query("keyword_relevance", KEYWORDS_SQL)
 def keyword_relevance(m: Model):
-    words = extract.keyword_list(m.keywords)
-    hits = m.docs.select("doc_id", matched_terms(F.col("text"), words).alias("matched"))
-    judged = hits.withColumn("r", fields.relevance(F.col("matched"), F.lit(len(words))))
+    hits = extract.with_keyword_hits(m.docs.select("doc_id", "text"), m.keywords, key="doc_id")
+    judged = hits.withColumn("r", fields.relevance(F.col("matched"), F.col("n_keywords")))
     return judged.select(
         "doc_id", F.array_join("matched", ",").alias("matched"), F.col("r.is_relevant").alias("is_relevant"),
         F.col("r.relevance_score").alias("score"),

@@ -140,13 +140,37 @@ def test_hits_of_prefix_names(spark):
 
     df = spark.createDataFrame([(1, "在甲县乙镇丙"), (2, ""), (3, None), (4, "乙镇甲县𠀀甲")], "id int, t string")
     names = spark.createDataFrame([("甲县",), ("甲县乙镇",), ("乙镇",), ("𠀀甲",), ("无",)], "name string")
-    a = with_name_hits(df, "id", F.col("t"), names, "hits")
-    b = with_name_hits(df, "id", F.col("t"), names, "hits", limit=0)
-    want = {1: ["甲县", "甲县乙镇", "乙镇"], 2: [], 4: ["乙镇", "甲县", "𠀀甲"]}
+    want = {1: ["甲县", "甲县乙镇", "乙镇"], 2: [], 3: [], 4: ["乙镇", "甲县", "𠀀甲"]}
     many = names.union(spark.range(3000).selectExpr("concat('名', id % 2500, repeat('x', id % 300))"))
-    for out in (a, b, with_name_hits(df, "id", F.col("t"), many, "hits")):
-        got = {r.id: r.hits or [] for r in out.collect()}
-        assert {k: got[k] for k in want} == want
+    for listed in (names, many):
+        for how in ({"limit": 4000}, {"limit": 0}, {"limit": 0, "block_chars": 5}, {"limit": 0, "chars": 0}):
+            if listed is many and "block_chars" in how:
+                how = {"limit": 0, "block_chars": 100_000}
+            got = {r.id: r.hits for r in with_name_hits(df, "id", F.col("t"), listed, "hits", **how).collect()}
+            assert got == want, how
+
+
+def test_hits_without_case_in_rank_order(spark):
+    from noticeworks.functions.matching import with_name_hits
+
+    df = spark.createDataFrame([(1, "Straße ISTANBUL İzmir ab AB"), (2, "AbAbAb"), (3, None)], "id int, t string")
+    names = spark.createDataFrame([(5, "AB"), (1, "istanbul"), (3, "ab"), (4, "İZMIR"), (2, "STRASSE"), (9, "izm"), (0, ""), (7, "ab")], "rank int, name string")
+    got = [{r.id: r.hits for r in with_name_hits(df, "id", F.col("t"), names, "hits", ignore_case=True, **how).collect()} for how in ({}, {"limit": 0}, {"limit": 0, "block_chars": 3}, {"limit": 0, "chars": 0})]
+    assert got[1] == got[2] == got[3] and got[1][2] == ["ab", "AB"] and got[1][1][0] == "istanbul" and got[1][3] == []
+    assert {k: [h for h in v if h != "İZMIR"] for k, v in got[0].items()} == {k: [h for h in v if h != "İZMIR"] for k, v in got[1].items()}
+
+
+def test_a_hundred_thousand_names_in_one_narrow_pass(spark):
+    from noticeworks.functions.matching import with_name_hits
+
+    df = spark.range(400).selectExpr("id", "concat('a', id * 250, 'b', id * 31, 'c') AS t")
+    names = spark.range(100_000).selectExpr("concat('a', id, 'b') AS name")
+    out = with_name_hits(df, "id", F.col("t"), names, "hits")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan and "Join" not in plan
+    assert {r.id: r.hits for r in out.collect()} == {i: [f"a{i * 250}b"] for i in range(400)}
+    nested = spark.range(300).selectExpr("repeat('x', int(id) + 1) AS name")
+    assert [len(r.hits) for r in with_name_hits(spark.createDataFrame([(1, "x" * 200)], "id int, t string"), "id", F.col("t"), nested, "hits").collect()] == [200]
 
 
 def test_long_chains_and_circles(spark):
