@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driver_checks.model import Model
 from driver_checks.registry import query
+from noticeworks import schemas
 from noticeworks.operators import cleanup, crawl, merge, reconcile
 from noticeworks.plans import jobs
 from noticeworks.profile import LATIN_TEST
+from noticeworks.session import shared_folder
+from noticeworks.sources.runs import RunTable
 
 NEWEST = """
     SELECT id, url, crawled_at, search_query FROM (
@@ -36,7 +41,7 @@ def dedup_pages_oldest(m: Model):
     return merge.dedup_pages(m.page_log, keep="oldest").select("id", "url", "crawled_at", "html")
 
 
-@query("merge_pages", """
+MERGED_PAGES = """
     WITH base AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY crawled_at, id) AS rn
                   FROM m_page_log WHERE search_query = 'view') WHERE rn = 1),
     upd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY crawled_at DESC NULLS LAST, id DESC) AS rn
@@ -46,7 +51,10 @@ def dedup_pages_oldest(m: Model):
         CASE WHEN b.id IS NULL OR u.crawled_at >= b.crawled_at THEN sha256(u.html) ELSE NULL END AS content_hash,
         CASE WHEN b.id IS NULL OR u.crawled_at >= b.crawled_at THEN u.search_query ELSE b.search_query END AS search_query
     FROM base b FULL OUTER JOIN upd u ON b.url = u.url
-""")
+"""
+
+
+@query("merge_pages", MERGED_PAGES)
 def merge_pages(m: Model):
     base = merge.dedup_pages(m.page_log.where("search_query = 'view'"), "oldest").withColumn(
         "content_hash", F.lit(None).cast("string")
@@ -55,6 +63,21 @@ def merge_pages(m: Model):
     return merged.select("id", "url", "html", "content_hash", "search_query")
 
 
+@query("merge_page_buckets", MERGED_PAGES)
+def merge_page_buckets(m: Model):
+    """The same delivery, brought into a stored table bucket by bucket, in two parts."""
+    base = merge.dedup_pages(m.page_log.where("search_query = 'view'"), "oldest").withColumn(
+        "content_hash", F.lit(None).cast("string")
+    )
+    path = f"{shared_folder(m.spark)}/pages-{uuid.uuid4().hex}"
+    table = RunTable(m.spark, path, base.schema.toDDL(), "url", buckets=16)
+    table.create(base)
+    news = m.page_log.where("search_query <> 'view'")
+    for part in range(2):
+        table.merge(news.where(F.pmod(F.crc32("url"), F.lit(2)) == part), merge.merge_raw_pages)
+    return table.read().select("id", "url", "html", "content_hash", "search_query")
+
+
 @query("append_new_results", """
     SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM m_visits WHERE event_type <> 'purchase')
     WHERE rn = 1 AND url_hash NOT IN (SELECT url_hash FROM m_visits WHERE event_type = 'purchase')
@@ -100,7 +123,7 @@ def merge_visited(m: Model):
     return merged.select("url_hash", "status", "search_query", "visited_at")
 
 
-@query("merge_parsed", """
+MERGED_PARSED = """
     SELECT coalesce(p.url_hash, n.url_hash) AS url_hash, coalesce(p.id, n.id) AS id,
         CASE WHEN n.id IS NULL THEN p.title ELSE n.title END AS title,
         CASE WHEN n.id IS NULL THEN p.summary WHEN p.id IS NULL THEN 'short' WHEN n.source_type = 'fr' THEN p.summary ELSE 'short' END AS summary,
@@ -108,18 +131,34 @@ def merge_visited(m: Model):
         CASE WHEN n.id IS NULL THEN p.parse_errors WHEN n.source_type = 'fr' THEN 'content_invalid: x' END AS parse_errors,
         coalesce(p.created_at, n.created_at) AS created_at
     FROM m_parsed p FULL OUTER JOIN m_results n ON p.url_hash = n.url_hash
-""")
-def merge_parsed(m: Model):
-    updates = m.results.selectExpr(
+"""
+
+
+def parsed_updates(m: Model):
+    return m.results.selectExpr(
         "id", "url", "url_hash", "title", "'short' AS summary", "'kind' AS notice_type",
         "if(source_type = 'fr', 'content_invalid: x', '') AS parse_errors", "created_at", "updated_at",
         "if(source_type = 'fr', 'invalid', 'ok') AS outcome",
     )
-    return merge.merge_parsed(m.parsed, updates).select(
+
+
+@query("merge_parsed", MERGED_PARSED)
+def merge_parsed(m: Model):
+    return merge.merge_parsed(m.parsed, parsed_updates(m)).select(
         "url_hash", "id", "title", "summary", "notice_type", "parse_errors", "created_at"
     )
 
 
+@query("merge_parsed_buckets", MERGED_PARSED)
+def merge_parsed_buckets(m: Model):
+    """The same rows, brought into a stored table bucket by bucket."""
+    path = f"{shared_folder(m.spark)}/parsed-{uuid.uuid4().hex}"
+    table = RunTable(m.spark, path, schemas.PARSED_RESULTS, buckets=16)
+    table.create(m.parsed)
+    table.merge(parsed_updates(m), merge.merge_parsed)
+    return table.read().select("url_hash", "id", "title", "summary", "notice_type", "parse_errors", "created_at")
+
+
 @query("split_parsed", """
     SELECT d.id, CASE WHEN p.id IS NULL THEN 'unparsed' WHEN p.parse_errors IS NOT NULL THEN 'error' ELSE 'ok' END AS parse_state
     FROM m_doc_pages d LEFT JOIN m_parsed p ON d.url_hash = p.url_hash

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from noticeworks import schemas
 from noticeworks.operators.merge import PARSED_ALWAYS, PARSED_FIELDS, PARSED_TYPED, UNREADABLE, one_per_key, parse_outcome
+from noticeworks.sources.runs import RunTable
 
 PAGE_COLUMNS = ("id", "url", "html", "search_query", "source_name", "meta", "crawled_at")
 
@@ -47,8 +48,10 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_log(spark: SparkSession, schema: str, path: str) -> DataFrame:
-    """All batches of a log, empty when there is none yet."""
+    """All batches of a log, of runs or plain ones, empty when there is none yet."""
     full = f"{schema.strip()}, batch_id bigint"
+    if (runs := RunTable(spark, path, schema)).runs():
+        return runs.read()
     try:
         return spark.read.schema(full).parquet(path)
     except AnalysisException as e:
@@ -85,6 +88,30 @@ def current_outbox(log: DataFrame) -> DataFrame:
     return one_per_key(log, ["channel_id", "url_hash"], ["batch_id"], keep="first")
 
 
-def compact(current: DataFrame, path: str) -> None:
-    """Write the current table of a log as the single batch of a new log path."""
-    append_batch(current.drop("batch_id"), path, 0)
+# Rows of a log that its current table, and any later one, can still need.
+
+
+def surviving_pages(log: DataFrame) -> DataFrame:
+    """Of each URL the newest crawl, and the first one for its id, without its html."""
+    rows = F.struct(*log.columns)
+    picked = log.groupBy("url").agg(
+        F.min_by(rows, F.struct("batch_id", "crawled_at", "id")).alias("a"), F.max_by(rows, F.struct("crawled_at", "batch_id", "id")).alias("b")
+    )
+    same = F.struct("a.batch_id", "a.crawled_at", "a.id").eqNullSafe(F.struct("b.batch_id", "b.crawled_at", "b.id"))
+    first = F.col("a").withField("html", F.lit(None).cast("string")).withField("meta", F.lit(None).cast(log.schema["meta"].dataType))
+    return picked.select(F.explode(F.when(same, F.array("b")).otherwise(F.array(first, "b"))).alias("r")).select("r.*")
+
+
+def surviving_parsed(log: DataFrame) -> DataFrame:
+    """Of each URL the first row, the last one, the last readable one and the last good one."""
+    rows, when = F.struct(*log.columns), F.struct("batch_id", "mongo_doc_id")
+    judged = log.withColumn("_o", parse_outcome(log))
+    readable, good = F.when(~F.col("_o").isin(*UNREADABLE), when), F.when(F.col("_o") == "ok", when)
+    picked = judged.groupBy("url_hash").agg(
+        F.array(F.min_by(rows, when), F.max_by(rows, when), F.max_by(rows, readable), F.max_by(rows, good)).alias("r")
+    )
+    return picked.select(F.explode(F.array_distinct(F.array_compact("r"))).alias("r")).select("r.*")
+
+
+def surviving_messages(log: DataFrame) -> DataFrame:
+    return current_outbox(log)

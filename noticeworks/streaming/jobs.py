@@ -1,14 +1,15 @@
 """Streams of pages, parsed rows and fetch events.
 
-Sinks are batch logs: a micro-batch is written under its batch id, so a replay
-after a failure replaces it.  The current table of a log is a merge on read.
+Sinks are logs of runs: a micro-batch is written under its batch id, so a replay
+after a failure replaces it, and full levels of runs are compacted after each batch.  The current
+table of a log is a merge on read over what is not compacted.  A log belongs to one checkpoint.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -18,7 +19,8 @@ from noticeworks.operators import alerts
 from noticeworks.operators.extract import extract_notices
 from noticeworks.operators.merge import dedup_pages, drop_serp_pages, one_per_key
 from noticeworks.profile import ZH_TENDER, Profile
-from noticeworks.sources.tables import append_batch, read_log
+from noticeworks.sources.runs import BUCKETS, RunTable
+from noticeworks.sources.tables import surviving_messages, surviving_pages, surviving_parsed
 
 PARSED_LOG = """
     url string, url_hash string, mongo_doc_id string, title string, summary string,
@@ -35,7 +37,19 @@ OUTBOX_LOG = """
 """
 
 
-def stream_new_pages(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
+def page_log(spark: SparkSession, path: str, buckets: int = BUCKETS) -> RunTable:
+    return RunTable(spark, path, PAGE_LOG, "url", buckets)
+
+
+def parsed_log(spark: SparkSession, path: str, buckets: int = BUCKETS) -> RunTable:
+    return RunTable(spark, path, PARSED_LOG, "url_hash", buckets)
+
+
+def outbox_log(spark: SparkSession, path: str, buckets: int = BUCKETS) -> RunTable:
+    return RunTable(spark, path, OUTBOX_LOG, "url_hash", buckets)
+
+
+def stream_new_pages(stream: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS) -> DataStreamWriter:
     """Fetched pages to the page log.
 
     The log is merged on read and replayed under its batch ids, so repeated deliveries are harmless,
@@ -43,42 +57,46 @@ def stream_new_pages(stream: DataFrame, target: str, checkpoint: str) -> DataStr
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = dedup_pages(batch)
-        append_batch(newest.withColumn("content_hash", content_hash(F.col("html"))), target, batch_id)
+        log = page_log(batch.sparkSession, target, buckets)
+        log.append(dedup_pages(batch).withColumn("content_hash", content_hash(F.col("html"))), batch_id)
+        log.compact(surviving_pages)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def stream_extract(
-    pages: DataFrame, target: str, checkpoint: str, keywords: list[str], profile: Profile = ZH_TENDER
+    pages: DataFrame, target: str, checkpoint: str, keywords: list[str], profile: Profile = ZH_TENDER, buckets: int = BUCKETS
 ) -> DataStreamWriter:
     """New pages to the parsed log."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = dedup_pages(drop_serp_pages(batch).withColumn("url_hash", url_hash(F.col("url"))))
-        append_batch(extract_notices(newest, keywords, profile), target, batch_id)
+        log = parsed_log(batch.sparkSession, target, buckets)
+        log.append(extract_notices(newest, keywords, profile), batch_id)
+        log.compact(surviving_parsed)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def stream_alerts(
     parsed: DataFrame, target: str, checkpoint: str, channels: DataFrame, regions: DataFrame,
-    cfg: alerts.NotifyConfig, as_of: datetime | None = None,
+    cfg: alerts.NotifyConfig, as_of: datetime | None = None, buckets: int = BUCKETS,
 ) -> DataStreamWriter:
     """New parsed rows to the outbox log, once per channel and notice.
 
-    Only messages about URLs of the batch are read back from the outbox, and not
-    those of the batch itself, so a replay writes the same messages again.
+    Of the outbox only the buckets of the batch's URLs are read, and of those the messages about
+    them, not those of the batch itself, so a replay writes the same messages again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        log = outbox_log(batch.sparkSession, target, buckets)
         newest = one_per_key(batch, ["url_hash"], ["id"])
-        known = read_log(spark, OUTBOX_LOG, target).where(F.col("batch_id") != batch_id)
+        known = log.read(log.touched(batch)).where(F.col("batch_id") != batch_id)
         touched = known.join(newest.select("url_hash"), "url_hash", "left_semi")
         now = as_of or datetime.now()
         new = alerts.prepare_notifications(newest, channels, touched, regions, cfg, now)
-        append_batch(new, target, batch_id)
+        log.append(new, batch_id)
+        log.compact(surviving_messages)
 
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -102,4 +120,9 @@ def stream_crawl_metrics(events: DataFrame, width: str = "1 hour", delay: str =
     )
 
 
+def crawl_metrics_sink(metrics: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
+    """Closed windows as files: each is written once, and nothing passes through the driver."""
+    return metrics.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+
+
 PAGE_LOG = schemas.RAW_PAGES
