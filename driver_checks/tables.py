@@ -456,7 +456,7 @@ def delete_regions(m: Model):
 
 @query("parse_job", """
     SELECT coalesce(p.url_hash, d.url_hash) AS url_hash,
-        coalesce(p.id, ('0x' || substr(d.url_hash, 1, 15))::bigint) AS id,
+        coalesce(p.id, (SELECT max(id) FROM m_parsed) + row_number() OVER (PARTITION BY p.id IS NULL ORDER BY d.url_hash)) AS id,
         CASE WHEN d.id IS NULL THEN p.parse_errors WHEN d.valid THEN NULL
              WHEN d.short THEN 'too_short: 页面内容不足 50 个字符' ELSE 'content_invalid: 页面内容无效（JS/CSS/反爬页面），无有效中文内容' END AS parse_errors,
         CASE WHEN d.id IS NULL THEN p.is_relevant WHEN d.valid THEN contains(lower(d.text), 'the') ELSE false END AS is_relevant,

@@ -17,6 +17,7 @@ from noticeworks.operators import alerts, merge, reconcile
 from noticeworks.operators.extract import (
     extract_notices, listing_error, listing_info, with_keyword_hits,
 )
+from noticeworks.operators.planning import with_new_ids
 from noticeworks.profile import LIST_PAGE, SEARCH_SERP, ZH_TENDER, Profile
 from noticeworks.session import cut_lineage
 
@@ -25,11 +26,6 @@ Scorer = Callable[[DataFrame], DataFrame]
 SERP_REJUDGED = "search_serp: 搜索引擎结果页（如百度/Bing/Google），无业务正文"
 
 
-def new_row_id(url_hash_col: str = "url_hash"):
-    """Stable id of a new row, from its URL hash."""
-    return F.conv(F.left(url_hash_col, F.lit(15)), 16, 10).cast("bigint")
-
-
 def parse_updates(
     pages: DataFrame, parsed: DataFrame, keywords: DataFrame | list[str],
     mode: str = "unparsed_and_errors", profile: Profile = ZH_TENDER, scorer: Scorer | None = None,
@@ -54,16 +50,15 @@ def parse_job(
     mode: str = "unparsed_and_errors", profile: Profile = ZH_TENDER, scorer: Scorer | None = None,
 ) -> DataFrame:
     """The parsed table after a parse run."""
-    return apply_updates(parsed, parse_updates(pages, parsed, keywords, mode, profile, scorer), as_of)
+    # the extraction is the expensive part, and its rows are numbered and merged: write it once
+    updates = cut_lineage(parse_updates(pages, parsed, keywords, mode, profile, scorer))
+    return apply_updates(parsed, updates, as_of)
 
 
 def apply_updates(parsed: DataFrame, updates: DataFrame, as_of: datetime) -> DataFrame:
-    """The parsed table after bringing in the rows of a parse run."""
-    stamped = updates.withColumns(
-        {
-            "id": new_row_id(), "created_at": F.lit(as_of), "updated_at": F.lit(as_of),
-            "updated_by": F.lit(None).cast("string"),
-        }
+    """The parsed table after bringing in the rows of a parse run, which are read several times."""
+    stamped = with_new_ids(updates, parsed, "url_hash").withColumns(
+        {"created_at": F.lit(as_of), "updated_at": F.lit(as_of), "updated_by": F.lit(None).cast("string")}
     )
     return merge.merge_parsed(parsed, stamped)
 
@@ -189,13 +184,12 @@ def run_after_crawl(
     """Parse, prepare messages, and the batch to deliver, as the schedule's switches say."""
     if not auto_parse:
         return {}
-    # the extraction is the expensive part and feeds every table below: write it once
     updates = cut_lineage(parse_updates(pages, parsed, keywords, profile=profile, scorer=scorer))
     merged = apply_updates(parsed, updates, as_of)
     new = alerts.prepare_notifications(merged, channels, outbox, regions, cfg, as_of)
     out = {"parsed": merged, "new_messages": new}
     if auto_notify:
-        ids = F.conv(F.left(F.md5(F.concat_ws("/", "channel_id", "url_hash")), F.lit(15)), 16, 10).cast("bigint")
-        full = outbox.unionByName(new.withColumn("id", ids), allowMissingColumns=True)
-        out["to_deliver"] = alerts.send_batch(full, channels)
+        told = F.concat_ws("/", "channel_id", "url_hash")
+        numbered = with_new_ids(cut_lineage(new.withColumn("_message", told)), outbox.withColumn("_message", told), "_message").drop("_message")
+        out["to_deliver"] = alerts.send_batch(outbox.unionByName(numbered, allowMissingColumns=True), channels)
     return out

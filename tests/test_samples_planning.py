@@ -169,3 +169,24 @@ def test_numbers_of_hashed_ids(spark):
     got = [(r.id, r.idx) for r in P.numbered(ids, "id").collect()]
     assert sorted(got) == [(x, i) for i, x in enumerate(sorted(i for i, _ in got))]
     assert P.numbered(ids.limit(0), "id").count() == 0
+
+
+def test_numbers_of_clustered_and_long_keys(spark):
+    from noticeworks.operators import planning as P
+
+    ids = [*range(5000), *range(10**15, 10**15 + 50), -(10**17)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    assert {r.id: r.idx for r in P.numbered(rows, "id").collect()} == {v: i for i, v in enumerate(sorted(ids))}
+    words = spark.createDataFrame([(f"{i:x}",) for i in range(300)], "w string")
+    assert {r.w: r.idx for r in P.numbered(words, "w").collect()} == {w: i for i, w in enumerate(sorted(f"{i:x}" for i in range(300)))}
+    assert P.numbered(rows.limit(0), "id").count() == 0
+
+
+def test_new_ids_follow_the_largest(spark):
+    from noticeworks.operators import planning as P
+
+    stored = spark.createDataFrame([(7, "b"), (3, "x")], "id bigint, url_hash string")
+    rows = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("c", 3, None), ("c", 4, None)], "url_hash string, v int, id bigint")
+    got = sorted((r.url_hash, r.v, r.id) for r in P.with_new_ids(rows, stored, "url_hash").collect())
+    assert got == [("a", 1, 8), ("b", 2, 7), ("c", 3, 9), ("c", 4, 9)]
+    assert sorted(r.id for r in P.with_new_ids(rows, stored.limit(0), "url_hash").collect()) == [1, 2, 3, 3]
