@@ -20,7 +20,7 @@ from noticeworks.functions.urls import (
 )
 from noticeworks.operators.merge import append_new_results, dedup_pages
 from noticeworks.profile import ZH_TENDER, Profile
-from noticeworks.session import cut_bucketed, cut_lineage
+from noticeworks.session import GrowingCut, cut_bucketed
 
 # File types that are no page, and the anchor patterns per engine.
 SKIP_EXTENSIONS = (
@@ -171,32 +171,33 @@ def crawl_frontier(
 ) -> DataFrame:
     """Breadth-first depth of every URL reachable from ``seeds`` over stored pages.
 
-    One equi join per level, until a level is empty or ``max_depth`` is reached;
-    each level is written out, so a lost executor does not replay the levels
-    before it, and the visited set is the written levels.
+    One equi join per level, until a level is empty or ``max_depth`` is reached.  Links and visited
+    URLs are bucketed alike: a level is added to the visited table, so the links are joined with it
+    and the found URLs are checked against all visited ones where they lie.  Only the found
+    URLs of the level are shuffled, and a lost executor does not replay the levels before it.
     """
-    # one layout for all levels: only the level itself is shuffled
     edges = cut_bucketed(
         page_links(dedup_pages(pages), extra_domains, base_url=base_url).select(
             url_hash(F.col("url")).alias("from_hash"), "link", "link_hash"
         ),
         "from_hash",
     )
-    level = cut_lineage(
-        seeds.select("url", url_hash(F.col("url")).alias("url_hash"))
-        .groupBy("url_hash").agg(F.min("url").alias("url"))
-        .withColumn("depth", F.lit(0))
-    )
-    visited = level
+    start = seeds.select("url", url_hash(F.col("url")).alias("url_hash")).groupBy("url_hash").agg(F.min("url").alias("url"))
+    visited = GrowingCut(start.withColumn("depth", F.lit(0)), "url_hash")
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = (
-            edges.join(level.select(F.col("url_hash").alias("from_hash")), "from_hash", "left_semi")
-            .groupBy(F.col("link_hash").alias("url_hash")).agg(F.min("link").alias("url"))
-            .join(visited.select("url_hash"), "url_hash", "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        level = cut_lineage(step)
-        if level.isEmpty():
+        visited.add(next_level(edges, visited.rows(), depth))
+        if visited.rows().where(F.col("depth") == depth).isEmpty():
             break
-        visited = visited.unionByName(level)
-    return visited.select("url", "url_hash", "depth")
+    return visited.rows().select("url", "url_hash", "depth")
+
+
+def next_level(edges: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
+    """URLs one link behind those of the level before that are not visited yet."""
+    level = visited.where(F.col("depth") == depth - 1).select(F.col("url_hash").alias("from_hash"))
+    return (
+        edges.join(level.hint("shuffle_hash"), "from_hash", "left_semi")
+        .groupBy(F.col("link_hash").alias("url_hash")).agg(F.min("link").alias("url"))
+        .join(visited.select("url_hash"), "url_hash", "left_anti")
+        .withColumn("depth", F.lit(depth))
+        .select("url_hash", "url", "depth")
+    )

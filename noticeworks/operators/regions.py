@@ -76,52 +76,60 @@ def enable_regions(regions: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
-def chain_length(regions: DataFrame) -> int:
-    """Most parents above any region. Fails if parents form a circle."""
-    parents = regions.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
-    step, n = regions.select(F.col("parent_id").alias("_next")), 0
-    while True:
-        step = cut_lineage(step.where(F.col("_next").isNotNull()).distinct())
-        if step.isEmpty():
-            return n
-        n += 1
-        if n & (n - 1) == 0 and n > 32 and n > regions.count():
+def along_chains(nodes: DataFrame, joined: dict[str, Column]) -> DataFrame:
+    """Values of whole chains of parents, by pointer doubling.
+
+    ``nodes`` has ``id``, ``next`` (the parent) and a value per column for the node alone. ``joined`` says
+    what a piece of chain ``low`` and the piece ``high`` above it are together.  Every round doubles the pieces and
+    is written once, so a chain of n takes about log2(n) rounds.  ``lost`` tells that a parent is missing.
+    Fails if parents form a circle.
+    """
+    state, rounds, most = cut_lineage(nodes.withColumn("lost", F.lit(False))), 0, None
+    while not state.where(F.col("next").isNotNull()).isEmpty():
+        most = nodes.count() if most is None else most
+        if 1 << rounds > most:
             raise ValueError("the parents of some regions form a circle")
-        step = step.join(parents, step["_next"] == parents["_id"]).select(F.col("_up").alias("_next"))
+        low, high = state.alias("low"), state.alias("high")
+        found = F.col("high.id").isNotNull()
+        values = {c: F.when(found, joined[c]).otherwise(F.col(f"low.{c}")) for c in joined}
+        missing = F.col("low.next").isNotNull() & ~found
+        state = cut_lineage(
+            low.join(high, F.col("low.next") == F.col("high.id"), "left").select(
+                "low.id", F.col("high.next").alias("next"), *[v.alias(c) for c, v in values.items()],
+                (F.col("low.lost") | missing | F.coalesce("high.lost", F.lit(False))).alias("lost"),
+            )
+        )
+        rounds += 1
+    return state.drop("next")
 
 
 def with_ancestors(regions: DataFrame) -> DataFrame:
     """Each region with what its chain of parents tells.
 
-    One left join per level over the slim registry:
     ``path``        full path from the root,
     ``search_name`` name with parents up to the district for levels below it,
     ``reachable``   the chain ends at a root and is enabled all the way,
     ``district_id`` district nearest to the root on the chain.
     """
-    parents = regions.select(
-        F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("level").alias("_level"),
-        F.col("parent_id").alias("_up"), F.col("enabled").alias("_on"),
+    district = F.col("level") == "district"
+    nodes = regions.select(
+        "id", F.col("parent_id").alias("next"), F.col("name").alias("path"), F.col("name").alias("whole"), F.col("name").alias("short"),
+        district.alias("ends"), F.coalesce("enabled", F.lit(False)).alias("on"), F.when(district, F.col("id")).alias("district_id"),
     )
-    district = F.when(F.col("level") == "district", F.col("id"))
-    rows = regions.select(
-        "id", "name", "level", "parent_id", "enabled", F.col("name").alias("path"),
-        F.col("name").alias("search_name"), F.col("level").isin(*SUB_LEVELS).alias("_open"),
-        F.col("enabled").alias("reachable"), district.alias("district_id"), F.col("parent_id").alias("_next"),
+    chains = along_chains(nodes, {
+        "path": F.concat("high.path", F.lit(" > "), "low.path"),
+        "whole": F.concat("high.whole", F.lit(" "), "low.whole"),
+        # up to the first district, or as far as the piece goes
+        "short": F.when(F.col("low.ends"), F.col("low.short")).otherwise(F.concat("high.short", F.lit(" "), "low.whole")),
+        "ends": F.col("low.ends") | F.col("high.ends"),
+        "on": F.col("low.on") & F.col("high.on"),
+        "district_id": F.coalesce("high.district_id", "low.district_id"),
+    })
+    below = F.col("level").isin(*SUB_LEVELS)
+    return regions.select("id", "name", "level", "parent_id", "enabled").join(chains, "id").select(
+        "id", "name", "level", "parent_id", "enabled", "path", F.when(below, F.col("short")).otherwise(F.col("name")).alias("search_name"),
+        (F.col("on") & ~F.col("lost")).alias("reachable"), "district_id",
     )
-    for _ in range(chain_length(regions)):
-        found = F.col("_id").isNotNull()
-        rows = rows.join(parents, rows["_next"] == parents["_id"], "left").select(
-            "id", "name", "level", "parent_id", "enabled",
-            F.when(found, F.concat("_name", F.lit(" > "), "path")).otherwise(F.col("path")).alias("path"),
-            F.when(found & F.col("_open"), F.concat("_name", F.lit(" "), "search_name"))
-            .otherwise(F.col("search_name")).alias("search_name"),
-            (F.col("_open") & found & (F.col("_level") != "district")).alias("_open"),
-            (F.col("reachable") & (F.col("_next").isNull() | F.coalesce("_on", F.lit(False)))).alias("reachable"),
-            F.when(F.col("_level") == "district", F.col("_id")).otherwise(F.col("district_id")).alias("district_id"),
-            F.col("_up").alias("_next"),
-        )
-    return rows.withColumn("reachable", F.col("reachable") & F.col("_next").isNull()).drop("_open", "_next")
 
 
 def region_paths(regions: DataFrame) -> DataFrame:
@@ -189,15 +197,6 @@ def resolve_region(items: DataFrame, regions: DataFrame) -> DataFrame:
 
 def region_subtree(regions: DataFrame, roots: DataFrame) -> DataFrame:
     """Ids of the given regions and everything below them."""
-    parents = regions.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
-    chain = regions.select("id", F.array("id").alias("chain"), F.col("parent_id").alias("_next"))
-    for _ in range(chain_length(regions)):
-        chain = chain.join(parents, chain["_next"] == parents["_id"], "left").select(
-            "id", F.when(F.col("_id").isNotNull(), F.array_append("chain", F.col("_id"))).otherwise(F.col("chain")).alias("chain"),
-            F.col("_up").alias("_next"),
-        )
-    return (
-        chain.select("id", F.explode("chain").alias("root"))
-        .join(roots.select(F.col("id").alias("root")), "root", "left_semi")
-        .select("id").distinct()
-    )
+    chosen = roots.select("id").distinct().withColumn("hit", F.lit(True))
+    nodes = regions.join(chosen, "id", "left").select("id", F.col("parent_id").alias("next"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    return along_chains(nodes, {"hit": F.col("low.hit") | F.col("high.hit")}).where("hit").select("id")

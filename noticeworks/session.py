@@ -63,10 +63,30 @@ def cut_bucketed(df: DataFrame, key: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}"
     _CUTS.append(path)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+class GrowingCut:
+    """A cut table bucketed by ``key`` that rows are added to; joins on the key never shuffle what it holds."""
+
+    def __init__(self, rows: DataFrame, key: str):
+        self.spark, self.key = rows.sparkSession, key
+        self.name = f"cut_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/{self.name}"
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        _CUTS.append(self.path)
+        self.add(rows)
+
+    def add(self, rows: DataFrame) -> None:
+        """Rows that come from a join or a grouping by the key are dealt to their buckets already."""
+        dealt = rows.repartition(self.buckets, self.key)
+        dealt.write.mode("append").bucketBy(self.buckets, self.key).sortBy(self.key).option("path", self.path).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
 def drop_cuts(spark: SparkSession) -> int:
     """Delete the intermediate tables written so far; for the end of a job, when its results are stored."""
     n = len(_CUTS)

@@ -75,3 +75,36 @@ def test_frontier_depths(spark):
     out = {r.url[11:]: r.depth for r in L.crawl_frontier(df, seeds, 5).collect()}
     assert out == {"/": 0, "/a": 1, "/b": 1, "/c": 2, "/d": 3}
     assert {r.url[11:] for r in L.crawl_frontier(df, seeds, 1).collect()} == {"/", "/a", "/b"}
+
+
+def test_frontier_of_a_long_chain(spark):
+    pages = [(str(i), f"http://h.cn/{i}", f'<a href="/{i + 1}"></a><a href="/{max(i - 3, 0)}"></a>', None) for i in range(200)]
+    df = spark.createDataFrame(pages, "id string, url string, html string, crawled_at timestamp")
+    out = {r.url: r.depth for r in L.crawl_frontier(df, spark.createDataFrame([("http://h.cn/0",)], "url string")).collect()}
+    assert out == {f"http://h.cn/{i}": i for i in range(201)}
+
+
+def test_frontier_of_a_page_with_many_links(spark):
+    many = "".join(f'<a href="/n/{i}"></a>' for i in range(100_000))
+    pages = [("1", "http://h.cn/", many, None), ("2", "http://h.cn/n/7", '<a href="/"></a><a href="/last"></a>', None)]
+    df = spark.createDataFrame(pages, "id string, url string, html string, crawled_at timestamp")
+    seeds = spark.createDataFrame([("http://h.cn/",), ("http://h.cn/",)], "url string")
+    depths = L.crawl_frontier(df, seeds).groupBy("depth").count().collect()
+    assert {r["depth"]: r["count"] for r in depths} == {0: 1, 1: 100_000, 2: 1}
+
+
+def test_a_level_shuffles_its_candidates_only(spark):
+    from noticeworks.session import GrowingCut, cut_bucketed
+
+    edges = cut_bucketed(spark.range(400).selectExpr("md5(string(id)) AS from_hash", "string(id + 1) AS link", "md5(string(id + 1)) AS link_hash"), "from_hash")
+    visited = GrowingCut(spark.range(3).selectExpr("md5(string(id * 50)) AS url_hash", "string(id * 50) AS url", "0 AS depth"), "url_hash")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for depth in range(1, 4):
+            step = L.next_level(edges, visited.rows(), depth)
+            assert step._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+            visited.add(step)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(int(r.url) for r in visited.rows().collect()) == sorted(b + k for b in (0, 50, 100) for k in range(4))

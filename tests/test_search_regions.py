@@ -185,3 +185,19 @@ def test_long_chains_and_circles(spark):
     circle = spark.createDataFrame([(i, "n", None, "city", i % 40 + 1, True) for i in range(1, 41)], schemas.SEARCH_REGIONS)
     with pytest.raises(ValueError, match="circle"):
         R.with_ancestors(circle)
+
+
+def test_a_chain_of_a_thousand_takes_few_rounds(spark, monkeypatch):
+    from noticeworks import schemas
+
+    rows = [(i, f"n{i}", None, "district" if i in (3, 10) else "village", i - 1 if i > 1 else None, i != 500) for i in range(1, 1001)]
+    rows += [(2000, "lost", None, "street", 9999, True), (2001, "below", None, "village", 2000, True)]
+    rounds = []
+    cut = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    out = {r.id: r for r in R.with_ancestors(spark.createDataFrame(rows, schemas.SEARCH_REGIONS)).collect()}
+    assert len(rounds) <= 12  # the start and eleven rounds
+    assert out[1000].path == " > ".join(f"n{i}" for i in range(1, 1001)) and out[1000].search_name == " ".join(f"n{i}" for i in range(10, 1001))
+    assert out[7].search_name == "n3 n4 n5 n6 n7" and out[2].search_name == "n1 n2" and out[10].search_name == "n10"
+    assert out[499].reachable and not out[500].reachable and not out[900].reachable and {out[i].district_id for i in (5, 10, 700)} == {3}
+    assert (out[2001].path, out[2001].search_name, out[2001].reachable) == ("lost > below", "lost below", False)
