@@ -90,26 +90,31 @@ def valid_content(m: Model):
     return staged.select("id", text.is_valid_content(F.col("text"), LATIN_TEST).alias("valid"))
 
 
-@query("antibot_pages", """
-    SELECT id, length(html) < 1024 OR contains(html, 'robot check')
-        OR contains(html, 'are you a human') OR contains(html, 'verification required') AS blocked,
-        CASE WHEN length(html) < 1024 THEN 'short' WHEN contains(html, 'robot check') OR contains(html, 'are you a human')
-            OR contains(html, 'verification required') THEN 'phrase' END AS reason
+PHRASES = "contains({0}, 'robot check') OR contains({0}, 'are you a human') OR contains({0}, 'verification required')"
+
+
+@query("antibot_pages", f"""
+    SELECT id, html = '' OR {PHRASES.format("html")} AS blocked, CASE WHEN html = '' THEN 'missing' WHEN {PHRASES.format("html")} THEN 'phrase' END AS reason,
+        CASE WHEN html = '' THEN 'missing' WHEN length(html) < 1024 THEN 'short' WHEN {PHRASES.format("html")} THEN 'phrase' END AS reason_by_size
     FROM m_doc_pages
 """)
 def antibot_pages(m: Model):
+    """By what a page says, and by its size too, as a profile may ask for."""
     html = F.col("html")
-    return m.doc_pages.select("id", fields.is_antibot_page(html).alias("blocked"), fields.antibot_reason(html).alias("reason"))
+    return m.doc_pages.select(
+        "id", fields.is_antibot_page(html).alias("blocked"), fields.antibot_reason(html).alias("reason"),
+        fields.antibot_reason(html, 1024).alias("reason_by_size"),
+    )
 
 
-@query("response_flags", """
+@query("response_flags", f"""
     SELECT doc_id AS id, status IN (403, 429, 503, 407) AS blocked,
         status IN (200, 302) AND (contains(lower(text), 'captcha') OR contains(lower(text), 'verify')
             OR contains(lower(text), 'slider') OR contains(lower(text), 'human verification')
             OR contains(lower(text), 'access denied')) AS captcha,
         (status IN (401, 302, 303) AND contains(lower(target), 'login'))
             OR (status = 200 AND (contains(lower(text), 'sign in') OR contains(lower(text), 'login required'))) AS login,
-        length(text) < 1024 AS antibot
+        text = '' OR {PHRASES.format("text")} AS antibot
     FROM (SELECT doc_id, text, CASE lang WHEN 'de' THEN 403 WHEN 'fr' THEN 302 ELSE 200 END AS status,
                  CASE WHEN lang = 'fr' THEN concat('/', source, '/LOGIN') END AS target FROM m_docs)
 """)
@@ -212,9 +217,9 @@ def discover_results(m: Model):
     return links.discover_results(serp, m.results).select("url", "url_hash", "domain", "serp_url")
 
 
-@query("fetched_results", """
-    SELECT url, md5(url) AS url_hash, CASE WHEN length(html) >= 1024 THEN url ELSE url END AS title
-    FROM m_doc_pages WHERE md5(url) NOT IN (SELECT url_hash FROM m_results) AND length(html) >= 1024
+@query("fetched_results", f"""
+    SELECT url, md5(url) AS url_hash, url AS title
+    FROM m_doc_pages WHERE md5(url) NOT IN (SELECT url_hash FROM m_results) AND html <> '' AND NOT ({PHRASES.format("html")})
 """)
 def fetched_results(m: Model):
     serp = m.docs.select(

@@ -249,17 +249,15 @@ def relevance(
     return out
 
 
-def antibot_reason(html: Column, min_chars: int = 1024) -> Column:
-    """Why a page counts as blocked: missing, short (under ``min_chars``) or phrase; NULL if it does not."""
-    return (
-        F.when(html.isNull(), F.lit("missing"))
-        .when(F.length(html) < min_chars, F.lit("short"))
-        .when(contains_any(html, BLOCKED_PAGE), F.lit("phrase"))
-    )
+def antibot_reason(html: Column, min_chars: int | None = None) -> Column:
+    """Why a page counts as blocked: missing, short (under ``min_chars``, where given) or phrase; NULL if it does not."""
+    missing = F.when(html.isNull() | (html == ""), F.lit("missing"))
+    sized = missing if min_chars is None else missing.when(F.length(html) < min_chars, F.lit("short"))
+    return sized.when(contains_any(html, BLOCKED_PAGE), F.lit("phrase"))
 
 
-def is_antibot_page(html: Column, min_chars: int = 1024) -> Column:
-    """Empty, tiny or blocked page."""
+def is_antibot_page(html: Column, min_chars: int | None = None) -> Column:
+    """Empty or blocked page, or one under ``min_chars`` where that is given."""
     return antibot_reason(html, min_chars).isNotNull()
 
 

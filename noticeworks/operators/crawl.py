@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions.fields import is_antibot_page, is_captcha_page, is_login_page
+from noticeworks.profile import ZH_TENDER, Profile
 
 PAGE_KEYS = ("source", "category", "page")
 SEGMENT_KEYS = ("source", "category", "month")
@@ -62,7 +63,7 @@ def incremental_stop(
     )
 
 
-def response_flags(responses: DataFrame) -> DataFrame:
+def response_flags(responses: DataFrame, profile: Profile = ZH_TENDER) -> DataFrame:
     """Stored responses (``status``, ``body``, ``location``) with what is wrong with them."""
     status, body = F.col("status"), F.col("body")
     return responses.withColumns(
@@ -70,6 +71,6 @@ def response_flags(responses: DataFrame) -> DataFrame:
             "blocked": F.coalesce(status.isin(*BLOCKED_STATUSES), F.lit(False)),
             "captcha": is_captcha_page(status, body),
             "login": is_login_page(status, body, F.col("location")),
-            "antibot": is_antibot_page(body),
+            "antibot": is_antibot_page(body, profile.min_page_chars),
         }
     )

@@ -155,7 +155,7 @@ def fetched_results(
     new = append_new_results(results, candidates, ["serp_url", "position"])
     fetched = dedup_pages(pages.select("id", "url", "html", "crawled_at")).select(
         url_hash(F.col("url")).alias("url_hash"),
-        is_antibot_page(F.col("html")).alias("blocked"),
+        is_antibot_page(F.col("html"), profile.min_page_chars).alias("blocked"),
         fetched_title(F.col("html"), F.lit(None).cast("string"), F.lit(None).cast("string"), profile).alias("page_title"),
     )
     joined = new.join(fetched, "url_hash", "left").where(~F.coalesce("blocked", F.lit(False)))

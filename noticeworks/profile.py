@@ -62,8 +62,8 @@ class Profile:
     date_chars: int | None = None
     place_chars: int | None = None
     type_chars: int | None = None
-    # smaller pages count as blocked
-    min_page_chars: int = 1024
+    # smaller pages count as blocked; None: a page is judged by what it says
+    min_page_chars: int | None = None
 
 
 # ---------------------------------------------------------------------------

@@ -123,10 +123,11 @@ def test_relevance_cascade(spark):
 
 
 def test_page_flags(evaluate):
-    assert evaluate(X.is_antibot_page, None, "", "x" * 1023, "x" * 1024, "x" * 2000 + "robot check", "x" * 8192 + "robot check") == [
-        True, True, True, False, True, True,
-    ]
-    assert evaluate(X.antibot_reason, None, "x", "x" * 1024 + "robot check", "x" * 1024) == ["missing", "short", "phrase", None]
+    pages = (None, "", "x" * 1023, "x" * 1024, "x" * 2000 + "robot check", "x" * 8192 + "robot check")
+    assert evaluate(X.is_antibot_page, *pages) == [True, True, False, False, True, True]
+    assert evaluate(lambda c: X.is_antibot_page(c, 1024), *pages) == [True, True, True, False, True, True]
+    assert evaluate(lambda c: X.antibot_reason(c, 1024), None, "x", "x" * 1024 + "robot check", "x" * 1024) == ["missing", "short", "phrase", None]
+    assert evaluate(X.antibot_reason, None, "", "x", "a robot check") == ["missing", "missing", None, "phrase"]
 
 
 def test_list_and_feed_dates(evaluate):
