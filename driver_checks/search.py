@@ -10,6 +10,7 @@ from driver_checks.model import AS_OF, Model
 from driver_checks.registry import query
 from noticeworks.functions import lists, urls
 from noticeworks.functions.matching import with_name_hits
+from noticeworks.operators import paging as P
 from noticeworks.operators import regions as R
 from noticeworks.operators import search as S
 
@@ -44,6 +45,15 @@ def search_page_after(m: Model):
     return S.page_after(found, "publish_date", (datetime(2024, 3, 1), 500)).select("id", "publish_date")
 
 
+@query("search_page_deep", """
+    SELECT id, publish_date FROM m_notices ORDER BY publish_date DESC NULLS FIRST, id DESC LIMIT 20 OFFSET (SELECT (count(*) // 20 - 2) * 20 FROM m_notices)
+""")
+def search_page_deep(m: Model):
+    """The third page from the end, found by counting ranges of dates."""
+    pages = S.page_count(m.notices).first().total // 20
+    return P.deep_page(m.notices.select("id", "publish_date"), P.newest_keys(), page=pages - 1, rows=500, ranges=64)
+
+
 @query("search_page_count", f"SELECT count(*) AS total, greatest(ceil(count(*) / 20), 1)::bigint AS total_pages FROM ({FOUND})")
 def search_page_count(m: Model):
     return S.page_count(S.search_notices(m.parsed, m.regions, SEARCH_PARAMS, DOC_TIME))

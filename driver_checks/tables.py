@@ -396,12 +396,13 @@ def crawl_yield(m: Model):
 @query("incremental_stop", """
     WITH y AS (SELECT event_type AS source, 'all' AS category, concat('u', user_id) AS month, day(ts) AS page,
                       count(*) FILTER (value > 60) AS new FROM events GROUP BY ALL),
-    cut AS (SELECT a.source, a.category, a.month, min(a.page) AS last_page FROM y a JOIN y b
-            ON a.source = b.source AND a.category = b.category AND a.month = b.month AND b.page = a.page - 1
-            WHERE a.new = 0 AND b.new = 0 GROUP BY ALL)
+    cut AS (SELECT source, category, month, min(page) AS last_page FROM (
+                SELECT *, lag(new) OVER (PARTITION BY source, category, month ORDER BY page) AS earlier FROM y)
+            WHERE new = 0 AND earlier = 0 GROUP BY ALL)
     SELECT y.* FROM y LEFT JOIN cut USING (source, category, month) WHERE last_page IS NULL OR page <= last_page
 """)
 def incremental_stop(m: Model):
+    """Days without events are gaps."""
     pages = m.table("events").groupBy(
         F.col("event_type").alias("source"), F.lit("all").alias("category"),
         F.concat(F.lit("u"), "user_id").alias("month"), F.dayofmonth("ts").alias("page"),

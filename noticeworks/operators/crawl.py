@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions.fields import is_antibot_page, is_captcha_page, is_login_page
+from noticeworks.operators.planning import numbered
 from noticeworks.profile import ZH_TENDER, Profile
 
 PAGE_KEYS = ("source", "category", "page")
@@ -43,18 +44,21 @@ def incremental_stop(
 ) -> DataFrame:
     """Pages an incremental crawl would fetch: it stops after ``patience`` pages without news.
 
-    Pages (``page``, ``new``) are numbered without gaps.  An empty page at p takes
-    part in the runs that end at p .. p + patience - 1; a run is complete when
-    ``patience`` empty pages take part.  That is two aggregations and a join with
-    one row per segment, so no segment is sorted as a whole.
+    Pages (``page``, ``new``) are visited in the order of their numbers, which may have gaps;
+    rows of one page are one visit, and their news add up.  Positions come from ranges of pages of
+    all segments, so no segment is sorted in one task.  An empty page at position p takes
+    part in the runs that end at p .. p + patience - 1; a run is complete when ``patience``
+    empty pages of a segment take part.
     """
     keys = list(keys)
+    visits = page_yield.groupBy(*keys, "page").agg(F.sum("new").alias("new"))
+    placed = numbered(visits.withColumn("_at", F.struct(*keys, "page")), "_at")
     ends = (
-        page_yield.where(F.col("new") == 0)
-        .withColumn("end", F.explode(F.sequence(F.col("page"), F.col("page") + (patience - 1))))
-        .groupBy(*keys, "end").agg(F.count(F.lit(1)).alias("n"))
+        placed.where(F.col("new") == 0)
+        .withColumn("end", F.explode(F.sequence(F.col("idx"), F.col("idx") + (patience - 1))))
+        .groupBy(*keys, "end").agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("page"))
         .where(F.col("n") >= patience)
-        .groupBy(*keys).agg(F.min("end").alias("last_page"))
+        .groupBy(*keys).agg(F.min_by("page", "end").alias("last_page"))
     )
     return (
         page_yield.join(ends, keys, "left")

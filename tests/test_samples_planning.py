@@ -154,6 +154,27 @@ def test_incremental_stop(spark):
     assert Counter(r.source for r in crawl.incremental_stop(df, patience=1).collect()) == {"a": 2, "b": 1, "c": 1}
 
 
+def test_incremental_stop_with_gaps_and_repeats(spark):
+    import random
+
+    rng, rows, want = random.Random(4), [], []
+    for seg in range(60):
+        pages = sorted(rng.sample(range(500), rng.randrange(1, 60)))
+        visits = {p: [rng.choice([0, 0, 0, 1]) for _ in range(rng.choice([1, 1, 1, 3]))] for p in pages}
+        run, stop = 0, None
+        for p in pages:
+            run = 0 if sum(visits[p]) else run + 1
+            if run == 3:
+                stop = p
+                break
+        for p in pages:
+            rows += [(f"s{seg}", "k", "m", p, n) for n in visits[p]]
+            want += [(f"s{seg}", p)] * len(visits[p]) if stop is None or p <= stop else []
+    df = spark.createDataFrame(rows, "source string, category string, month string, page int, new int")
+    out = crawl.incremental_stop(df, patience=3)
+    assert sorted((r.source, r.page) for r in out.collect()) == sorted(want) and len(want) < len(rows)
+
+
 def test_yield_and_delete_ids(spark):
     cand = spark.createDataFrame([("s", "c", 1, "h1", True), ("s", "c", 1, "h2", False), ("s", "c", 1, "h3", True), ("s", "c", 1, "h3", True)], "source string, category string, page int, url_hash string, ok boolean")
     led = spark.createDataFrame([("h3",), ("h3",)], "url_hash string")
