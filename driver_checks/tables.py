@@ -13,6 +13,7 @@ from noticeworks.operators import cleanup, crawl, merge, reconcile
 from noticeworks.plans import jobs
 from noticeworks.profile import LATIN_TEST
 from noticeworks.session import shared_folder
+from noticeworks.sources import tables
 from noticeworks.sources.runs import RunTable
 
 NEWEST = """
@@ -78,6 +79,35 @@ def merge_page_buckets(m: Model):
     return table.read().select("id", "url", "html", "content_hash", "search_query")
 
 
+@query("page_documents", """
+    SELECT url, id, sha256(CASE WHEN n % 2 = 0 THEN concat(html, '<!-- again -->') ELSE html END) AS html_hash, n % 5 AS tries,
+        CASE WHEN n % 2 = 0 THEN concat('proxy-', n % 3) ELSE source_name END AS via, CASE WHEN n % 2 = 0 THEN n END AS visit
+    FROM (SELECT *, id::BIGINT AS n, row_number() OVER (PARTITION BY url ORDER BY crawled_at DESC, id DESC) AS k FROM m_pages) WHERE k = 1
+""")
+def page_documents(m: Model):
+    """Documents with fields of the crawler, stored as JSON, deduplicated, and merged with a second delivery."""
+    def read(df):
+        path = f"{shared_folder(m.spark)}/documents-{uuid.uuid4().hex}"
+        df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
+        return tables.read_page_documents(m.spark, path)
+
+    n = F.col("id").cast("bigint")
+    first = m.pages.select(
+        "id", "url", "html", F.date_format("crawled_at", "yyyy-MM-dd HH:mm:ss").alias("crawled_at"), (n % 5).alias("tries"), F.struct(F.col("source_name").alias("via")).alias("fetch")
+    )
+    stored = merge.dedup_pages(read(first)).withColumn("content_hash", F.lit(None).cast("string"))
+    again = merge.dedup_pages(m.pages).where(n % 2 == 0).select(
+        F.lit("again").alias("id"), "url", F.concat("html", F.lit("<!-- again -->")).alias("html"),
+        F.date_format(F.col("crawled_at") + F.expr("interval 1 year"), "yyyy-MM-dd HH:mm:ss").alias("crawled_at"),
+        n.alias("visit"), F.struct(F.concat(F.lit("proxy-"), n % 3).alias("via")).alias("fetch"),
+    )
+    merged = merge.merge_raw_pages(stored, read(again))
+    return merged.select(
+        "url", "id", F.sha2("html", 256).alias("html_hash"), F.variant_get("rest", "$.tries", "bigint").alias("tries"),
+        F.variant_get("rest", "$.fetch.via", "string").alias("via"), F.try_variant_get("rest", "$.visit", "bigint").alias("visit"),
+    )
+
+
 @query("append_new_results", """
     SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM m_visits WHERE event_type <> 'purchase')
     WHERE rn = 1 AND url_hash NOT IN (SELECT url_hash FROM m_visits WHERE event_type = 'purchase')

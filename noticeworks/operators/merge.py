@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeworks.functions.basics import let
 from noticeworks.functions.urls import content_hash, url_hash
 from noticeworks.profile import LIST_PAGE, SEARCH_SERP
 
@@ -105,15 +106,44 @@ def upsert(
     return joined.select(*[column(c) for c in base.columns])
 
 
+def rest_fields(rest: Column) -> Column:
+    """Unknown fields of a page by name; null for none, fields without a value left out."""
+    fields = F.try_variant_get(rest, "$", "map<string,variant>")
+    return F.map_filter(fields, lambda _, v: F.coalesce(~F.is_variant_null(v), F.lit(False)))
+
+
+def joined_rest(stored: Column, fresh: Column) -> Column:
+    """Unknown fields of a stored page with those of a newer one, which win."""
+    both = let(
+        rest_fields(fresh),
+        lambda new: F.map_concat(F.map_filter(rest_fields(stored), lambda k, _: ~F.array_contains(F.map_keys(new), k)), new),
+    )
+    return F.when(stored.isNull(), fresh).when(fresh.isNull(), stored).otherwise(F.to_variant_object(both))
+
+
+def latest_rest(pages: DataFrame, key: str, order: Iterable[str]) -> DataFrame:
+    """(key, rest): of each unknown field of a key the value of its last row. Rows without unknown fields are not shuffled."""
+    entries = pages.where(F.col("rest").isNotNull()).select(key, F.struct(*order).alias("_at"), F.explode(rest_fields(F.col("rest"))).alias("_k", "_v"))
+    last = entries.groupBy(key, "_k").agg(F.max_by("_v", "_at").alias("_v"))
+    return last.groupBy(key).agg(F.to_variant_object(F.map_from_entries(F.collect_list(F.struct("_k", "_v")))).alias("rest"))
+
+
 def merge_raw_pages(base: DataFrame, updates: DataFrame) -> DataFrame:
     """Upsert crawled pages by URL; the newest crawl wins, ids and unknown fields stay.
 
-    Where both tables carry ``url_hash`` it is the key, so tables bucketed by it merge without an exchange.
+    Where both tables carry ``url_hash`` it is the key, so tables bucketed by it merge without an exchange. Where both carry ``rest``, the
+    fields that the schema does not know, stored ones stay unless a newer page has them too.
     """
     key = "url_hash" if "url_hash" in base.columns and "url_hash" in updates.columns else "url"
     owned = ("html", "content_hash", "crawled_at", "search_query", "source_name", "meta")
     fresh = updates.withColumn("content_hash", content_hash(F.col("html")))
-    return upsert(base, fresh, key, ["crawled_at", "id"], owned, newer="crawled_at")
+    if "rest" not in base.columns or "rest" not in updates.columns:
+        return upsert(base, fresh, key, ["crawled_at", "id"], owned, newer="crawled_at")
+    last = one_per_key(fresh.drop("rest"), [key], ["crawled_at", "id"])
+    fresh = last.join(latest_rest(updates, key, ["crawled_at", "id"]), key, "left").withColumn("_fresh_rest", F.col("rest"))
+    held = base.withColumn("_fresh_rest", F.lit(None).cast("variant"))
+    merged = upsert(held, fresh, key, ["crawled_at", "id"], (*owned, "_fresh_rest"), newer="crawled_at")
+    return merged.select(*[joined_rest(F.col("rest"), F.col("_fresh_rest")).alias("rest") if c == "rest" else c for c in base.columns])
 
 
 def append_new_results(existing: DataFrame, candidates: DataFrame, order: Iterable[str] = ("id",)) -> DataFrame:

@@ -8,6 +8,9 @@ RAW_PAGES = """
     meta struct<title: string, source_type: string, extra: map<string, string>>
 """
 
+#: Pages with the fields that this schema does not know, as one object.
+PAGE_DOCUMENTS = f"{RAW_PAGES.strip()}, rest variant"
+
 SEARCH_RESULTS = """
     id bigint, title string, url string, url_hash string, domain string, source_type string,
     source_name string, search_query string, region_id bigint, publish_date timestamp,

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeworks import schemas
-from noticeworks.operators.merge import PARSED_ALWAYS, PARSED_FIELDS, PARSED_TYPED, UNREADABLE, one_per_key, parse_outcome
+from noticeworks.operators.merge import PARSED_ALWAYS, PARSED_FIELDS, PARSED_TYPED, UNREADABLE, latest_rest, one_per_key, parse_outcome, rest_fields
 from noticeworks.sources.runs import RunTable
 
 PAGE_COLUMNS = ("id", "url", "html", "search_query", "source_name", "meta", "crawled_at")
@@ -18,6 +18,29 @@ def read_raw_pages(spark: SparkSession, path: str, columns: tuple[str, ...] = PA
     return spark.read.schema(schemas.RAW_PAGES).parquet(path).select(*columns)
 
 
+def read_page_documents(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Raw pages with the fields that the schema does not know as one object ``rest`` (a VARIANT; null if there are none).
+
+    ``fmt`` is json (a document per line; lines that are no object are left out) or parquet.  Columns that
+    are not selected later are not decoded.
+    """
+    known = spark.createDataFrame([], schemas.RAW_PAGES).schema
+    if fmt == "parquet":
+        stored = spark.read.parquet(path)
+        unknown = [c for c in stored.columns if c not in known.names]
+        rest = F.to_variant_object(F.struct(*unknown)) if unknown else F.lit(None).cast("variant")
+        fields = [F.col(f.name).cast(f.dataType) if f.name in stored.columns else F.lit(None).cast(f.dataType) for f in known]
+        documents = stored.select(*[c.alias(f.name) for c, f in zip(fields, known)], rest.alias("rest"))
+    else:
+        parsed = spark.read.text(path).select(F.try_parse_json("value").alias("d"))
+        objects = parsed.where(F.try_variant_get("d", "$", "map<string,variant>").isNotNull())
+        fields = [F.try_variant_get("d", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in known]
+        others = F.map_filter(F.try_variant_get("d", "$", "map<string,variant>"), lambda k, _: ~k.isin(*known.names))
+        documents = objects.select(*fields, F.to_variant_object(others).alias("rest"))
+    filled = rest_fields(F.col("rest"))
+    return documents.withColumn("rest", F.when(F.size(filled) > 0, F.to_variant_object(filled)))
+
+
 def read_table(spark: SparkSession, schema: str, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
@@ -60,13 +83,18 @@ def read_log(spark: SparkSession, schema: str, path: str) -> DataFrame:
         return spark.createDataFrame([], full)
 
 
+#: Order of the crawls of a URL in a log.
+NEWEST = ("crawled_at", "batch_id", "id")
+
+
 def current_pages(log: DataFrame) -> DataFrame:
     """Page table of a page log: newest crawl per URL, id of the first."""
     owned = ("html", "content_hash", "crawled_at", "search_query", "source_name", "meta")
-    return log.groupBy("url").agg(
+    current = log.groupBy("url").agg(
         F.min_by("id", F.struct("batch_id", "crawled_at", "id")).alias("id"),
-        F.max_by(F.struct(*owned), F.struct("crawled_at", "batch_id", "id")).alias("_row"),
+        F.max_by(F.struct(*owned), F.struct(*NEWEST)).alias("_row"),
     ).select("id", "url", "_row.*")
+    return current.join(latest_rest(log, "url", NEWEST), "url", "left").select(*current.columns, "rest") if "rest" in log.columns else current
 
 
 def current_parsed(log: DataFrame) -> DataFrame:
@@ -92,14 +120,23 @@ def current_outbox(log: DataFrame) -> DataFrame:
 
 
 def surviving_pages(log: DataFrame) -> DataFrame:
-    """Of each URL the newest crawl, and the first one for its id, without its html."""
+    """Of each URL the newest crawl, and without their html the first one, for its id, and the last one of each unknown field."""
     rows = F.struct(*log.columns)
-    picked = log.groupBy("url").agg(
-        F.min_by(rows, F.struct("batch_id", "crawled_at", "id")).alias("a"), F.max_by(rows, F.struct("crawled_at", "batch_id", "id")).alias("b")
-    )
-    same = F.struct("a.batch_id", "a.crawled_at", "a.id").eqNullSafe(F.struct("b.batch_id", "b.crawled_at", "b.id"))
-    first = F.col("a").withField("html", F.lit(None).cast("string")).withField("meta", F.lit(None).cast(log.schema["meta"].dataType))
-    return picked.select(F.explode(F.when(same, F.array("b")).otherwise(F.array(first, "b"))).alias("r")).select("r.*")
+    picked = log.groupBy("url").agg(F.min_by(rows, F.struct("batch_id", "crawled_at", "id")).alias("a"), F.max_by(rows, F.struct(*NEWEST)).alias("b"))
+
+    def slim(row: Column) -> Column:
+        return row.withField("html", F.lit(None).cast("string")).withField("meta", F.lit(None).cast(log.schema["meta"].dataType))
+
+    def same(a: str, b: str) -> Column:
+        return F.struct(*[f"{a}.{c}" for c in NEWEST]).eqNullSafe(F.struct(*[f"{b}.{c}" for c in NEWEST]))
+
+    kept = picked.select(F.explode(F.when(same("a", "b"), F.array("b")).otherwise(F.array(slim(F.col("a")), "b"))).alias("r"))
+    if "rest" not in log.columns:
+        return kept.select("r.*")
+    entries = log.where(F.col("rest").isNotNull()).select("url", F.struct(*NEWEST).alias("at"), F.explode(rest_fields(F.col("rest"))).alias("k", "v"), rows.alias("r"))
+    holders = entries.groupBy("url", "k").agg(F.max_by("r", "at").alias("r")).groupBy("url", F.struct(*[f"r.{c}" for c in NEWEST]).alias("at")).agg(F.first("r").alias("r"))
+    others = holders.join(picked, "url").where(~same("r", "a") & ~same("r", "b")).select(slim(F.col("r")).alias("r"))
+    return kept.unionByName(others).select("r.*")
 
 
 def surviving_parsed(log: DataFrame) -> DataFrame:

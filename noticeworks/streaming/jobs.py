@@ -125,4 +125,4 @@ def crawl_metrics_sink(metrics: DataFrame, target: str, checkpoint: str) -> Data
     return metrics.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint)
 
 
-PAGE_LOG = schemas.RAW_PAGES
+PAGE_LOG = schemas.PAGE_DOCUMENTS
