@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from driver_checks.model import AS_OF, Model
 from driver_checks.registry import query
+from noticeworks import schemas
 from noticeworks.functions import lists, urls
 from noticeworks.functions.matching import with_name_hits
 from noticeworks.operators import paging as P
 from noticeworks.operators import regions as R
 from noticeworks.operators import search as S
+from noticeworks.session import shared_folder
+from noticeworks.sources.gramindex import GramIndex
+from noticeworks.sources.runs import RunTable
 
 # names below the province, with and without suffix (none of the names has one)
 NAMES = "(SELECT name FROM m_regions WHERE level <> 'province' AND length(name) >= 2)"
@@ -54,6 +59,29 @@ def search_page_deep(m: Model):
     return P.deep_page(m.notices.select("id", "publish_date"), P.newest_keys(), page=pages - 1, rows=500, ranges=64)
 
 
+@query("search_indexed", f"""
+    SELECT 'the' AS keyword, id FROM ({FOUND}) UNION ALL
+    SELECT k.keyword, p.id FROM m_parsed p, (SELECT DISTINCT substr(summary, 200, 9) AS keyword FROM m_parsed WHERE id % 97 = 5 AND length(summary) > 300) k
+    WHERE is_relevant <> false AND {PLACED} AND (contains(title, k.keyword) OR contains(summary, k.keyword) OR contains(search_query, k.keyword))
+""")
+def search_indexed(m: Model):
+    """A frequent word and rare passages, from a stored table whose index followed a merge."""
+    table = RunTable(m.spark, f"{shared_folder(m.spark)}/notices-{uuid.uuid4().hex}", schemas.PARSED_RESULTS, buckets=32)
+    index = GramIndex(table)
+    table.create(m.parsed.withColumn("summary", F.when(F.col("id") % 5 > 0, F.col("summary")).otherwise(F.lit("to come"))))
+    index.update()
+    late = m.parsed.where("id % 5 = 0")
+    table.merge(late, lambda stored, news: stored.join(news.select("url_hash"), "url_hash", "left_anti").unionByName(news.select(*stored.columns)))
+    index.update()
+    rare = [r[0] for r in m.parsed.where("id % 97 = 5 AND length(summary) > 300").select(F.substring("summary", 200, 9)).distinct().collect()]
+    out = None
+    for word in ("the", *rare):
+        params = S.SearchParams(keyword="the") if word == "the" else S.SearchParams(keyword=word)
+        hits = S.search_indexed(index, m.regions, params, DOC_TIME).select(F.lit(word).alias("keyword"), "id")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 @query("search_page_count", f"SELECT count(*) AS total, greatest(ceil(count(*) / 20), 1)::bigint AS total_pages FROM ({FOUND})")
 def search_page_count(m: Model):
     return S.page_count(S.search_notices(m.parsed, m.regions, SEARCH_PARAMS, DOC_TIME))

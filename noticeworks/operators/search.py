@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from noticeworks.functions.basics import bounded_values, contains_any
 from noticeworks.functions.matching import INLINE_NAMES, with_name_hits
 from noticeworks.operators.regions import region_name_set, with_region_name
+from noticeworks.sources.gramindex import GramIndex
 
 PER_PAGE = 20
 PARSED_SORTS = (
@@ -105,6 +106,11 @@ def search_notices(
     return found if region else filter_by_region(found, region_name_set(regions))
 
 
+def search_indexed(index: GramIndex, regions: DataFrame, params: SearchParams, as_of: datetime) -> DataFrame:
+    """The same notices, read from the files that the index names for the keyword."""
+    return search_notices(index.rows_with(params.keyword.strip()), regions, params, as_of)
+
+
 def newest_first(column: str = "publish_date", tie: str = "id") -> list[Column]:
     return [F.col(column).desc_nulls_first(), F.col(tie).desc()]
 
