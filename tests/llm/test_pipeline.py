@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
-from test_decontam_simhash import slow_components, slow_fingerprint
+from test_nearcopies import similar_groups
 from test_packing import checked
 from test_secrets import merged, slow_spans
 
@@ -48,11 +48,12 @@ def test_without_labels_only_what_has_no_letter_goes(spark):
 
 
 def test_one_document_of_each_group_stays(kept):
+    """Groups by comparing all pairs of five-word shingle sets."""
     before, after = kept[0][1:3]
-    groups = slow_components([slow_fingerprint(r.text) for r in before])
+    groups = similar_groups([r.text for r in before])
     least = defaultdict(list)
-    for r in before:
-        least[min(groups[slow_fingerprint(r.text)])].append((r.doc_id is None, r.doc_id))
+    for r, g in zip(before, groups, strict=True):
+        least[g].append((r.doc_id is None, r.doc_id))
     assert sorted(map(str, (min(g) for g in least.values()))) == sorted(str((r.doc_id is None, r.doc_id)) for r in after)
 
 
