@@ -1,12 +1,20 @@
 """URL filters: stated rules, and a path-template tree learned per host for what they leave open.
 
-Paths become templates: numbers, hashes and long segments are wildcards (with their extension). Below that the tree of a host is
-generalised by its counts: where a node has many children that hardly repeat, all of them become one wildcard, and labelled
-children whose share of blocked pages does not differ from their siblings' (two-proportion test) become one branch. A template is
-rejected if the share of blocked among its labelled pages, smoothed towards the share of all, reaches a threshold.
+Paths become templates: numbers, hashes and long segments are wildcards (with their extension). Then the tree of a host is generalised
+from the root down, one depth after the other, each on the names that the depth before has got:
+
+- where a node has many children that hardly repeat, all of them become one wildcard;
+- labelled children become one branch if their share of blocked pages does not differ from that of all labelled siblings (two-proportion
+  test), those beyond it become another one, those below it a third;
+- children without enough labels join the branch that they are built like: as large a share of their pages ends there, and as large a
+  share goes on with a wildcard (two-proportion tests again); of several, the one of most pages.
+
+A template is rejected if it has enough labelled pages of its own, and the share of blocked among them, smoothed towards the share below its
+parent and this towards that of its host, reaches a threshold. What has no labelled company is allowed.
 
 The tree is never a tree in memory: every node is a row keyed by host and prefix, pages are summed up per template before
-anything else, and parents meet children by sums and joins, so a host with a third of all pages is one partial sum per task.
+anything else, and parents meet children by sums and joins, so a host with a third of all pages is one partial sum per task. The
+templates are written once per depth.
 """
 
 from __future__ import annotations
@@ -16,9 +24,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeworks.session import cut_lineage
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-WILD, MERGED = "*", "~"
+WILD = "*"
+#: Merged branches: like all labelled siblings, more often blocked, less often.
+MERGED = ("~", "~+", "~-")
 
 
 @dataclass(frozen=True)
@@ -44,6 +56,8 @@ class TemplateParams:
     support: int = 5
     smoothing: float = 2.0
     purity: float = 0.8
+    #: Segments behind this many count as one.
+    depth: int = 16
 
 
 def host_of(url: Column) -> Column:
@@ -61,47 +75,76 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*[F.when(fits[i], F.lit(rules[i].text)) for i in order], F.lit(None).cast("string"))
 
 
-def segments(path: Column) -> Column:
-    """Segments of a path, variable ones as wildcards that keep a file extension."""
+def segments(path: Column, depth: int = TemplateParams.depth) -> Column:
+    """Segments of a path, variable ones as wildcards that keep a file extension; what is behind ``depth`` of them is one."""
 
     def general(s: Column) -> Column:
         wild = s.rlike(r"^(?:[0-9][0-9._-]*|(?=[^.]*[0-9])[0-9A-Fa-f-]{8,}|.{32,})(?:\.[A-Za-z]{2,5})?$")
         return F.when(wild, F.concat(F.lit(WILD), F.regexp_extract(s, r"\.[A-Za-z]{2,5}$", 0))).otherwise(s)
 
-    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
-
-
-def _nodes(templates: DataFrame) -> DataFrame:
-    """A row for each template and depth: the segment there and the hash of what stands above."""
-    return templates.select("host", "template", "n", "labelled", "blocked", F.posexplode("segs").alias("depth", "seg"), F.col("segs").alias("s")).withColumn(
-        "above", F.xxhash64("host", F.array_join(F.slice("s", 1, F.col("depth")), "/"), "depth")
+    cut = F.filter(F.split(path, "/"), lambda s: s != "")
+    tail = F.array_join(F.slice(cut, depth, F.greatest(F.size(cut), F.lit(1))), "/")
+    return F.transform(F.when(F.size(cut) > depth, F.concat(F.slice(cut, 1, depth - 1), F.array(tail))).otherwise(cut), general)
+
+
+def _named(templates: DataFrame, k: int, p: TemplateParams) -> DataFrame:
+    """(host, prefix, seg, name, p_l, p_b) of the segments at depth ``k`` below the prefixes that the depths before have got."""
+    after = F.get("segs", F.lit(k + 1))
+    nodes = templates.filter(F.size("segs") > k).groupBy("host", "prefix", F.get("segs", F.lit(k)).alias("seg")).agg(
+        F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"),
+        F.sum(F.when(F.size("segs") == k + 1, F.col("n")).otherwise(0)).alias("ends"),
+        F.sum(F.when(F.coalesce(after.startswith(WILD), F.lit(False)), F.col("n")).otherwise(0)).alias("wilds"),
+    )
+    parents = nodes.groupBy("host", "prefix").agg(F.count("*").alias("kids"), F.sum("n").alias("p_n"), F.sum("l").alias("p_l"), F.sum("b").alias("p_b"))
+    seen = nodes.join(parents, ["host", "prefix"])
+
+    def close(part: str, of: str, pool_part: str, pool_of: str) -> Column:
+        share, pool = F.try_divide(part, of), F.try_divide(pool_part, pool_of)
+        return F.coalesce(F.abs(share - pool) <= p.z * F.sqrt(F.try_divide(pool * (1 - pool), F.col(of))), F.lit(False))
+
+    many = (F.col("kids") > p.many) & (F.col("p_n") < p.repeats * F.col("kids"))
+    free = ~F.col("seg").startswith(WILD) & ~many & (F.col("kids") > 1)
+    like, more, less = MERGED
+    beyond = F.try_divide("b", "l") > F.try_divide("p_b", "p_l")
+    side = F.when(free & (F.col("l") >= p.support), F.when(close("b", "l", "p_b", "p_l"), F.lit(like)).when(beyond, F.lit(more)).otherwise(F.lit(less)))
+    seen = seen.withColumn("side", side)
+    sums = [F.sum(F.when(F.col("side") == s, F.col(c))).alias(f"g{i}_{c}") for i, s in enumerate(MERGED) for c in ("n", "ends", "wilds")]
+    pools = seen.filter("side IS NOT NULL").groupBy("host", "prefix").agg(*sums)
+    f0, f1, f2 = (free & (F.col("l") < p.support) & close("ends", "n", f"g{i}_ends", f"g{i}_n") & close("wilds", "n", f"g{i}_wilds", f"g{i}_n") for i in range(3))
+    g0, g1, g2 = (F.col(f"g{i}_n") for i in range(3))
+    built = (
+        F.when(f0 & (~f1 | (g0 >= g1)) & (~f2 | (g0 >= g2)), F.lit(like)).when(f1 & (~f0 | (g1 > g0)) & (~f2 | (g1 >= g2)), F.lit(more)).when(f2, F.lit(less))
     )
+    name = F.when(F.col("seg").startswith(WILD), F.col("seg")).when(many, F.lit(WILD)).otherwise(F.coalesce("side", built, "seg"))
+    return seen.join(pools, ["host", "prefix"], "left").select("host", "prefix", "seg", name.alias("name"), "p_l", "p_b")
 
 
 def learn_templates(labelled: DataFrame, params: TemplateParams) -> DataFrame:
-    """(host, template, final, purity, rejected) for each host and template of ``labelled`` (host, path, label: true blocked, false allowed, null unknown)."""
+    """(host, template, final, purity, rejected) for each host and template of ``labelled`` (host, path, label: true blocked, false allowed, null unknown).
+
+    The purity is null on a host without a label.
+    """
     templates = (
-        labelled.withColumn("segs", segments(F.col("path")))
+        labelled.withColumn("segs", segments(F.col("path"), params.depth))
         .withColumn("template", F.array_join("segs", "/"))
         .groupBy("host", "template")
-        .agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum(F.col("label").cast("long")).alias("blocked"), F.first("segs").alias("segs"))
-        .fillna(0, ["blocked"])
+        .agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)).alias("blocked"), F.first("segs").alias("segs"))
     )
-    nodes = _nodes(templates)
-    children = nodes.groupBy("host", "above", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    parents = children.groupBy("host", "above").agg(F.count("*").alias("kids"), F.sum("n").alias("p_n"), F.sum("labelled").alias("p_l"), F.sum("blocked").alias("p_b"))
-    literal = ~F.col("seg").startswith(WILD)
-    wild = literal & (F.col("kids") > params.many) & (F.col("p_n") < params.repeats * F.col("kids"))
-    share, pool = F.col("blocked") / F.col("labelled"), F.col("p_b") / F.col("p_l")
-    spread = F.sqrt(pool * (1 - pool) / F.col("labelled"))
-    alike = F.coalesce((F.col("labelled") >= params.support) & (F.abs(share - pool) <= params.z * spread), F.lit(False))
-    named = children.join(parents, ["host", "above"]).select("host", "above", "seg", F.when(wild, F.lit(WILD)).when(literal & alike & (F.col("kids") > 1), F.lit(MERGED)).otherwise(F.col("seg")).alias("name"))
-    paths = nodes.join(named, ["host", "above", "seg"]).groupBy("host", "template").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "name"))), lambda x: x["name"]), "/").alias("final"))
-    final = templates.select("host", "template", "labelled", "blocked").join(paths, ["host", "template"], "left").fillna("", ["final"])
-    overall = templates.agg(F.coalesce(F.sum("blocked") / F.sum("labelled"), F.lit(0.0)).alias("overall")).scalar()
-    purity = (F.col("b") + params.smoothing * overall) / (F.col("l") + params.smoothing)
-    pure = final.groupBy("host", "final").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).select("host", "final", purity.alias("purity"), (purity >= params.purity).alias("rejected"))
-    return final.select("host", "template", "final").join(pure, ["host", "final"])
+    none = F.lit(None).cast("long")
+    templates = cut_lineage(templates.withColumns({"prefix": F.lit(""), "p_l": none, "p_b": none}))
+    for k in range(templates.agg(F.coalesce(F.max(F.size("segs")), F.lit(0))).first()[0]):
+        named = _named(templates, k, params).withColumnsRenamed({"p_l": "k_l", "p_b": "k_b"})
+        here = templates.filter(F.size("segs") > k).withColumn("seg", F.get("segs", F.lit(k))).join(named, ["host", "prefix", "seg"])
+        here = here.withColumns({"prefix": F.concat("prefix", F.lit("/"), "name"), "p_l": F.col("k_l"), "p_b": F.col("k_b")}).select(*templates.columns)
+        templates = cut_lineage(templates.filter(F.size("segs") <= k).unionByName(here))
+    hosts = templates.groupBy("host").agg(F.sum("labelled").alias("h_l"), F.sum("blocked").alias("h_b"))
+    pure = templates.groupBy("host", F.col("prefix").alias("final")).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.first("p_l").alias("p_l"), F.first("p_b").alias("p_b"))
+    host = F.try_divide("h_b", "h_l")
+    parent = F.when(F.col("p_l").isNull(), host).otherwise((F.col("p_b") + params.smoothing * host) / (F.col("p_l") + params.smoothing))
+    purity = (F.col("b") + params.smoothing * parent) / (F.col("l") + params.smoothing)
+    rejected = (F.col("l") >= params.support) & F.coalesce(purity >= params.purity, F.lit(False))
+    judged = pure.join(hosts, "host").select("host", "final", purity.alias("purity"), rejected.alias("rejected"))
+    return templates.select("host", "template", F.col("prefix").alias("final")).join(judged, ["host", "final"])
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", params: TemplateParams = TemplateParams()) -> DataFrame:
@@ -109,27 +152,55 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", par
 
     A rule's verdict stands; pages without a rule are judged by the template they share with pages under rules, and allowed if it is not
     rejected. Null urls and those without ``://`` have an empty host and path. Repeated rows are judged alike and each count; no rows give
-    none. Columns of ``pages`` named like an added one are replaced.
+    none; long urls are read whole. Columns of ``pages`` named like an added one are replaced, any others stay.
     """
-    url, kept = F.col(url_col), [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict") or c == url_col]
-    placed = pages.select(*kept, host_of(url).alias("__host"), path_of(url).alias("__path"))
-    placed = placed.withColumn("__rule", rule_of(F.col("__host"), F.col("__path"), rules))
-    blocked = F.col("__rule").isin([r.text for r in rules if r.verdict == "block"])
-    learned = learn_templates(placed.select(F.col("__host").alias("host"), F.col("__path").alias("path"), blocked.alias("label")), params)
-    rejected = learned.filter("rejected").select(F.col("host").alias("__h"), F.col("template").alias("__t"), F.lit(True).alias("__bad"))
-    template = F.array_join(segments(F.col("__path")), "/")
-    judged = placed.join(rejected, (F.col("__host") == F.col("__h")) & (template == F.col("__t")), "left")
-    verdict = F.when(F.coalesce(blocked, F.col("__bad"), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    out = [c for c in kept if c not in ("host", "path", "rule", "verdict")]
-    return judged.select(*out, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"))
-
-
-def oracle_sql(rules: list[Rule], params: TemplateParams = TemplateParams()) -> str:
-    """The same judgement over ``pages`` as DuckDB SQL."""
+    added, url = ("host", "path", "rule", "verdict"), F.col(url_col)
+    kept = [c for c in pages.columns if c.lower() not in added or c == url_col]
+    placed = pages.select(F.struct(*kept).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
+    placed = placed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    blocked = F.col("rule").isin([r.text for r in rules if r.verdict == "block"])
+    learned = learn_templates(placed.select("host", "path", blocked.alias("label")), params)
+    rejected = learned.filter("rejected").select("host", "template", F.lit(True).alias("bad"))
+    judged = placed.withColumn("template", F.array_join(segments(F.col("path"), params.depth), "/")).join(rejected, ["host", "template"], "left")
+    verdict = F.when(F.coalesce(blocked, F.col("bad"), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
+    out = [F.col("row").getField(c).alias(c) for c in kept if c not in added]
+    return judged.select(*out, "host", "path", "rule", verdict.alias("verdict"))
+
+
+def oracle_sql(rules: list[Rule], params: TemplateParams = TemplateParams(), depth: int = 4) -> str:
+    """The same judgement over ``pages`` as DuckDB SQL, for paths of at most ``depth`` segments."""
     order = sorted(rules, key=lambda r: -len(r.text))
     fits = " ".join(f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in order)
     blocking = ", ".join(f"'{r.text}'" for r in rules if r.verdict == "block")
     p = params
+
+    def close(part: str, of: str, pool_part: str, pool_of: str) -> str:
+        return f"coalesce(abs({part} / {of} - {pool_part} / {pool_of}) <= {p.z} * sqrt({pool_part} / {pool_of} * (1 - {pool_part} / {pool_of}) / {of}), false)"
+
+    levels = "".join(rf"""
+    nodes{k} AS (
+        SELECT host, prefix, segs[{k}] AS seg, sum(n) AS n, sum(l) AS l, sum(b) AS b, sum(CASE WHEN len(segs) = {k} THEN n ELSE 0 END) AS ends,
+            sum(CASE WHEN len(segs) > {k} AND starts_with(segs[{k + 1}], '{WILD}') THEN n ELSE 0 END) AS wilds
+        FROM t{k - 1} WHERE len(segs) >= {k} GROUP BY ALL),
+    seen{k} AS (
+        SELECT *, NOT starts_with(seg, '{WILD}') AND NOT many AND kids > 1 AS free FROM (
+            SELECT *, kids > {p.many} AND p_n < {p.repeats} * kids AS many
+            FROM nodes{k} JOIN (SELECT host, prefix, count(*) AS kids, sum(n) AS p_n, sum(l) AS p_l, sum(b) AS p_b FROM nodes{k} GROUP BY ALL) USING (host, prefix))),
+    sided{k} AS (SELECT *, CASE WHEN free AND l >= {p.support} THEN CASE WHEN {close("b", "l", "p_b", "p_l")} THEN '{MERGED[0]}'
+        WHEN b / l > p_b / p_l THEN '{MERGED[1]}' ELSE '{MERGED[2]}' END END AS side FROM seen{k}),
+    pools{k} AS (SELECT host, prefix, side, sum(n) AS n, sum(ends) AS ends, sum(wilds) AS wilds FROM sided{k} WHERE side IS NOT NULL GROUP BY ALL),
+    built{k} AS (
+        SELECT s.host, s.prefix, seg, g.side AS joined, row_number() OVER (PARTITION BY s.host, s.prefix, seg ORDER BY g.n DESC, g.side) AS rank
+        FROM sided{k} s JOIN pools{k} g ON s.host = g.host AND s.prefix = g.prefix
+        WHERE free AND l < {p.support} AND {close("s.ends", "s.n", "g.ends", "g.n")} AND {close("s.wilds", "s.n", "g.wilds", "g.n")}),
+    named{k} AS (
+        SELECT host, prefix, seg, p_l AS k_l, p_b AS k_b,
+            CASE WHEN starts_with(seg, '{WILD}') THEN seg WHEN many THEN '{WILD}' ELSE coalesce(side, joined, seg) END AS name
+        FROM sided{k} LEFT JOIN (SELECT * FROM built{k} WHERE rank = 1) USING (host, prefix, seg)),
+    t{k} AS (
+        SELECT t.host, t.segs, n, l, b, CASE WHEN name IS NULL THEN t.prefix ELSE concat(t.prefix, '/', name) END AS prefix,
+            CASE WHEN name IS NULL THEN p_l ELSE k_l END AS p_l, CASE WHEN name IS NULL THEN p_b ELSE k_b END AS p_b
+        FROM t{k - 1} t LEFT JOIN named{k} m ON t.host = m.host AND t.prefix = m.prefix AND len(t.segs) >= {k} AND t.segs[{k}] = m.seg),""" for k in range(1, depth + 1))
     return rf"""
     WITH placed AS (
         SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
@@ -141,19 +212,13 @@ def oracle_sql(rules: list[Rule], params: TemplateParams = TemplateParams()) ->
                 WHEN regexp_matches(s, '^[0-9][0-9._-]*(?:\.[A-Za-z]{{2,5}})?$') OR regexp_matches(s, '^.{{32,}}(?:\.[A-Za-z]{{2,5}})?$')
                     OR (regexp_matches(s, '^[0-9A-Fa-f-]{{8,}}(?:\.[A-Za-z]{{2,5}})?$') AND regexp_matches(s, '^[^.]*[0-9]'))
                 THEN concat('{WILD}', regexp_extract(s, '\.[A-Za-z]{{2,5}}$')) ELSE s END) AS segs FROM ruled),
-    steps AS (SELECT page_id, host, label, k, segs[1:k - 1] AS above, segs[k] AS seg FROM (SELECT *, unnest(generate_series(1, len(segs))) AS k FROM cut)),
-    children AS (SELECT host, above, seg, count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS blocked FROM steps GROUP BY ALL),
-    parents AS (SELECT host, above, count(*) AS kids, sum(n) AS p_n, sum(labelled) AS p_l, sum(blocked) AS p_b FROM children GROUP BY ALL),
-    named AS (
-        SELECT host, above, seg, CASE WHEN starts_with(seg, '{WILD}') THEN seg WHEN kids > {p.many} AND p_n < {p.repeats} * kids THEN '{WILD}'
-            WHEN kids > 1 AND labelled >= {p.support} AND abs(blocked / labelled - p_b / p_l) <= {p.z} * sqrt(p_b / p_l * (1 - p_b / p_l) / labelled)
-            THEN '{MERGED}' ELSE seg END AS name
-        FROM children JOIN parents USING (host, above)),
-    finals AS (
-        SELECT c.page_id, c.host, c.path, c.rule, c.label, coalesce(f.final, '') AS final FROM cut c LEFT JOIN (
-            SELECT page_id, string_agg(name, '/' ORDER BY k) AS final FROM steps JOIN named USING (host, above, seg) GROUP BY page_id) f USING (page_id)),
-    judged AS (
-        SELECT *, (coalesce(sum(label) OVER (PARTITION BY host, final), 0) + {p.smoothing} * coalesce(sum(label) OVER () / count(label) OVER (), 0))
-            / (count(label) OVER (PARTITION BY host, final) + {p.smoothing}) AS purity FROM finals)
-    SELECT page_id, host, path, rule, CASE WHEN label = 1 OR (label IS NULL AND purity >= {p.purity}) THEN 'block' ELSE 'allow' END AS verdict FROM judged
+    t0 AS (SELECT host, segs, count(*) AS n, count(label) AS l, coalesce(sum(label), 0) AS b, '' AS prefix, NULL::BIGINT AS p_l, NULL::BIGINT AS p_b FROM cut GROUP BY host, segs),
+    {levels.strip()}
+    pure AS (
+        SELECT host, prefix, l, (b + {p.smoothing} * CASE WHEN p_l IS NULL THEN h_b / h_l ELSE (p_b + {p.smoothing} * h_b / h_l) / (p_l + {p.smoothing}) END) / (l + {p.smoothing}) AS purity
+        FROM (SELECT host, prefix, sum(l) AS l, sum(b) AS b, first(p_l) AS p_l, first(p_b) AS p_b FROM t{depth} GROUP BY host, prefix)
+        JOIN (SELECT host, sum(l) AS h_l, sum(b) AS h_b FROM t{depth} GROUP BY host) USING (host)),
+    rejected AS (SELECT t.host, t.segs FROM t{depth} t JOIN pure USING (host, prefix) WHERE pure.l >= {p.support} AND purity >= {p.purity})
+    SELECT page_id, c.host AS host, path, rule, CASE WHEN label = 1 OR (label IS NULL AND r.host IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict
+    FROM cut c LEFT JOIN rejected r ON c.host = r.host AND c.segs = r.segs
     """
