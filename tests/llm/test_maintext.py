@@ -40,6 +40,41 @@ def test_layouts(page):
     assert main_text(page) == WANT
 
 
+GOOD = "".join(f"<p>Paragraph {i} of the article, with some commas, and enough words, so that it counts.</p>" for i in range(5))
+FIVE = "\n\n".join(f"Paragraph {i} of the article, with some commas, and enough words, so that it counts." for i in range(5))
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><div class="content no-sidebar">{GOOD}</div></body>',
+    f'<body><div class="post comments-open">{GOOD}</div></body>',
+    f'<body><div id="page-wrapper" class="with-sidebar">{GOOD}</div></body>',
+    f'<body><div class="notice-content">{GOOD}</div></body>',
+    f"<body><form action=x><div><div>{GOOD}</div></div></form></body>",
+    f'<body><form id=aspnetForm><div class=menu>{MENU}</div><div id=main>{GOOD}</div><div class=footer>Imprint, (c)</div></form></body>',
+    f'<body><div class="widget">{GOOD}</div></body>',
+    f'<body><div class="promo"><h1 hidden>x</h1><div class="entry-content">{GOOD}</div></div><div class="ad">Buy, buy, buy this, and that.</div></body>',
+    f'<div><div class="articleBody">{GOOD}</div></div><div class="reader-comments">{COMMENT * 30}</div><div class="share-buttons">Share, like, tell</div>',
+])
+def test_names_do_not_delete_articles(page):
+    assert main_text(page) == FIVE
+
+
+def test_articles_without_the_article_element(spark):
+    """Scoring finds the table's articles when their element is a plain one."""
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").select("html").collect()
+    right = [main_text(r.html) == main_text(re.sub(r"(</?)article>", r"\1div>", r.html)) for r in pages]
+    assert sum(right) >= 0.99 * len(right), (sum(right), len(right))
+
+
+def test_broken_tags_are_linear():
+    import time
+
+    for page, end in (("<a " * 1_700_000, ""), ("<a " * 1_700_000, ">"), ('<a "' * 1_250_000, ""), ('<a "' * 1_250_000, ">"), ("<" * 5_000_000, ""), ("<!--" * 1_250_000, ""), ("<a<b" * 1_250_000, "/>"), ("x > <p " * 700_000, "")):
+        start = time.perf_counter()
+        main_text(f"<p>{'Words, and words. ' * 9}</p>{page}{end}")
+        assert time.perf_counter() - start < 10
+
+
 def test_odd_markup():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x") == main_text("<!-- open") == ""
     assert main_text("just text, no tags") == "just text, no tags"
