@@ -214,13 +214,13 @@ def parse_modes(m: Model):
 
 
 @query("unvisited", """
-    SELECT url_hash, min(id) AS id FROM m_visits WHERE event_type = 'view'
+    SELECT url_hash, min(id) AS id FROM m_visits WHERE event_type <> 'purchase'
       AND url_hash NOT IN (SELECT url_hash FROM m_visits WHERE event_type = 'purchase' AND status = 200) GROUP BY 1
     UNION ALL SELECT url_hash, id FROM m_samples WHERE url_hash NOT IN (SELECT url_hash FROM m_parsed)
 """)
 def unvisited(m: Model):
     seen = m.visits.where("event_type = 'purchase'")
-    first = merge.unvisited(m.visits.where("event_type = 'view'"), seen, ["id"]).select("url_hash", "id")
+    first = merge.unvisited(m.visits.where("event_type <> 'purchase'"), seen, ["id"]).select("url_hash", "id")
     return first.unionByName(merge.unvisited(m.samples, m.parsed, ["id"]).select("url_hash", "id"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, NGram, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
@@ -29,18 +29,31 @@ def weighted_text(title: Column, text: Column, limit: int | None = None) -> Colu
     return strip(F.concat_ws(" ", *([head] * TITLE_WEIGHT), body))
 
 
-def _text_stages(features: int) -> list:
-    """Character pairs, hashed and weighted; no word segmentation needed."""
+def _counting(features: int) -> list:
+    """Character pairs, hashed and counted; no word segmentation needed."""
     return [
         SQLTransformer(
             statement="SELECT *, filter(split(lower(features_text), ''), c -> c NOT IN ('', ' ')) AS _chars FROM __THIS__"
         ),
         NGram(n=2, inputCol="_chars", outputCol="_pairs"),
         HashingTF(inputCol="_pairs", outputCol="_counts", numFeatures=features),
-        IDF(inputCol="_counts", outputCol="_features", minDocFreq=2),
     ]
 
 
+def _counted(split: DataFrame, features: int) -> DataFrame:
+    """``split`` with its pair counts, written once: weights, learner and metrics read them from there."""
+    for stage in _counting(features):
+        split = stage.transform(split)
+    return cut_lineage(split.drop("features_text", "_chars", "_pairs"))
+
+
+def _fitted(train: DataFrame, features: int, learner: LogisticRegression, before: tuple = (), after: tuple = ()) -> tuple[PipelineModel, PipelineModel]:
+    """(model from texts on, model from counts on), fitted to counted rows."""
+    weights = IDF(inputCol="_counts", outputCol="_features", minDocFreq=2).fit(train)
+    model = learner.fit(weights.transform(train))
+    return PipelineModel([*before, *_counting(features), weights, model, *after]), PipelineModel([weights, model, *after])
+
+
 def train_relevance(
     samples: DataFrame, balance: str = "auto", features: int = 1 << 16, iterations: int = 20
 ) -> tuple[PipelineModel, DataFrame]:
@@ -54,13 +67,13 @@ def train_relevance(
     labelled = ready.count()
     if labelled < MIN_SAMPLES:
         raise ValueError(f"{labelled} labelled samples, at least {MIN_SAMPLES} are needed")
-    split = cut_lineage(stratified_split(ready))
+    split = _counted(stratified_split(ready), features)
     train = with_balance(split.where(F.col("split") == "train"), balance)
     learner = LogisticRegression(
         featuresCol="_features", labelCol="label", weightCol="weight", maxIter=iterations, regParam=0.01
     )
-    model = Pipeline(stages=[*_text_stages(features), learner]).fit(train)
-    scored = model.transform(split.where(F.col("split") == "val"))
+    model, counted = _fitted(train, features, learner)
+    scored = counted.transform(split.where(F.col("split") == "val"))
     metrics = binary_metrics(scored).withColumn("samples", F.lit(labelled))
     return model, metrics
 
@@ -82,16 +95,14 @@ def train_notice_type(
     total = newest.count()
     if total < 20:
         raise ValueError(f"{total} typed notices, at least 20 are needed")
-    split = cut_lineage(stratified_split(newest))
     indexer = StringIndexerModel.from_labels(list(labels), inputCol="label", outputCol="_label", handleInvalid="keep")
     learner = LogisticRegression(
         featuresCol="_features", labelCol="_label", family="multinomial", maxIter=iterations, regParam=0.01
     )
     named = IndexToString(inputCol="prediction", outputCol="model_type", labels=[*labels, labels[-1]])
-    model = Pipeline(stages=[indexer, *_text_stages(features), learner, named]).fit(
-        split.where(F.col("split") == "train")
-    )
-    scored = model.transform(split.where(F.col("split") == "val"))
+    split = _counted(indexer.transform(stratified_split(newest)), features)
+    model, counted = _fitted(split.where(F.col("split") == "train"), features, learner, (indexer,), (named,))
+    scored = counted.transform(split.where(F.col("split") == "val"))
     metrics = scored.agg(
         F.count(F.lit(1)).alias("held_out"),
         F.avg((F.col("model_type") == F.col("label")).cast("double")).alias("accuracy"),
