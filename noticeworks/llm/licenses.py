@@ -23,19 +23,19 @@ from noticeworks.llm import textbytes as tb
 # Phrases and labels of the contract.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Wording of well-known license texts and notices.
+# Wording of well-known license texts, whole, and of notices and file headers that name a license.
 TEMPLATES = (
     ("mit-notice", "{released|licensed|distributed|available|provided} under [the terms of] [the] mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software [the software is provided as is without warranty of any kind express or implied]"),
-    ("isc-text", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the <1-12> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc-text", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <1-12> {disclaims|disclaim} all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <1-12> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("apache-2.0-notice", "{released|licensed|distributed|available} under [the terms of] the apache license [version {2 0|2}]"),
-    ("apache-2.0-text", "you may not use this file except in compliance with the license you may obtain a copy of the license at [http www apache org licenses license 2 0] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache-2.0-header", "you may not use this file except in compliance with the license you may obtain a copy of the license at [http www apache org licenses license 2 0] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
     ("gpl-notice", "{released|licensed|distributed} under [the terms of] the gnu [{lesser|library|affero}] general public license [version {1|2|2 1|3}] [or any later version]"),
-    ("gpl-text", "this {program|library|file|software} is free software you can redistribute it and or modify it under the terms of the gnu [{lesser|library|affero}] general public license as published by the free software foundation either version <1-2> of the license or at your option any later version"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3] neither the name of <1-12> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]"),
+    ("gpl-header", "this {program|library|file|software} is free software you can redistribute it and or modify it under the terms of the gnu [{lesser|library|affero}] general public license as published by the free software foundation either version <1-2> of the license or at your option any later version"),
+    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3] neither the name of <1-12> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission] this software is provided by <1-16> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <1-16> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-notice", "{released|licensed|distributed|available} under [a] [the] {cc by|cc by sa|cc by nc|cc by nd|cc by nc sa|cc by nc nd|creative commons attribution} [{1 0|2 0|2 5|3 0|4 0}]"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-opening", "this is free and unencumbered software released into the public domain"),
 )
 
 

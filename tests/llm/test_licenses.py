@@ -59,7 +59,43 @@ def test_odd_texts(spark):
     by_id = {k[0]: r for k, r in got.items() if k[0] not in (5,)}
     assert by_id[1].labels == by_id[2].labels == by_id[3].labels == by_id[8].labels == by_id[9].labels == by_id[11].labels == ""
     assert by_id[None].labels == "apache,apache-2.0-notice" and by_id[7].labels == "gpl" and by_id[7].last_word == 100_001
-    assert by_id[10].labels == "gpl,gpl-text"
+    assert by_id[10].labels == "gpl,gpl-header"
     assert got[(5, "Relea")].labels == "mit,mit-notice" and got[(5, "mit l")].labels == ""
     assert {r.label: r.n_docs for r in licenses.found_labels(out).collect()}["mit"] == 2
     assert licenses.scan_licenses(rows.limit(0)).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+{extra}THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE {holder} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+{extra}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NO_ENDORSEMENT = "3. Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+ADVERTISING = "3. All advertising materials mentioning features or use of this software must display an acknowledgement.\n"
+
+
+def test_whole_wordings_and_altered_ones(spark):
+    mit = MIT.format(extra="", holder="AUTHORS OR COPYRIGHT HOLDERS")
+    bsd2, bsd3 = BSD.format(extra=""), BSD.format(extra=NO_ENDORSEMENT)
+    texts = {
+        "mit": (mit, "mit-text"), "holder": (MIT.format(extra="", holder="X CONSORTIUM"), "mit-text"), "bsd2": (bsd2, "bsd-text"), "bsd3": (f"Some words. {bsd3}", "bsd-text"),
+        "json": (MIT.format(extra="The Software shall be used for Good, not Evil.\n", holder="AUTHORS OR COPYRIGHT HOLDERS"), ""),
+        "bsd4": (BSD.format(extra=ADVERTISING + NO_ENDORSEMENT.replace("3.", "4.")), ""), "no warranty": (mit.split("THE SOFTWARE IS PROVIDED")[0], ""),
+        "altered": (mit.replace("sublicense, and/or sell", "and sublicense"), ""), "liable": (bsd2.replace("EVEN IF ADVISED", "UNLESS ADVISED"), ""),
+    }
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(rows).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: want for k, (_, want) in texts.items()}
+    assert all((score > 0.5) == bool(label) for label, score in got.values())
