@@ -5,14 +5,16 @@ words says how far the search may jump without missing a window; where it says 0
 the bucket of the patterns that end so, and the words themselves are compared.
 
 The benchmark is a stated query set. It is dealt to blocks of at most ``BLOCK_BYTES`` of text (one item at
-least), each of which is broadcast and searched by a narrow pass over the documents, so nothing is
-shuffled, no task holds more than one block, and the driver holds one block at a time.
+least), each of which is broadcast and searched by a narrow pass over the documents, so nothing is shuffled. The
+passes follow one another in one stage, so an executor holds the arrays of all blocks, about seven bytes per byte of the
+benchmark, and a shift table of one megabyte for each length of windows and block.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +33,23 @@ _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WuManber:
-    """Patterns of one length in words: shift table, buckets by the last block, item ids."""
+    """Patterns of one length in words: shift table, and the windows of the items by their last block, as flat arrays."""
 
-    def __init__(self, patterns: dict[bytes, set[str]], length: int):
+    def __init__(self, text: bytes, begin: np.ndarray, end: np.ndarray, items: np.ndarray, length: int):
+        """``text`` is all items' words with one space between them; a window is the bytes from ``begin`` to ``end`` of the item of a number."""
         self.length, self.block = length, min(2, length)
-        self.items = patterns
-        words = np.array([[tb.word_hash(w) for w in p.split(b" ")] for p in patterns], dtype=np.uint64).reshape(-1, length)
+        data = np.frombuffer(text, np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        hashes = tb.Hashes(data).of(np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]]))
+        first = np.searchsorted(gaps, begin)  # number of the first word
+        words = hashes[first[:, None] + np.arange(length)]
         far = length - self.block + 1
-        self.shift = np.full(1 << _BITS, far, dtype=np.int64)
-        for end in range(self.block - 1, length):
-            np.minimum.at(self.shift, self._slot(self._blocks(words, end)), length - 1 - end)
-        self.buckets: dict[int, list[bytes]] = {}
-        for key, p in zip(self._blocks(words, length - 1).tolist(), patterns, strict=True):
-            self.buckets.setdefault(key, []).append(p)
-        self.keys = np.array(sorted(self.buckets), dtype=np.uint64)
+        self.shift = np.full(1 << _BITS, far, dtype=np.int8)
+        for last in range(self.block - 1, length):
+            np.minimum.at(self.shift, self._slot(self._blocks(words, last)), np.int8(length - 1 - last))
+        key = self._blocks(words, length - 1)
+        order = np.argsort(key, kind="stable")
+        self.text, self.keys, self.begin, self.end, self.items = text, key[order], begin[order], end[order], items[order]
 
     def _blocks(self, words: np.ndarray, end: int) -> np.ndarray:
         return self._pair(words[:, end - self.block + 1], words[:, end])
@@ -63,7 +68,7 @@ class WuManber:
         found, at = [], begin
         while len(at):
             key = self._pair(words[at - self.block + 1], words[at])
-            step = self.shift[self._slot(key)]
+            step = self.shift[self._slot(key)].astype(np.int64)
             zero = step == 0
             if zero.any():
                 hit, key = at[zero], key[zero]
@@ -74,31 +79,46 @@ class WuManber:
             at, stop = at[more], stop[more]
         return np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
 
-    def occurrences(self, words: tb.Words, hashes: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
-        """(text, first word, items) of each place whose words equal a pattern."""
+    def occurrences(self, words: tb.Words, hashes: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """(text, first word, numbers of items) of each place whose words equal a window."""
         ends = self.ends(hashes)
         first = ends - self.length + 1
         text = words.text_of(ends)
         whole = words.bounds[text] <= first
         ends, first, text = ends[whole], first[whole], text[whole]
         keys = self._pair(hashes[ends - self.block + 1], hashes[ends])
-        for key, a, t in zip(keys.tolist(), first.tolist(), text.tolist(), strict=True):
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        for lo, hi, a, t in zip(low.tolist(), high.tolist(), first.tolist(), text.tolist(), strict=True):
             phrase = words.phrase(a, self.length)
-            if any(phrase == p for p in self.buckets[key]):
-                yield t, a, self.items[phrase]
+            found = [int(self.items[i]) for i in range(lo, hi) if self.text[self.begin[i] : self.end[i]] == phrase]
+            if found:
+                yield t, a, found
 
 
-def compile_items(items: list[tuple[str, str | None]], window: int) -> list[WuManber]:
-    by_length: dict[int, dict[bytes, set[str]]] = {}
-    for item, text in items:
-        words = tb.plain_words(text)
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            by_length.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), set()).add(item)
-    return [WuManber(p, n) for n, p in sorted(by_length.items())]
+@dataclass(frozen=True)
+class Compiled:
+    """Automata of a block of items, one for each length of windows, and the items' ids by number."""
 
+    automata: list[WuManber]
+    ids: list[str | None]
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+
+def compile_items(items: list[tuple[str | None, str | None]], window: int) -> Compiled:
+    phrases = [b" ".join(tb.plain_words(text)) for _, text in items]
+    text, start = b" ".join(p for p in phrases if p), 0
+    windows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for number, phrase in enumerate(phrases):
+        if not phrase:
+            continue
+        gaps = np.flatnonzero(np.frombuffer(phrase, np.uint8) == 32)
+        begin, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(phrase)]])
+        n = min(window, len(begin))
+        windows.setdefault(n, []).append((begin[: len(begin) - n + 1] + start, end[n - 1 :] + start, np.full(len(begin) - n + 1, number)))
+        start += len(phrase) + 1
+    return Compiled([WuManber(text, *(np.concatenate(x) for x in zip(*parts, strict=True)), n) for n, parts in sorted(windows.items())], [i for i, _ in items])
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """Items in blocks of bounded text."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     block, size = [], 0
@@ -107,17 +127,18 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         if block and size + n > block_bytes:
             yield block
             block, size = [], 0
-        block.append((r["i"] if r["i"] is not None else "null", r["t"]))
+        block.append((r["i"], r["t"]))
         size += n
     if block:
         yield block
 
 
-def _search(patterns, text_col: str, last: bool, schema: T.StructType):
+def _search(block, text_col: str, last: bool, schema: T.StructType):
     """Pass over documents that adds the occurrences of one block; the last pass sums up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = patterns.value if patterns else []
+        patterns = block.value if block else Compiled([], [])
+        automata = patterns.automata
         for batch in batches:
             for a, b, data, starts in tb.chunks(batch.column(text_col)):
                 part = batch.slice(a, b - a)
@@ -128,9 +149,9 @@ def _search(patterns, text_col: str, last: bool, schema: T.StructType):
                 for automaton in automata:
                     for t, first, which in automaton.occurrences(words, hashes):
                         places[t].append((first - int(words.bounds[t]), automaton.length))
-                        items[t] |= which
+                        items[t].update(patterns.ids[i] for i in which)
                 columns = {n: part.column(n) for n in part.schema.names}
-                columns["bench_items"] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+                columns["bench_items"] = pa.array([sorted(x, key=lambda i: (i is not None, i)) for x in items], pa.list_(pa.string()))
                 columns["__places"] = pa.array([np.array(x, np.int64).tobytes() if x else None for x in places], pa.binary())
                 if last:
                     columns["n_words"] = pa.array(words.counts, pa.int64())
@@ -156,7 +177,7 @@ def find_contamination(
     """All columns of ``docs`` (without the text if not ``keep_text``) and n_words, n_hit, bench_items (sorted ids of the items with occurring windows), contaminated.
 
     Null and empty texts have no words and are not contaminated; items without words match nothing; an item
-    with a null id counts as the id ``null``; repeated items and documents are judged like any other; an empty
+    with a null id is a null among the items, not the id ``null``; texts of any length are read whole; repeated items and documents are judged like any other; an empty
     benchmark leaves every document clean. Columns of ``docs`` named like an added one are replaced.
     """
     spark = docs.sparkSession
