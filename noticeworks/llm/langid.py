@@ -34,10 +34,16 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-@lru_cache(maxsize=1 << 14)
+def letter_vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
+    """A row of -1 and 1 for each code point: bits of its hashes. 0 stands for whatever separates words."""
+    words = np.arange(-(-dimensions // 64), dtype=np.uint64)
+    seed = codes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + words * np.uint64(0xD1342543DE82EF95) + np.uint64(20240229)
+    bits = np.unpackbits(tb.mixed(tb.mixed(seed)).view(np.uint8), axis=1)[:, :dimensions]
+    return bits.astype(np.int8) * 2 - 1
+
+
 def letter_vector(code: int, dimensions: int) -> np.ndarray:
-    """Random, fixed by the code point. 0 stands for whatever separates words."""
-    return np.random.default_rng(code).integers(0, 2, dimensions, dtype=np.int8) * 2 - 1
+    return letter_vectors(np.array([code]), dimensions)[0]
 
 
 def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,16 +80,22 @@ def profiles(texts: list[str], dimensions: int, n: int) -> np.ndarray:
     """A row for each text: the sum of its n-gram vectors."""
     text, which, count, parts = _grams(texts, n)
     out = np.zeros((len(texts), dimensions), np.float32)
-    for a in range(0, len(parts), GRAMS):
-        part = parts[a : a + GRAMS]
-        bound = np.ones((len(part), dimensions), np.int8)
-        for i in range(n):
-            codes, row = np.unique(part[:, i], return_inverse=True)
-            bound *= np.stack([np.roll(letter_vector(int(c), dimensions), n - 1 - i) for c in codes])[row]
-        here = (which >= a) & (which < a + len(part))
-        counts = np.zeros((len(texts), len(part)), np.float32)
-        counts[text[here], which[here] - a] = count[here]
-        out += counts @ bound.astype(np.float32)
+    letters, place = np.unique(parts, return_inverse=True)
+    place = place.reshape(parts.shape)
+    vectors = letter_vectors(letters, dimensions)
+    rolled = [np.roll(vectors, n - 1 - i, axis=1) for i in range(n)]  # one table for each place in a gram
+    order = np.argsort(which, kind="stable")
+    cuts = np.searchsorted(which[order], np.arange(0, len(parts) + GRAMS, GRAMS))
+    for a, lo, hi in zip(range(0, len(parts), GRAMS), cuts, cuts[1:], strict=False):
+        part = place[a : a + GRAMS]
+        bound = rolled[0][part[:, 0]]
+        for i in range(1, n):
+            bound *= rolled[i][part[:, i]]
+        here = order[lo:hi]
+        rows, row = np.unique(text[here], return_inverse=True)  # texts that have grams of this part
+        counts = np.zeros((len(rows), len(part)), np.float32)
+        counts[row, which[here] - a] = count[here]
+        out[rows] += counts @ bound.astype(np.float32)
     return out
 
 
@@ -147,7 +159,7 @@ def _predict(prototypes: dict[str, np.ndarray], text: int, others: list[str], di
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text", dimensions: int = DIMENSIONS, n: int = GRAM, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (without the text if not ``keep_text``) and lang_pred, score (cosine, 0 to 1).
 
-    Null texts and those without a letter are ``und`` with score 0, as is everything if nothing was learned; ties go to the first label in
+    Null texts and those without a letter are ``und`` with score 0, as is everything if nothing was learned; texts of any length are read whole; ties go to the first label in
     order; repeated rows are judged alike; no rows give none. Columns of ``docs`` named like an added one are replaced.
     """
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score") and c != text_col])

@@ -48,6 +48,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> F.Column:
+    """Null for a null id, which is neither learned from nor held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 

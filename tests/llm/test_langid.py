@@ -70,3 +70,23 @@ def test_copies_are_learned_once(spark):
         if len(group) <= 20:
             whole = langid.profiles(group, langid.DIMENSIONS, langid.GRAM).sum(axis=0, dtype=np.float64)
             assert np.allclose(known[label], whole / np.linalg.norm(whole), atol=1e-6), label
+
+
+def test_long_texts_of_many_letters():
+    """200,000 random ideographs, far more different n-grams than real text has, within a stated time."""
+    import time
+
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 200_000)))
+    start = time.perf_counter()
+    found = langid.profiles([text, "short"], langid.DIMENSIONS, langid.GRAM)
+    assert time.perf_counter() - start < 8  # 0.6 MB
+    assert np.array_equal(langid.profiles([text[:300]], 64, 3)[0], slow_profile(text[:300], 64, 3)) and found[1].any()
+
+
+def test_null_ids_are_neither_learned_from_nor_held_out(spark):
+    from noticeworks.llm.queries import held_out
+
+    rows = spark.createDataFrame([(None, "aa", "abc"), (1, "bb", "xyz"), (2, "bb", "xyzz"), (3, "bb", "zyx"), (4, "bb", "yyy")], "doc_id long, lang string, text string")
+    assert "aa" not in langid.learn(rows.filter(~held_out()))
+    assert [r.h for r in rows.filter("doc_id IS NULL").select(held_out().alias("h")).collect()] == [None]
