@@ -5,6 +5,7 @@ their symbols look drawn at random: chi-squared for the uniformity of the alphab
 neighbours. A token that fails a test is no secret. For the others chi-squared is compared with what a text of that length would give
 (letters of a text coincide more often than chance, so its distribution is non-central): that is the p-value of "this is ordinary text". The p-values of all documents
 are controlled for false discoveries (Benjamini-Hochberg) within bands of length, on a histogram of their logarithms: at most ``BINS`` counts per band.
+Random tokens are found in nine of ten cases from 20 characters of hexadecimal, 24 of base 64 and 48 of base 32; shorter ones of base 32 look too much like text.
 
 Everything is built from column expressions. Positions come from the texts between matches, in code points. Two passes over the documents, no join.
 """
@@ -166,16 +167,16 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", least: int = LEAST,
     """All columns of ``docs`` and n_assign, n_access, n_hex, base_spans, secret_spans (arrays of (start, kind, end), ordered; kind numbers KINDS).
 
     ``secret_spans`` adds the tokens that the battery finds and no pattern touches. Null and empty texts have none; repeated rows are judged alike, and each
-    counts among the tokens tried; no rows give none. Columns of ``docs`` named like an added one are replaced.
+    counts among the tokens tried; texts of any length are read whole; no rows give none. Columns of ``docs`` named like an added one are replaced.
     """
-    added = ("n_assign", "n_access", "n_hex", "base_spans", "secret_spans", "__text", "__tokens")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    tried = docs.select(F.explode(_tokens(text, least)).alias("x")).select("x.band", "x.bin")
+    added = ("n_assign", "n_access", "n_hex", "base_spans", "secret_spans")
+    tried = docs.select(F.explode(_tokens(F.coalesce(F.col(text_col), F.lit("")), least)).alias("x")).select("x.band", "x.bin")
     cuts = discoveries(tried, share)
-    rows = docs.withColumn("__text", text).drop(*[c for c in docs.columns if c.lower() in added and c != text_col])
-    base = base_spans(F.col("__text"))
-    rows = rows.withColumns({"__assign": base["assign"], "__access": base["access"], "__hex": base["hex"], "__tokens": _tokens(F.col("__text"), least)})
-    rows = rows.withColumn("base_spans", F.sort_array(F.concat("__assign", "__access", "__hex")))
+    kept = [c for c in docs.columns if c.lower() not in added or c == text_col]
+    # the caller's columns travel as one, so none of theirs can meet one of these
+    rows = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base_spans(F.col("text"))
+    rows = rows.withColumns({**base, "tokens": _tokens(F.col("text"), least)}).withColumn("base_spans", F.sort_array(F.concat("assign", "access", "hex")))
 
     def least_bin(band: Column) -> Column:
         out = F.lit(BINS + 1)
@@ -186,10 +187,11 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", least: int = LEAST,
     def free(x: Column) -> Column:
         return ~F.exists("base_spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
 
-    new = F.filter("__tokens", lambda x: (x["bin"] >= least_bin(x["band"])) & free(x))
+    new = F.filter("tokens", lambda x: (x["bin"] >= least_bin(x["band"])) & free(x))
     random = F.transform(new, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["end"].alias("end")))
-    counted = {f"n_{k}": F.size(f"__{k}").cast("long") for k in KINDS[:3]}
-    return rows.withColumns(counted | {"secret_spans": F.sort_array(F.concat("base_spans", random))}).drop("__text", "__assign", "__access", "__hex", "__tokens")
+    counted = {f"n_{k}": F.size(k).cast("long") for k in KINDS[:3]}
+    rows = rows.withColumns(counted | {"secret_spans": F.sort_array(F.concat("base_spans", random))})
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in kept), *added)
 
 
 def shown(found: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import string
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from noticeworks.llm import secrets
@@ -114,6 +115,29 @@ def test_planted_secrets_and_redaction(spark):
     assert secrets.find_secrets(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("alphabet,lengths", [
+    ("0123456789ABCDEF", (20, 28, 40, 64)), (string.ascii_letters + string.digits + "+/", (24, 32, 48, 96)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (48, 64, 96)),
+])
+def test_recall_by_encoding_and_length(spark, alphabet, lengths):
+    rng = random.Random(len(alphabet))
+    words = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").limit(200).collect()]
+    rows = []
+    for n in lengths:
+        for i in range(60):
+            before = " ".join((words[(i * 7 + n) % 200] or "").split()[:40])
+            rows.append((n, len(before) + 1, f"{before} {''.join(rng.choices(alphabet, k=n))} and more words"))
+    found = secrets.find_secrets(spark.createDataFrame(rows, "n int, at int, text string")).collect()
+    hits = Counter(r.n for r in found if any(s.start == r.at and s.end == r.at + r.n for s in r.secret_spans))
+    assert all(hits[n] >= 0.9 * 60 for n in lengths), hits
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = spark.createDataFrame([("password=hunter22", 1, "a", 2, 3)], "text string, __assign int, hex string, row int, N_HEX int")
+    out = secrets.find_secrets(rows)
+    assert out.columns == ["text", "__assign", "hex", "row", "n_assign", "n_access", "n_hex", "base_spans", "secret_spans"]
+    assert tuple(out.first())[:7] == ("password=hunter22", 1, "a", 2, 1, 0, 0)
+
+
 def merged(spans):
     out = []
     for _, s, e in spans:
