@@ -185,8 +185,7 @@ def crawl_frontier(
     start = seeds.select("url", url_hash(F.col("url")).alias("url_hash")).groupBy("url_hash").agg(F.min("url").alias("url"))
     visited = GrowingCut(start.withColumn("depth", F.lit(0)), "url_hash")
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        visited.add(next_level(edges, visited.rows(), depth))
-        if visited.rows().where(F.col("depth") == depth).isEmpty():
+        if not visited.add(next_level(edges, visited.rows(), depth)):
             break
     return visited.rows().select("url", "url_hash", "depth")
 

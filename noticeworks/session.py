@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "noticeworks", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -78,10 +79,12 @@ class GrowingCut:
         _CUTS.append(self.path)
         self.add(rows)
 
-    def add(self, rows: DataFrame) -> None:
-        """Rows that come from a join or a grouping by the key are dealt to their buckets already."""
-        dealt = rows.repartition(self.buckets, self.key)
+    def add(self, rows: DataFrame) -> int:
+        """Adds rows and tells how many; those that come from a join or a grouping by the key are dealt to their buckets already."""
+        seen = Observation()
+        dealt = rows.repartition(self.buckets, self.key).observe(seen, F.count(F.lit(1)).alias("n"))
         dealt.write.mode("append").bucketBy(self.buckets, self.key).sortBy(self.key).option("path", self.path).saveAsTable(self.name)
+        return seen.get["n"]
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
