@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from noticeworks.llm import quality
 from noticeworks.llm.queries import QUERIES
 
@@ -66,6 +68,37 @@ def test_order_never_changes_the_verdict(spark):
     assert all(a == b for a, b in docs.select(forth.alias("forth"), back.alias("back")).collect())
 
 
+def test_rules_of_known_cost_are_ordered_by_it(spark):
+    """Of equal rejection the cheaper goes first, of equal cost the one that rejects more; every time."""
+    from pyspark.sql import functions as F
+
+    def dear(times):
+        return lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(times)), F.lit(0), lambda a, i: a + F.levenshtein(F.left(d.text, F.lit(50) + i % 2), F.reverse(F.left(d.text, F.lit(60))))) >= 0
+
+    rules = (quality.Rule("dearest", dear(40)), quality.Rule("dear", dear(8)), quality.Rule("cheap", lambda d: d.n_words >= 0), quality.Rule("rare", lambda d: d.n_words < 0))
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    for _ in range(3):
+        ordered = quality.order_rules(docs, rules, sample=400)
+        assert [r.name for r, _, _ in ordered] == ["cheap", "dear", "dearest", "rare"], [(r.name, c, s) for r, c, s in ordered]
+        assert [s for _, _, s in ordered] == [1.0, 1.0, 1.0, 0.0]
+
+
+def test_sample_is_fixed_and_bounded(spark):
+    texts = [f"text {i} of some words" for i in range(500)] + ["one text many times"] * 3000
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    shares = {tuple(s for _, _, s in sorted(quality.order_rules(docs, (quality.Rule("sevens", lambda d: d.text.contains("7")),), sample=100))) for _ in range(2)}
+    assert len(shares) == 1 and 0.05 < shares.pop()[0] < 0.6
+
+
+def test_without_counts_the_verdict_is_the_same(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", F.lit("x").alias("words"), F.lit(1).alias("row"))
+    slim = quality.judge_quality(docs, counts=False, keep_text=False)
+    assert slim.columns == ["doc_id", "words", "row", "kept"]
+    full = {r.doc_id: r.kept for r in quality.judge_quality(docs).collect()}
+    assert {r.doc_id: r.kept for r in slim.collect()} == full
+    assert quality.judge_quality(docs.select("text"), counts=False, keep_text=False).columns == ["kept"]
+
+
 def test_plan_is_native_and_narrow(spark):
     plan = QUERIES["op2_quality"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
