@@ -200,7 +200,7 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", templates: tuple =
     """All columns of ``docs`` (without the text if not ``keep_text``) and n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is m / (m + 4) for the longest match of m mandatory words. Null and empty texts have no words, no labels ("") and score 0, with null
-    first and last word. Repeated rows are judged alike; no rows give none. Columns of ``docs`` named like an added one are replaced.
+    first and last word. Texts of any length are read whole; repeated rows are judged alike; no rows give none. Columns of ``docs`` named like an added one are replaced.
     """
     added = [x.split()[0] for x in ADDED.split(", ")]
     rows = docs.drop(*[c for c in docs.columns if c.lower() in added and c != text_col])

@@ -92,6 +92,14 @@ def test_run_equals_the_stages(spark):
     assert sorted(map(tuple, ours.select(key).distinct().collect())) == sorted(map(tuple, docs.select(key).distinct().collect()))
 
 
+def test_extra_columns_are_left_behind(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(40)
+    more = docs.selectExpr("*", "1 AS key", "'x' AS unit", "'y' AS n_words", "2 AS row", "'z' AS lang_pred")
+    for name, stage in pipeline.STAGES[:-1]:
+        plain, extra = (sorted(map(str, stage(spark, d, DIR).collect())) for d in (docs, more))
+        assert plain == extra and stage(spark, more, DIR).columns == docs.columns, name
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
