@@ -298,7 +298,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     size = F.octet_length("text").cast("long")
     short = F.when(size < window, F.col("text").cast("binary"))
     light = cut_lineage(rows.select("id", "key", size.alias("n_bytes"), F.when(size >= window, F.md5("text")).alias("digest"), short.alias("short")))
-    owner = light.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "key")).alias("o"))
+    times = light.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "key")).alias("o"), F.count("*").alias("times"))
+    # written, so that the join by digest can split a hot one
+    owner = cut_lineage(times.filter("times > 1").drop("times"))
     copies = light.join(owner, "digest").filter(~F.col("id").eqNullSafe(F.col("o.id"))).select("id", "key").distinct()
     total = light.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // bucket_names // 2))
