@@ -19,7 +19,7 @@ from noticeworks.operators.extract import (
 )
 from noticeworks.operators.planning import with_new_ids
 from noticeworks.profile import LIST_PAGE, SEARCH_SERP, ZH_TENDER, Profile
-from noticeworks.session import cut_lineage
+from noticeworks.session import cut_lineage, dealt
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -42,7 +42,7 @@ def parse_updates(
     chosen = merge.select_pages_to_parse(merge.dedup_pages(slim), parsed, mode).select("url_hash", "crawled_at", "id")
     same = [keyed[c].eqNullSafe(chosen[c]) for c in ("url_hash", "crawled_at", "id")]
     work = merge.dedup_pages(merge.drop_serp_pages(keyed).join(chosen, same, "left_semi"))
-    return extract_notices(work, keywords, profile, scorer)
+    return extract_notices(dealt(work, "url_hash"), keywords, profile, scorer)
 
 
 def parse_job(
