@@ -19,8 +19,9 @@ from noticeworks.operators import alerts
 from noticeworks.operators.extract import extract_notices
 from noticeworks.operators.merge import dedup_pages, drop_serp_pages, one_per_key
 from noticeworks.profile import ZH_TENDER, Profile
+from noticeworks.session import dealt
 from noticeworks.sources.runs import BUCKETS, RunTable
-from noticeworks.sources.tables import surviving_messages, surviving_pages, surviving_parsed
+from noticeworks.sources.tables import spread, surviving_messages, surviving_pages, surviving_parsed
 
 PARSED_LOG = """
     url string, url_hash string, mongo_doc_id string, title string, summary string,
@@ -70,9 +71,9 @@ def stream_extract(
     """New pages to the parsed log."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = dedup_pages(drop_serp_pages(batch).withColumn("url_hash", url_hash(F.col("url"))))
+        newest = dedup_pages(drop_serp_pages(spread(batch)).withColumn("url_hash", url_hash(F.col("url"))))
         log = parsed_log(batch.sparkSession, target, buckets)
-        log.append(extract_notices(newest, keywords, profile), batch_id)
+        log.append(extract_notices(dealt(newest, "url_hash"), keywords, profile), batch_id)
         log.compact(surviving_parsed)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeworks import schemas
 from noticeworks.plans import jobs
+from noticeworks.streaming import jobs as streaming
 
 AS_OF = dt(2024, 6, 1)
 
@@ -24,3 +25,12 @@ def test_extraction_is_dealt(spark):
     updates = jobs.parse_updates(raw_pages(spark), none, ["财政"])
     assert updates.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert updates.count() == 400 and updates.where("outcome = 'ok'").count() == 400
+
+
+def test_streamed_pages_are_dealt(spark, tmp_path):
+    feed, target = str(tmp_path / "feed"), str(tmp_path / "log")
+    raw_pages(spark).write.parquet(feed)
+    stream = spark.readStream.schema(raw_pages(spark).schema).parquet(feed)
+    streaming.stream_extract(stream, target, str(tmp_path / "ckpt"), ["财政"]).trigger(availableNow=True).start().awaitTermination()
+    assert len(list(Path(target).glob("run-*/*.parquet"))) > 2 * spark.sparkContext.defaultParallelism
+    assert streaming.parsed_log(spark, target).read().where("outcome = 'ok'").count() == 400
