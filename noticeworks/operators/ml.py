@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from noticeworks.functions.basics import blank_to_null, leading, strip
 from noticeworks.functions.labelling import NOTICE_LABELS, model_input, notice_label, training_input
 from noticeworks.operators.samples import binary_metrics, stratified_split, trainable, with_balance
-from noticeworks.session import cut_lineage
+from noticeworks.session import cut_lineage, dealt
 
 TITLE_WEIGHT = 3
 NOTICE_ROWS = 5000
@@ -42,6 +42,7 @@ def _counting(features: int) -> list:
 
 def _counted(split: DataFrame, features: int) -> DataFrame:
     """``split`` with its pair counts, written once: weights, learner and metrics read them from there."""
+    split = dealt(split)
     for stage in _counting(features):
         split = stage.transform(split)
     return cut_lineage(split.drop("features_text", "_chars", "_pairs"))

@@ -6,6 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from noticeworks import schemas
+from noticeworks.operators import ml
 from noticeworks.plans import jobs
 from noticeworks.streaming import jobs as streaming
 
@@ -34,3 +35,9 @@ def test_streamed_pages_are_dealt(spark, tmp_path):
     streaming.stream_extract(stream, target, str(tmp_path / "ckpt"), ["财政"]).trigger(availableNow=True).start().awaitTermination()
     assert len(list(Path(target).glob("run-*/*.parquet"))) > 2 * spark.sparkContext.defaultParallelism
     assert streaming.parsed_log(spark, target).read().where("outcome = 'ok'").count() == 400
+
+
+def test_pair_counts_are_dealt(spark):
+    rows = spark.range(0, 400, 1, 1).selectExpr("id AS url_hash", "concat('text ', id) AS features_text")
+    counted = ml._counted(rows, 64)
+    assert len(counted.inputFiles()) > 2 * spark.sparkContext.defaultParallelism and counted.count() == 400
