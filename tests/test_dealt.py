@@ -6,7 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from noticeworks import schemas
-from noticeworks.operators import ml
+from noticeworks.operators import alerts, ml
 from noticeworks.plans import jobs
 from noticeworks.streaming import jobs as streaming
 
@@ -41,3 +41,12 @@ def test_pair_counts_are_dealt(spark):
     rows = spark.range(0, 400, 1, 1).selectExpr("id AS url_hash", "concat('text ', id) AS features_text")
     counted = ml._counted(rows, 64)
     assert len(counted.inputFiles()) > 2 * spark.sparkContext.defaultParallelism and counted.count() == 400
+
+
+def test_crawl_merges_once(spark):
+    """The merged table is written; what is made from it does not merge again."""
+    parsed, outbox = spark.createDataFrame([], schemas.PARSED_RESULTS), spark.createDataFrame([], schemas.NOTIFY_MESSAGES)
+    channels, regions = spark.createDataFrame([(1, "c", "sms", "{}", True)], schemas.NOTIFY_CHANNELS), spark.createDataFrame([], schemas.SEARCH_REGIONS)
+    done = jobs.run_after_crawl(raw_pages(spark, 20), parsed, ["财政"], channels, outbox, regions, alerts.NotifyConfig(filter_region=False), AS_OF, auto_notify=False)
+    assert done["parsed"].inputFiles() and done["parsed"].count() == 20
+    assert "FullOuter" not in done["new_messages"]._jdf.queryExecution().optimizedPlan().toString()
