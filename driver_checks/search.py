@@ -73,13 +73,9 @@ def search_indexed(m: Model):
     late = m.parsed.where("id % 5 = 0")
     table.merge(late, lambda stored, news: stored.join(news.select("url_hash"), "url_hash", "left_anti").unionByName(news.select(*stored.columns)))
     index.update()
-    rare = [r[0] for r in m.parsed.where("id % 97 = 5 AND length(summary) > 300").select(F.substring("summary", 200, 9)).distinct().collect()]
-    out = None
-    for word in ("the", *rare):
-        params = S.SearchParams(keyword="the") if word == "the" else S.SearchParams(keyword=word)
-        hits = S.search_indexed(index, m.regions, params, DOC_TIME).select(F.lit(word).alias("keyword"), "id")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    rare = m.parsed.where("id % 97 = 5 AND length(summary) > 300").select(F.substring("summary", 200, 9).alias("keyword")).distinct()
+    words = rare.unionByName(m.spark.createDataFrame([("the",)], "keyword string"))
+    return S.search_indexed(index, m.regions, S.SearchParams(), DOC_TIME, words).select("keyword", "id")
 
 
 @query("search_page_count", f"SELECT count(*) AS total, greatest(ceil(count(*) / 20), 1)::bigint AS total_pages FROM ({FOUND})")

@@ -6,15 +6,16 @@ Filters are conjunctions of Columns, so they reach the scan; a page is one
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeworks.functions.basics import bounded_values, contains_any
+from noticeworks.functions.basics import bounded_values, contains_any, strip
 from noticeworks.functions.matching import INLINE_NAMES, with_name_hits
 from noticeworks.operators.regions import region_name_set, with_region_name
+from noticeworks.session import cut_lineage
 from noticeworks.sources.gramindex import GramIndex
 
 PER_PAGE = 20
@@ -106,8 +107,30 @@ def search_notices(
     return found if region else filter_by_region(found, region_name_set(regions))
 
 
-def search_indexed(index: GramIndex, regions: DataFrame, params: SearchParams, as_of: datetime) -> DataFrame:
-    """The same notices, read from the files that the index names for the keyword."""
+#: Columns a keyword is looked for in.
+SEARCHED = ("title", "summary", "search_query")
+
+
+def search_indexed(index: GramIndex, regions: DataFrame, params: SearchParams, as_of: datetime, keywords: DataFrame | None = None) -> DataFrame:
+    """The same notices, read from the files that the index names for the keyword.
+
+    With ``keywords`` (column ``keyword``) those of every different keyword, which is added: the rows are read once and
+    looked through for all keywords together, instead of once for each.
+    """
+    if keywords is not None:
+        # a keyword without text finds all notices, as in a single search
+        terms = cut_lineage(keywords.where(F.col("keyword").isNotNull()).select("keyword", strip(F.col("keyword")).alias("term")).distinct())
+        names = terms.where("term <> ''").select(F.col("term").alias("name")).distinct()
+        found = search_notices(index.rows_with_any(terms.select("term")), regions, replace(params, keyword=""), as_of)
+        columns = found.columns
+        hits = with_name_hits(found, "url_hash", F.concat_ws("\0", *SEARCHED), names, "_hits", limit=0)
+        every = F.col("_hits") if terms.where("term = ''").isEmpty() else F.array_append("_hits", F.lit(""))
+        listed = hits.withColumn("term", F.explode(every)).join(terms, "term")
+        # a term that spans two columns is in none
+        own = F.lit(False)
+        for c in SEARCHED:
+            own |= F.coalesce(F.contains(c, F.col("term")), F.lit(False))
+        return listed.where((F.col("term") == "") | own).select("keyword", *columns)
     return search_notices(index.rows_with(params.keyword.strip()), regions, params, as_of)
 
 

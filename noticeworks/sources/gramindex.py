@@ -59,6 +59,31 @@ class GramIndex:
             out = hits if out is None else out.unionByName(hits)
         return out.groupBy("folder", "bucket").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("folder", "bucket")
 
+    def files_with_any(self, texts: DataFrame) -> dict[str, list[int]] | None:
+        """Buckets by folder of the files that hold all grams of one of ``texts`` (column ``term``); None if one is too short to tell."""
+        runs, size = [r for r in self.table.runs() if r.buckets], F.length("term")
+        if not runs or not texts.where(size < min(SIZES)).isEmpty():
+            return None
+        cuts = F.when(size < max(SIZES), F.array("term")).otherwise(cut_grams(F.col("term"), [max(SIZES)]))
+        # grams that many texts share are looked up once
+        grams = texts.select("term", cuts.alias("grams")).distinct().select("term", F.size("grams").alias("wanted"), F.explode("grams").alias("gram"))
+        found, sought = None, grams.select("gram").distinct()
+        for run in runs:
+            rows = self.table.spark.read.schema("bucket int, gram string").parquet(f"{self.table.path}/{FOLDER}/{run.folder}")
+            hits = rows.where(F.col("bucket").isin(list(run.buckets))).join(sought, "gram", "left_semi").select(F.lit(run.folder).alias("folder"), "bucket", "gram")
+            found = hits if found is None else found.unionByName(hits)
+        held = found.join(grams, "gram").groupBy("term", "folder", "bucket").agg(F.count_distinct("gram").alias("n"), F.first("wanted").alias("wanted"))
+        files = held.where("n = wanted").select("folder", "bucket").distinct()
+        buckets: dict[str, list[int]] = {}
+        for r in files.collect():  # at most one row per file
+            buckets.setdefault(r["folder"], []).append(r["bucket"])
+        return buckets
+
+    def rows_with_any(self, texts: DataFrame) -> DataFrame:
+        """Rows of the files that may hold one of ``texts`` (column ``term``), each once."""
+        buckets = self.files_with_any(texts)
+        return self.table.read().drop("batch_id") if buckets is None else self._rows_of(buckets)
+
     def rows_with(self, text: str) -> DataFrame:
         """Rows of the files that may hold ``text``: all that contain it in a column, and others."""
         files = self.postings(text)
@@ -67,5 +92,8 @@ class GramIndex:
         buckets: dict[str, list[int]] = {}
         for r in files.collect():  # at most one row per file
             buckets.setdefault(r["folder"], []).append(r["bucket"])
+        return self._rows_of(buckets)
+
+    def _rows_of(self, buckets: dict[str, list[int]]) -> DataFrame:
         runs = [Run(r.folder, r.level, r.first, r.last, tuple(sorted(buckets[r.folder]))) for r in self.table.runs() if r.folder in buckets]
         return self.table._rows(runs).drop("bucket", "batch_id")

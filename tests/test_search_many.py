@@ -1,0 +1,40 @@
+"""Many keywords in one indexed search against one search each."""
+
+from datetime import datetime as dt
+
+from pyspark.sql import functions as F
+
+from noticeworks import schemas
+from noticeworks.operators import search as S
+from noticeworks.sources.gramindex import GramIndex
+from noticeworks.sources.runs import RunTable
+
+AS_OF = dt(2024, 6, 1)
+
+
+def stored(spark, path, texts):
+    rows = spark.createDataFrame([(i, f"u{i}", t, s, q, i % 3 > 0) for i, (t, s, q) in enumerate(texts)], "id bigint, url string, title string, summary string, search_query string, is_relevant boolean")
+    base = spark.createDataFrame([], schemas.PARSED_RESULTS).unionByName(rows.withColumn("url_hash", F.md5("url")), allowMissingColumns=True)
+    table = RunTable(spark, str(path), schemas.PARSED_RESULTS, buckets=16)
+    table.create(base)
+    index = GramIndex(table)
+    index.update()
+    return index
+
+
+def test_same_rows_as_single_searches(spark, tmp_path):
+    texts = [(f"道路工程{i}", f"summary {i * 7919 % 100} text", "q") for i in range(60)] + [(None, None, "桥梁采购"), ("桥", None, "x"), ("梁采", "x\0y", "购桥"), ("", "", "")]
+    index, regions = stored(spark, tmp_path, texts), spark.createDataFrame([], schemas.SEARCH_REGIONS)
+    asked = [["道路", " 道路 ", "工程29", "y 19 t", "none of them", "梁采购", "x\0y", "t\0q", "mary 7", None], ["桥", "q", "mary 7"], ["  ", "工程29"]]
+    for words in asked:
+        given = spark.createDataFrame([(w,) for w in [*words, words[0]]], "keyword string")
+        got = sorted((r.keyword, r.id) for r in S.search_indexed(index, regions, S.SearchParams(), AS_OF, given).collect())
+        single = {w: S.search_indexed(index, regions, S.SearchParams(keyword=w), AS_OF) for w in words if w is not None}
+        assert got == sorted((w, r.id) for w, rows in single.items() for r in rows.collect())
+
+
+def test_files_of_rare_words_alone_are_read(spark, tmp_path):
+    index = stored(spark, tmp_path, [(f"common text number {i}", None, None) for i in range(400)] + [("zebra crossing", None, None), ("a walrus", None, None)])
+    words = lambda *ws: spark.createDataFrame([(w,) for w in ws], "term string")
+    assert len(index.rows_with_any(words("zebra", "walrus")).inputFiles()) <= 2 and len(index.rows_with_any(words("common", "zebra")).inputFiles()) == 16
+    assert index.rows_with_any(words("quagga")).count() == 0 and index.rows_with_any(words("z", "zebra")).count() == 402
