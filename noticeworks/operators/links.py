@@ -174,30 +174,24 @@ def crawl_frontier(
     One equi join per level, until a level is empty or ``max_depth`` is reached.  Links and visited
     URLs are bucketed alike: a level is added to the visited table, so the links are joined with it
     and the found URLs are checked against all visited ones where they lie.  Only the found
-    URLs of the level are shuffled, and a lost executor does not replay the levels before it.
+    URLs of the level are shuffled, and a lost executor does not replay the levels before it.  Keys are the
+    URLs themselves; a hash beside them would double what is shuffled and written.
     """
-    edges = cut_bucketed(
-        page_links(dedup_pages(pages), extra_domains, base_url=base_url).select(
-            url_hash(F.col("url")).alias("from_hash"), "link", "link_hash"
-        ),
-        "from_hash",
-    )
-    start = seeds.select("url", url_hash(F.col("url")).alias("url_hash")).groupBy("url_hash").agg(F.min("url").alias("url"))
-    visited = GrowingCut(start.withColumn("depth", F.lit(0)), "url_hash")
+    edges = cut_bucketed(page_links(dedup_pages(pages), extra_domains, base_url=base_url).select("url", "link"), "url")
+    visited = GrowingCut(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "url")
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         visited.add(next_level(edges, visited.rows(), depth))
         if visited.rows().where(F.col("depth") == depth).isEmpty():
             break
-    return visited.rows().select("url", "url_hash", "depth")
+    return visited.rows().select("url", url_hash(F.col("url")).alias("url_hash"), "depth")
 
 
 def next_level(edges: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
     """URLs one link behind those of the level before that are not visited yet."""
-    level = visited.where(F.col("depth") == depth - 1).select(F.col("url_hash").alias("from_hash"))
+    level = visited.where(F.col("depth") == depth - 1).select("url")
     return (
-        edges.join(level.hint("shuffle_hash"), "from_hash", "left_semi")
-        .groupBy(F.col("link_hash").alias("url_hash")).agg(F.min("link").alias("url"))
-        .join(visited.select("url_hash"), "url_hash", "left_anti")
+        edges.join(level.hint("shuffle_hash"), "url", "left_semi")
+        .select(F.col("link").alias("url")).distinct()
+        .join(visited.select("url"), "url", "left_anti")
         .withColumn("depth", F.lit(depth))
-        .select("url_hash", "url", "depth")
     )
