@@ -180,18 +180,22 @@ def crawl_frontier(
     edges = cut_bucketed(page_links(dedup_pages(pages), extra_domains, base_url=base_url).select("url", "link"), "url")
     visited = GrowingCut(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "url")
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        visited.add(next_level(edges, visited.rows(), depth))
+        visited.add(next_level(edges, visited.rows(), depth, "url"))
         if visited.rows().where(F.col("depth") == depth).isEmpty():
             break
     return visited.rows().select("url", url_hash(F.col("url")).alias("url_hash"), "depth")
 
 
-def next_level(edges: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
-    """URLs one link behind those of the level before that are not visited yet."""
-    level = visited.where(F.col("depth") == depth - 1).select("url")
-    return (
-        edges.join(level.hint("shuffle_hash"), "url", "left_semi")
-        .select(F.col("link").alias("url")).distinct()
-        .join(visited.select("url"), "url", "left_anti")
-        .withColumn("depth", F.lit(depth))
-    )
+def next_level(edges: DataFrame, visited: DataFrame, depth: int, key: str = "url_hash") -> DataFrame:
+    """URLs one link behind those of the level before that are not visited yet.
+
+    Links are (from_hash, link, link_hash) and visited URLs keyed by ``url_hash``, or, with the key ``url``, (url, link) and keyed by it.
+    """
+    source = "url" if key == "url" else "from_hash"
+    level = visited.where(F.col("depth") == depth - 1).select(F.col(key).alias(source))
+    linked = edges.join(level.hint("shuffle_hash"), source, "left_semi")
+    if key == "url":
+        found = linked.select(F.col("link").alias("url")).distinct()
+    else:
+        found = linked.groupBy(F.col("link_hash").alias("url_hash")).agg(F.min("link").alias("url"))
+    return found.join(visited.select(key), key, "left_anti").withColumn("depth", F.lit(depth))

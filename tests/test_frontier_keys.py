@@ -8,9 +8,9 @@ from noticeworks.operators import links as L
 def test_levels_by_url(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("b", "d"), (None, "x"), ("c", "a")], "url string, link string")
     visited = spark.createDataFrame([("a", 0), (None, 0)], "url string, depth int")
-    first = L.next_level(edges, visited, 1)
+    first = L.next_level(edges, visited, 1, "url")
     assert first.columns == ["url", "depth"] and sorted(map(tuple, first.collect())) == [("b", 1), ("c", 1)]
-    assert sorted(map(tuple, L.next_level(edges, visited.union(first), 2).collect())) == [("d", 2)]
+    assert sorted(map(tuple, L.next_level(edges, visited.union(first), 2, "url").collect())) == [("d", 2)]
 
 
 def test_missing_and_repeated_seeds(spark):
