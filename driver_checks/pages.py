@@ -15,7 +15,7 @@ from noticeworks.functions.matching import with_name_hits
 from noticeworks.operators import crawl, extract, links, merge
 from noticeworks.plans import jobs
 from noticeworks.profile import LATIN_TEST, ZH_TENDER
-from noticeworks.session import shared_folder
+from noticeworks.session import dealt, shared_folder
 from noticeworks.sources import feeds, registry as source_registry, tables
 
 
@@ -340,7 +340,7 @@ def summaries(m: Model):
 def listing_pages(m: Model):
     words = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{2,}"), F.lit(0))
     anchors = F.transform(words, lambda w: F.concat(F.lit('<li><a href="/x">公告'), w, F.lit("</a> 2024-03-15</li>")))
-    made = m.docs.select(F.col("doc_id").alias("id"), "url", F.array_join(anchors, "").alias("html"))
+    made = dealt(m.docs.select("doc_id", "url", "text")).select(F.col("doc_id").alias("id"), "url", F.array_join(anchors, "").alias("html"))
     return extract.listing_pages(made, ZH_TENDER).drop("url")
 
 

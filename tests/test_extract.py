@@ -1,8 +1,13 @@
+import random
 import re
+from dataclasses import replace
 from datetime import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from driver_checks.model import Model
+from driver_checks.pages import listing_pages
 from noticeworks import schemas
 from noticeworks.operators import extract as E
 from noticeworks.operators import merge as M
@@ -13,7 +18,7 @@ HAN = "本项目资金来源为财政资金，出资比例为百分之百，现
 AS_OF = dt(2024, 6, 1)
 
 
-def plain_listing(html):
+def plain_listing(html, pattern=ZH_TENDER.list_date):
     """Listing rule as a plain loop, for comparison."""
     found = list(re.finditer(r"<a\b[^>]*>(.*?)</a>", html, re.I | re.S))
     if len(found) < 8:
@@ -26,7 +31,7 @@ def plain_listing(html):
             continue
         text += 1
         around = (inner, clean(html[max(0, m.start() - 220):m.start()])[-120:], clean(html[m.end():m.end() + 220])[:120])
-        dated += any(re.search(ZH_TENDER.list_date, a) for a in around)
+        dated += any(re.search(pattern, a) for a in around)
     if text < 8 or dated < 8:
         return None
     if dated >= 15:
@@ -67,6 +72,25 @@ def test_listing_matches_plain_loop(spark):
     assert got["far_date"][:2] == (12, 11)  # a date also counts for the link before it
 
 
+@pytest.mark.parametrize("pattern", [ZH_TENDER.list_date, r"3-15$", r"3-15(?!\s)", r"3-15\b"])
+def test_listing_of_mixed_pages(spark, pattern):
+    """Dates before, in and after anchors, near and far, behind tags, open tags and astral characters."""
+    rng = random.Random(4)
+    bits = ["2024-03-15", " 2024-3-15 ", "<b>3-15</b>", "<i\n title='3-15'>", "<", ">", " \u3000\n", "远" * 60, "𠀀" * 50, "x <y " * 9, "&nbsp;", ""]
+    pages = {str(k): "".join(link(i, rng.choice(bits) + rng.choice(bits), rng.choice(bits) + rng.choice(bits), rng.choice(["公告标题内容", "公告 <b>3-15</b>", "下"])) for i in range(rng.choice([9, 14, 40]))) for k in range(60)}
+    profile = replace(ZH_TENDER, list_date=pattern)
+    rows = spark.createDataFrame(list(pages.items()), "name string, html string").select("name", E.listing_info(F.col("html"), profile).alias("i")).collect()
+    assert {r.name: tuple(r.i) if r.i else None for r in rows} == {name: plain_listing(html, pattern) for name, html in pages.items()}
+    assert pattern != ZH_TENDER.list_date or sum(r.i is not None for r in rows) > 20
+
+
+def test_contexts_are_cut_when_needed_alone(spark):
+    """Pages are dealt, and the text before anchors (the split) is cut in a branch for pages with undated anchors."""
+    plan = listing_pages(Model(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert 0 < plan.index("exists(") < plan.index("split(")
+
+
 def page(i, url, html, source_type="website", title="", at=1):
     return (str(i), url, html, "", dt(2024, 1, at), "词", "源", (title, source_type, None))
 
