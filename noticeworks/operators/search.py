@@ -76,7 +76,9 @@ def filter_by_region(df: DataFrame, names: DataFrame, limit: int = INLINE_NAMES)
     inline = bounded_values(names, "name", limit)
     if inline is not None:
         return df.where(unplaced | contains_any(F.col("location"), inline))
-    places = df.where(~unplaced).select("location").distinct()
+    # written, so that names are looked for once a location: a filter on the hits would be pushed below the
+    # distinct, where Spark does not take the Python function out of it
+    places = cut_lineage(df.where(~unplaced).select("location").distinct())
     known = (
         with_name_hits(places, "location", F.col("location"), names, "hits", limit=limit)
         .where(F.size("hits") > 0)
