@@ -133,3 +133,75 @@ def test_pairs_of_a_key(n):
     far = rng.integers(0, 1 << 63, n).astype(np.uint64)
     crowd = [x for x in paired(sketches=far, probes=np.arange(n) >= n) if x[2]]
     assert len(crowd) > n / 2 if n > nearcopies.TRIED else not crowd
+
+
+def components_of(texts, **options):
+    """(texts that got another component than by brute force, components)."""
+    groups, least = similar_groups(texts), {}
+    for i, g in enumerate(groups):
+        least.setdefault(g, i)
+    spark = options.pop("spark")
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).collect()}
+    return [i for i, g in enumerate(groups) if got[i] != least[g]], len({*got.values()})
+
+
+def loose_crowd(n, size=100):
+    """Texts that differ from one pattern by one to six words each: many pairs stand next to the similarity, on both sides."""
+    rng = random.Random(12)
+    one = [f"w{rng.randrange(5000)}" for _ in range(size)]
+    texts = []
+    for _ in range(n):
+        words = list(one)
+        for i in rng.sample(range(size), rng.randint(1, 6)):
+            words[i] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_links_that_no_fingerprint_finds(spark):
+    """No two fingerprints are taken for near, and keys are compared in several blocks and rounds: the groups are the same."""
+    texts = loose_crowd(200)
+    wrong, n = components_of(texts, spark=spark, different=0.0)
+    assert not wrong and 50 < n < 200
+
+
+def test_blocks_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 30)
+    monkeypatch.setattr(nearcopies, "ROWS", 64)
+    monkeypatch.setattr(nearcopies, "NEAREST", 1)
+    monkeypatch.setattr(nearcopies, "MORE", 2)
+    wrong, n = components_of(loose_crowd(150), spark=spark, different=0.0)
+    assert not wrong and 40 < n < 150
+
+
+def test_a_loose_crowd_gives_few_pairs(spark, monkeypatch):
+    """All groups of a crowd, in a number of compared pairs that follows the number of texts."""
+    compared, similar = [], nearcopies._similar
+    monkeypatch.setattr(nearcopies, "_similar", lambda spark, rows, units, near, *more: compared.append(near.count()) or similar(spark, rows, units, near, *more))
+    counts = []
+    for n in (250, 1000):
+        compared.clear()
+        wrong, _ = components_of(loose_crowd(n), spark=spark)
+        assert not wrong
+        counts.append(sum(compared))
+    assert counts[1] <= 8 * counts[0], counts
+
+
+def test_left_pairs_are_named():
+    """Of a key each text gives its nearest; both texts of every pair that is left are named."""
+    n = 40
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 2**63, (1, nearcopies.PARITY // 64), dtype=np.uint64).repeat(n, axis=0)
+    bins[:, 0] ^= np.uint64(1) << rng.integers(0, 60, n).astype(np.uint64)
+    columns = {"run": np.ones(n, np.int64), "unit": np.arange(n), "group": np.arange(n) // 2, "size": np.full(n, 146, np.int32), "place": np.zeros(n, np.int32), "side": np.zeros(n, np.int32)}
+
+    def pairs(nearest, **changed):
+        found = nearcopies._possible(nearest, 0.8)(pa.table({k: pa.array(v) for k, v in (columns | changed).items()} | {"parities": [b.tobytes() for b in bins]}))
+        return {*zip(*(x.to_pylist() for x in found.columns), strict=True)}
+
+    every = {(a, b) for a in range(n) for b in range(a + 1, n) if a // 2 != b // 2}
+    assert pairs(n) == every
+    some = pairs(3)
+    assert every - some and all((a, a) in some and (b, b) in some for a, b in every - some)
+    assert pairs(n, side=np.arange(n, dtype=np.int32) % 2 + 1) == {(a, b) for a, b in every if a % 2 != b % 2}
+    assert pairs(n, place=np.full(n, 20, np.int32)) == set()
