@@ -92,11 +92,11 @@ def _words_key(text: bytes | None) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join((text or b"").lower().split()))
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def _parts(batch: pa.RecordBatch, rows: int = 128, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     for a in range(0, batch.num_rows, rows):
         part = batch.slice(a, rows)
         texts = [t.as_buffer().to_pybytes() if t.is_valid else None for t in part.column(part.num_columns - 1)]
-        for i, j in tb.slices(np.array([len(t or b"") for t in texts], np.int64)):
+        for i, j in tb.slices(np.array([len(t or b"") for t in texts], np.int64), limit):
             yield part.slice(i, j - i), texts[i:j]
 
 
@@ -239,7 +239,7 @@ PARITY = 1024
 #: Units whose shingles are counted (one in so many), and how many of these make a shingle a frequent one; the order of the shingles alone depends on it.
 COUNTED, FREQUENT = 32, 3
 #: Texts that a key may have to be joined with itself.
-FEW = 16
+FEW = 64
 #: Partners that a text of a larger key gives in the first round; ``MORE`` times as many in each further one.
 NEAREST, MORE = 4, 8
 #: Texts of a key that are compared in one group, and rows of one group, about.
@@ -349,7 +349,7 @@ def _possible(nearest: int, similarity: float):
             m = a + int((side[a:e] < 2).sum())
             for first, last, others in ((a, e, (a, e)),) if side[a] == 0 else ((a, m, (m, e)), (m, e, (a, m))):
                 n = others[1] - others[0]
-                step = max(1, (1 << 18) // max(1, n))
+                step = max(1, (1 << 16) // max(1, n))
                 for s in range(first, last if n else first, step):
                     i = np.arange(s, min(s + step, last))
                     d = apart(np.repeat(i, n), np.tile(np.arange(*others), len(i))).reshape(len(i), n)
