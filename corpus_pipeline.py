@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeworks.llm import decontam, langid, nearcopies, packing, secrets
-from noticeworks.session import cut_lineage
+from noticeworks.session import bound_batches, cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -23,6 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     If no row to learn from has a ``lang``, only documents without a letter go, and ``lang`` stays as it is.
     """
+    bound_batches(spark)
     learned = langid.learn(docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0)) != 2))
     if not learned:
         return langid.with_letters(docs.select(*COLUMNS))
@@ -37,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Groups are documents linked by a Jaccard similarity of at least 0.8 of their five-word shingles. Null, empty and blank texts are one group; repeated
     rows stay once; no rows give none.
     """
+    bound_batches(spark)
     keyed = docs.select(*COLUMNS).withColumn("key", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")))
     groups = nearcopies.near_copies(keyed, id_col="key")
     stay = cut_lineage(groups.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("rows")))
@@ -48,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a window of a benchmark text. Null and empty texts have none and stay; no rows give none."""
+    bound_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.find_contamination(docs.select(*COLUMNS), benchmark).filter("not contaminated").select(*COLUMNS)
 
@@ -62,6 +65,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens. Null and empty texts are a piece of their end mark; no rows give none."""
     import public_tokenizers
 
+    bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 

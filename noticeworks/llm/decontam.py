@@ -26,6 +26,8 @@ from noticeworks.llm import textbytes as tb
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
+#: Bytes of text searched at once; their words and hashes take about fifty times as much.
+CHUNK = 1 << 19
 #: Words that one lane of the search runs over.
 LANE = 512
 _BITS = 20
@@ -140,7 +142,7 @@ def _search(block, text_col: str, last: bool, schema: T.StructType):
         patterns = block.value if block else Compiled([], [])
         automata = patterns.automata
         for batch in batches:
-            for a, b, data, starts in tb.chunks(batch.column(text_col)):
+            for a, b, data, starts in tb.chunks(batch.column(text_col), CHUNK):
                 part = batch.slice(a, b - a)
                 places = [[] if v is None else [tuple(x) for x in np.frombuffer(v, np.int64).reshape(-1, 2).tolist()] for v in part.column("__places").to_pylist()]
                 items = [set(v or ()) for v in part.column("bench_items").to_pylist()]

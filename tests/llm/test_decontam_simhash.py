@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import types as T
 
 from noticeworks.llm import decontam, simhash
 from noticeworks.llm.components import components
@@ -131,3 +132,21 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(5, 5), (7, 6), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
+
+
+def test_a_batch_is_searched_in_small_parts(monkeypatch):
+    """What a worker keeps from one batch of many texts is as for a part of half a megabyte."""
+    import pyarrow as pa
+
+    from noticeworks.llm import textbytes as tb
+
+    class Block:
+        value = decontam.compile_items([("i", "alpha beta gamma")], 3)
+
+    monkeypatch.setattr(tb, "_POWERS", {})
+    texts = [f"{'word ' * 20}alpha beta gamma"] * 30_000
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.nulls(len(texts), pa.binary()), pa.nulls(len(texts), pa.list_(pa.string()))], names=["text", "__places", "bench_items"])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("n_words", "n_hit")])
+    found = pa.Table.from_batches(decontam._search(Block, "text", True, schema)(iter([batch])))
+    assert found.num_rows == len(texts) and set(found["n_hit"].to_pylist()) == {3} and set(found["n_words"].to_pylist()) == {23}
+    assert 0 < max(len(p) for p in tb._POWERS.values()) < 1 << 20

@@ -104,3 +104,27 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, DIR).count() == 0
+
+
+def test_python_gets_bounded_batches(spark):
+    """Long texts reach the stages' Python in batches of bounded bytes, not by the ten thousand rows."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    docs = spark.range(300, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 10_000).alias("text"), F.lit("en").alias("lang"), F.lit("x").alias("source"), F.lit(110_000).cast("long").alias("n_chars"))
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in pipeline.STAGES:
+        if name != "secrets":
+            spark.conf.unset(setting)
+            stage(spark, docs.limit(0), DIR)
+            got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in got) == 300 and max(r.bytes for r in got) < 5 << 20, name
+    try:
+        spark.conf.set(setting, "123456")
+        pipeline.language(spark, docs.limit(0), DIR)
+        assert spark.conf.get(setting) == "123456"  # a limit that was given stays
+    finally:
+        spark.conf.unset(setting)
